@@ -81,3 +81,21 @@ def put_file(uri: str, data: bytes) -> None:
     with fs.open_output_stream(other) as out:
         out.write(data)
     fs.move(other, path)
+
+
+class Memo(dict):
+    """A bounded memo in two generations: when one is full it becomes the old one, from which what is still used moves over."""
+
+    def __init__(self, make, most: int = 300_000):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

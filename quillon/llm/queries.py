@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_chunks, mixing, quality
+from . import line_chunks, mixing, pieces, quality, wavelet
 from .common import table
 
 
+def vocabulary_file(name: str) -> str:
+    """Where an installed public vocabulary lies; the operators take a path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
+
+
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = line_chunks.mark(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), F.sha2("text_", 256).alias("kept_sha256"))
@@ -22,6 +33,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, trees)
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.col("copies").cast("long").alias("copies"), F.round(F.get("positions", F.lit(0)), 9).alias("first_position"))
@@ -59,8 +74,10 @@ FROM taken
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_wavelet": op1_wavelet,
     "op5_line_chunks": op5_line_chunks,
     "op6_quality": op6_quality,
+    "op8_pieces": op8_pieces,
     "op9_mixing": op9_mixing,
 }
 
