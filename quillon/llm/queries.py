@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_chunks, mixing, pieces, quality, wavelet
+from . import line_chunks, mixing, mtree, pieces, quality, wavelet
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.col("copies").cast("long").alias("copies"), F.round(F.get("positions", F.lit(0)), 9).alias("first_position"))
 
 
+def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 OP5_SQL = r"""
 WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 hashed AS (SELECT *, list_transform(ls, lambda l: ('0x' || substr(md5(l), 1, 8))::BIGINT) AS hs, len(ls) AS n FROM lines),
@@ -73,12 +77,21 @@ SELECT doc_id, size, source_size, target, size * copies AS taken, copies,
 FROM taken
 """
 
+OP10_SQL = r"""
+WITH whole AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet": op1_wavelet,
     "op5_line_chunks": op5_line_chunks,
     "op6_quality": op6_quality,
     "op8_pieces": op8_pieces,
     "op9_mixing": op9_mixing,
+    "op10_mtree": op10_mtree,
 }
 
-SQL: dict[str, str] = {"op5_line_chunks": OP5_SQL, "op9_mixing": OP9_SQL}
+SQL: dict[str, str] = {"op5_line_chunks": OP5_SQL, "op9_mixing": OP9_SQL, "op10_mtree": OP10_SQL}
