@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_chunks, mixing, mtree, pieces, quality, wavelet
+from . import chat, html_text, line_chunks, mixing, mtree, pieces, quality, wavelet
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
 
 
+def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = line_chunks.mark(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), F.sha2("text_", 256).alias("kept_sha256"))
@@ -33,6 +37,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, trees)
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
 
@@ -87,8 +95,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet": op1_wavelet,
+    "op4_chat_repair": op4_chat_repair,
     "op5_line_chunks": op5_line_chunks,
     "op6_quality": op6_quality,
+    "op7_html": op7_html,
     "op8_pieces": op8_pieces,
     "op9_mixing": op9_mixing,
     "op10_mtree": op10_mtree,
