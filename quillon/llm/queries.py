@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, line_chunks, mixing, mtree, pieces, quality, wavelet
+from . import chat, html_text, line_chunks, mixing, mtree, passages, pieces, quality, wavelet
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(table(spark, sf_dir, "conversations"))
 
@@ -54,6 +59,17 @@ def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM w, unnest(range(1, len(ws) - 33)) AS u(i)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM starts) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id AS d, j FROM again, unnest(range(i, i + 35)) AS u(j)),
+words AS (SELECT doc_id, p, ws[p] AS word FROM w, unnest(range(1, len(ws) + 1)) AS u(p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) FILTER (WHERE j IS NULL) AS kept, count(*) AS n, count(j) AS removed
+  FROM words LEFT JOIN gone ON d = doc_id AND j = p GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 OP5_SQL = r"""
 WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 hashed AS (SELECT *, list_transform(ls, lambda l: ('0x' || substr(md5(l), 1, 8))::BIGINT) AS hs, len(ls) AS n FROM lines),
@@ -95,6 +111,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet": op1_wavelet,
+    "op2_passages": op2_passages,
     "op4_chat_repair": op4_chat_repair,
     "op5_line_chunks": op5_line_chunks,
     "op6_quality": op6_quality,
@@ -104,4 +121,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mtree": op10_mtree,
 }
 
-SQL: dict[str, str] = {"op5_line_chunks": OP5_SQL, "op9_mixing": OP9_SQL, "op10_mtree": OP10_SQL}
+SQL: dict[str, str] = {"op2_passages": OP2_SQL, "op5_line_chunks": OP5_SQL, "op9_mixing": OP9_SQL, "op10_mtree": OP10_SQL}
