@@ -71,12 +71,14 @@ def _slid(x: np.ndarray, k: int, pick) -> np.ndarray:
 class Texts:
     """Texts as one array of word numbers with the documents' bounds."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], lower: bool = False):
+        """lower: with A-Z, and nothing else, in lower case."""
         seen: dict[bytes, int] = {}
         put = seen.setdefault
         ids, sizes = [], []
         for t in texts:
-            found = t.encode("utf-8", "surrogatepass").split() if t else []
+            raw = t.encode("utf-8", "surrogatepass") if t else b""
+            found = (raw.lower() if lower else raw).split()
             ids.append(np.fromiter((put(w, len(seen)) for w in found), np.int64, len(found)))
             sizes.append(len(found))
         self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, line_chunks, mixing, mtree, passages, pieces, quality, wavelet
+from . import chat, html_text, jaccard, line_chunks, mixing, mtree, passages, pieces, quality, wavelet
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(table(spark, sf_dir, "conversations"))
 
@@ -70,6 +74,18 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) FILTER (WHERE j IS NULL
 SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS s FROM w),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, max(a.n) AS na, max(b.n) AS nb FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 85 * (na + nb - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS reached FROM sets UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON l.a = r.reached)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, count(*) OVER (PARTITION BY CASE WHEN len(s.s) = 0 THEN [s.doc_id::VARCHAR, ''] ELSE list_sort(s.s) END)::BIGINT AS n_copies
+FROM sets s JOIN (SELECT node, min(reached) AS component_id FROM reach GROUP BY node) c ON c.node = s.doc_id
+"""
+
 OP5_SQL = r"""
 WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 hashed AS (SELECT *, list_transform(ls, lambda l: ('0x' || substr(md5(l), 1, 8))::BIGINT) AS hs, len(ls) AS n FROM lines),
@@ -112,6 +128,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet": op1_wavelet,
     "op2_passages": op2_passages,
+    "op3_jaccard": op3_jaccard,
     "op4_chat_repair": op4_chat_repair,
     "op5_line_chunks": op5_line_chunks,
     "op6_quality": op6_quality,
@@ -121,4 +138,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mtree": op10_mtree,
 }
 
-SQL: dict[str, str] = {"op2_passages": OP2_SQL, "op5_line_chunks": OP5_SQL, "op9_mixing": OP9_SQL, "op10_mtree": OP10_SQL}
+SQL: dict[str, str] = {"op2_passages": OP2_SQL, "op3_jaccard": OP3_SQL, "op5_line_chunks": OP5_SQL, "op9_mixing": OP9_SQL, "op10_mtree": OP10_SQL}
