@@ -10,12 +10,14 @@ ordered by text; an empty table writes no file and gives no rows; further column
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +43,7 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, lengths: np.n
     press = zstandard.ZstdCompressor(level=1)
     level = ids.astype(np.uint16 if width <= 16 else np.uint32)
     for bit in range(width - 1, -1, -1):
-        ones = (level >> bit) & 1 != 0
+        ones = (level & level.dtype.type(1 << bit)).astype(bool)
         packed = np.packbits(ones, bitorder="little")
         parts = [press.compress(packed[i : i + BLOCK // 8].tobytes()) for i in range(0, len(packed), BLOCK // 8)]
         sums = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK), dtype=np.int64) if len(ones) else np.zeros(0, np.int64)
@@ -156,39 +158,62 @@ class WaveletMatrix:
         return level
 
 
-_memos: dict[str, Memo] = {}
+_memos: dict[str, tuple[Memo, Memo]] = {}
+#: Fixed value: the pattern by which byte-level vocabularies part a text before merging.
+PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+END = tuple(".,;:!?")
+#: A space that ends the text or that white space follows: there the text is not parted.
+HELD = re.compile(r" (?:[\s\x1c-\x1f]|\Z)")
 
 
 def ids_of(path: str) -> Callable[[str], bytes]:
-    """text -> its token ids by the tokenizers library, as little-endian 32-bit integers, the library asked once for each space-led word.
+    """text -> its token ids by the tokenizers library, as little-endian 32-bit integers, the library's model asked once for each distinct piece; special tokens' strings are ordinary text.
 
     The byte-level pattern always parts the text before a single space that a non-space follows, so the ids of a text
-    are those of its parts. A part that is empty or starts with white space stays with the one before it.
+    are those of its parts, and a part's those of its pieces by the pattern. A part that is empty or starts with white space stays with the one before it.
     """
     if path not in _memos:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True  # their strings in a text are ordinary text
-        _memos[path] = Memo(lambda part: np.array(own.encode(part, add_special_tokens=False).ids, "<u4").tobytes())
-    get = _memos[path].__getitem__
+        model = Tokenizer.from_file(path).model
+        # The library's own stand-ins for bytes, in code point order those of bytes that print and then the others'.
+        marks = sorted(ByteLevel.alphabet())
+        printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        mark = dict(zip([*printing, *(b for b in range(256) if b not in printing)], marks, strict=True))
+
+        def merged(piece: str) -> bytes:
+            return np.array([t.id for t in model.tokenize("".join(map(mark.__getitem__, piece.encode())))], "<u4").tobytes()
+
+        pieces = Memo(merged, 100_000)
+
+        def ask(lead: str) -> Memo:
+            def parted(part: str) -> bytes:
+                if part.isalpha():  # one piece
+                    return merged(lead + part)
+                if part[-1:] in END and part[:-1].isalpha():  # two
+                    return memo[part[:-1]] + pieces[part[-1]]
+                return b"".join(map(pieces.__getitem__, PIECE.findall(lead + part)))
+
+            memo = Memo(parted, 400_000)
+            return memo
+
+        _memos[path] = ask(" "), ask("")
+    led, plain = (m.__getitem__ for m in _memos[path])
 
     def encode(text: str) -> bytes:
         if not text:
             return b""
         parts = text.split(" ")
-        if all(parts) and not any(p[0] in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0" or p[0] > "࿿" and p[0].isspace() for p in parts):
-            first = parts[0]
-            parts = [" " + p for p in parts]
-            parts[0] = first
-            return b"".join(map(get, parts))
-        joined = [parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                joined.append(" " + p)
-            else:
-                joined[-1] += " " + p
-        return b"".join(map(get, joined))
+        if HELD.search(text):
+            joined = parts[:1]
+            for p in parts[1:]:
+                if p and not p[0].isspace():
+                    joined.append(p)
+                else:
+                    joined[-1] += " " + p
+            parts = joined
+        return plain(parts[0]) + b"".join(map(led, parts[1:]))
 
     return encode
 
