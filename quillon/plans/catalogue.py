@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import q_data, q_eval
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = q_data.QUERIES | q_eval.QUERIES
+SQL: dict[str, str] = q_data.SQL | q_eval.SQL
