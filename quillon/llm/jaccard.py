@@ -38,7 +38,7 @@ from .common import need, written
 from .components import components
 from .passages import BASE, PAIR, SHARD_BYTES, Texts, _mixed, _pack, _PACK, _unpack, rolled
 
-PAIRS_A_BLOCK = 4096
+PAIRS_A_BLOCK = 8192
 
 
 class Measure:
@@ -235,10 +235,10 @@ def _compare(measure: Measure):
     return run
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, measure: Measure, blocks: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) that are linked. A block gets the pairs of some a's, those of a frequent a dealt by b."""
-    per = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = pairs.join(per, "a").withColumn("block", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PAIRS_A_BLOCK))), F.lit(blocks)).cast("long")).select("block", "a", "b")
+def _compared(pairs: DataFrame, sets: DataFrame, measure: Measure, blocks: int, most: int = PAIRS_A_BLOCK) -> DataFrame:
+    """Those of the distinct pairs (group, a, b) that are linked. A group's pairs meet in one block, those of a large group dealt by b."""
+    per = pairs.groupBy("group").agg(F.count("*").alias("n"))
+    dealt = pairs.join(per, "group").withColumn("block", F.pmod(F.xxhash64("group", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / most))), F.lit(blocks)).cast("long")).select("block", "a", "b")
     dealt = written(dealt, "jaccard-pairs")
     asked = dealt.select(F.col("block").alias("at"), F.col("a").alias("cid")).union(dealt.select("block", "b")).distinct()
     return dealt.groupBy("block").cogroup(asked.join(sets, "cid").select("at", "cid", "hashes").groupBy("at")).applyInArrow(_compare(measure), _LINK)
@@ -267,7 +267,7 @@ def join(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, sampl
     ranked = entries.join(degree, "cid")
     pivots = ranked.groupBy("key").agg(F.max_by("cid", F.struct("degree", "cid")).alias("pivot"))
     tried = entries.join(pivots, "key").where("cid <> pivot").groupBy("cid", "pivot").agg(F.count("*").alias("keys"))
-    first = tried.groupBy("cid").agg(F.max_by("pivot", F.struct("keys", "pivot")).alias("pivot")).select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
+    first = tried.groupBy("cid").agg(F.max_by("pivot", F.struct("keys", "pivot")).alias("pivot")).select(F.col("pivot").alias("group"), F.col("pivot").alias("a"), F.col("cid").alias("b"))
     links = written(_compared(first, sets, measure, shards), "jaccard-links")
 
     # Second comparison: what lies in different components under one key.
@@ -279,8 +279,9 @@ def join(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, sampl
     torn = written(placed.join(main, "key"), "jaccard-torn")
     left, right = torn.where("component <> main").alias("l"), torn.alias("r")
     met = left.join(right, "key").where("l.component <> r.component and (r.component = r.main or l.cid < r.cid)")
-    second = met.select(F.greatest("l.cid", "r.cid").alias("a"), F.least("l.cid", "r.cid").alias("b")).distinct()
-    more = _compared(second, sets, measure, shards)
+    # Pairs are grouped by the largest component near them, whose sets then travel together.
+    second = met.groupBy(F.greatest("l.cid", "r.cid").alias("a"), F.least("l.cid", "r.cid").alias("b")).agg(F.min("l.main").alias("group"))
+    more = _compared(second, sets, measure, shards, 8 * PAIRS_A_BLOCK)
     final = components(links.union(written(more, "jaccard-links")))
 
     named = copies.join(final.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
