@@ -5,8 +5,8 @@
 2. Windows whose anchor recurs are counted by a 128-bit hash of their words; those found twice or more are confirmed.
 3. Documents are dealt into shards of bounded text. A shard's confirmed windows, at their first places in it, join into
    passages; the passages' phrases, cut so that every window holds one whole, are compiled into the shard's own
-   Aho-Corasick automaton, all documents of the shard stream through it, and each hit is extended word by word along its
-   passage. What a hit covers over at least a window's length is removed.
+   Aho-Corasick automaton, and all documents of the shard stream through it. The words of the confirmed windows that
+   hold a hit are removed.
 
 Counting sends sorted arrays of hashes, a row for each pair of shard and hash range, in which a hash stands once: a
 passage that a third of all rows hold is one entry a shard. No range or shard grows with the input; their number does.
@@ -238,49 +238,41 @@ def _window_rows(buckets: int):
     return run
 
 
-def located(t: Texts, confirmed: np.ndarray) -> np.ndarray:
-    """Which words of the texts lie in an occurrence of a passage; confirmed: where windows that recur start."""
+def located(t: Texts, confirmed: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which words of the texts lie in a passage; confirmed: where windows that recur start, first: the first places of distinct ones.
+
+    A hit of the automaton is 18 words found exactly; of the windows around it those are passages whose 128-bit hash is
+    a confirmed one.
+    """
     ids = t.ids
-    covered = np.zeros(len(ids), bool)
-    if not len(confirmed):
-        return covered
-    # Passages: runs of first places of distinct windows, in one document.
-    bounds = np.repeat(np.arange(len(t.sizes)), t.sizes)
-    runs = np.split(confirmed, np.flatnonzero((np.diff(confirmed) != 1) | (np.diff(bounds[confirmed]) != 0)) + 1)
+    covered = np.zeros(len(ids) + 1, np.int64)
+    if not len(first):
+        return covered[:-1] > 0
+    # Passages: runs of first places, in one document.
+    of = np.repeat(np.arange(len(t.sizes)), t.sizes)
+    runs = np.split(first, np.flatnonzero((np.diff(first) != 1) | (np.diff(of[first]) != 0)) + 1)
     half = WINDOW // 2 + 1  # an aligned phrase of 18 words lies whole in any 35
     points = (ids % CODE_POINTS + 0x100).astype("<u4")
     points[points >= 0xD800] += 0x800
     string = points.tobytes().decode("utf-32-le")
-    places: dict[str, list[tuple[int, int, int]]] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for run in runs:
         a, e = int(run[0]), int(run[-1]) + WINDOW
         for p in range(a, e - half + 1, half):
-            places.setdefault(string[p : p + half], []).append((p, a, e))
-    automaton = ahocorasick.Automaton()
-    for phrase, at in places.items():
-        automaton.add_word(phrase, at)
+            automaton.add_word(string[p : p + half])
     automaton.make_automaton()
-    for a, e in zip(t.starts.tolist(), t.ends.tolist(), strict=True):
-        if e - a < WINDOW:
-            continue
-        reach: dict[int, int] = {}  # of each diagonal, how far it has been followed
-        for last, hits in automaton.iter(string[a:e]):
-            q = a + last - half + 1
-            for p, pa_, pe in hits:
-                d = p - q
-                if reach.get(d, -1) >= q + half:
-                    continue
-                left, right = min(p - pa_, q - a), min(pe - p, e - q)
-                ahead = ids[p : p + right] != ids[q : q + right]
-                n = int(ahead.argmax()) if ahead.any() else right
-                if n < half:
-                    continue  # phrases alike by code point only
-                behind = ids[p - left : p] != ids[q - left : q]
-                m = int(behind[::-1].argmax()) if behind.any() else left
-                reach[d] = q + n
-                if m + n >= WINDOW:
-                    covered[q - m : q + n] = True
-    return covered
+    ends = np.fromiter((end for end, _ in automaton.iter(string)), np.int64)
+    if not len(ends):
+        return covered[:-1] > 0
+    # Windows that hold a hit whole start from 17 words before it up to it.
+    near = np.zeros(len(ids) + 1, np.int64)
+    begin = ends - half + 1
+    np.add.at(near, np.maximum(begin - (WINDOW - half), 0), 1)
+    np.add.at(near, begin + 1, -1)
+    hit = confirmed[np.cumsum(near[:-1])[confirmed] > 0]
+    np.add.at(covered, hit, 1)
+    np.add.at(covered, hit + WINDOW, -1)
+    return np.cumsum(covered[:-1]) > 0
 
 
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
@@ -297,7 +289,7 @@ def _locate(packs: pa.Table, windows: pa.Table) -> pa.Table:
         keys = _keys(t, starts, h, h2)
         hit = _within(keys, known)
         _, first = np.unique(keys[hit], return_index=True)
-        gone = located(t, np.sort(starts[hit][first]))
+        gone = located(t, starts[hit], np.sort(starts[hit][first]))
     kept = []
     for text, a, e in zip(texts, t.starts.tolist(), t.ends.tolist(), strict=True):
         if not text:
