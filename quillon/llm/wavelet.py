@@ -51,7 +51,10 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, lengths: np.n
         out.append((np.cumsum(sums) - sums).astype("<u8").tobytes())
         out.append(np.cumsum([0, *map(len, parts)]).astype("<u4").tobytes())
         out += parts
-        level = np.concatenate([level[~ones], level[ones]])
+        zeros = len(ones) - int(sums.sum())
+        deeper = np.empty_like(level)
+        deeper[:zeros], deeper[zeros:] = level[~ones], level[ones]
+        level = deeper
     return b"".join(out)
 
 
@@ -150,7 +153,7 @@ class WaveletMatrix:
         for p in range(self.width - 1, -1, -1):
             zeros, _, ends = self.planes[p]
             raw = b"".join(undo.decompress(self.data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True))
-            ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").astype(bool)
+            ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(level)
             up[~ones] = level[:zeros]
             up[ones] = level[zeros:] | level.dtype.type(1 << (self.width - 1 - p))
@@ -195,7 +198,7 @@ def ids_of(path: str) -> Callable[[str], bytes]:
                     return memo[part[:-1]] + pieces[part[-1]]
                 return b"".join(map(pieces.__getitem__, PIECE.findall(lead + part)))
 
-            memo = Memo(parted, 400_000)
+            memo = Memo(parted, 600_000)
             return memo
 
         _memos[path] = ask(" "), ask("")
