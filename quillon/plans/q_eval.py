@@ -317,8 +317,7 @@ def negatives_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rendered_spans(spark: SparkSession, d: str) -> DataFrame:
-    rows = labelled(spark, d).withColumn("state", F.substring("state", 1, 200))
-    return render.render(rows, "clef", max_len=256).select("id", "status", F.size("input_ids").alias("n"), "spans", "qspan")
+    return render.render(labelled(spark, d), "clef", max_len=256).select("id", "status", F.size("input_ids").alias("n"), "spans", "qspan")
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n FROM events WHERE event_type NOT IN ('error') GROUP BY event_type")
