@@ -30,3 +30,14 @@ def test_rendered_spans_take_whole_states(spark, tables):
             expected[f"{i}:{attr}"] = ("ok", at + len("yes\nno\n"), [(at, at + 3), (at + 4, at + 6)], (len(before), len(before + question)))
     got = {r["id"]: (r["status"], r["n"], [tuple(s) for s in r["spans"]], tuple(r["qspan"])) for r in QUERIES["rendered_spans"](spark, tables).collect()}
     assert got == expected
+
+
+def test_middle_truncate_keeps_the_real_tail(spark, tmp_path):
+    lengths = [1, 99, 100, 101, 300, 301, 5000]
+    spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {}
+    for i, n in enumerate(lengths):
+        ids = list(range(1, n + 1))
+        cut = ids if n <= 100 else ids[:48] + [0, 0, 0] + ids[-49:]
+        expected[i] = (len(cut), sum(cut))
+    assert {r["doc_id"]: (r["n"], r["s"]) for r in QUERIES["middle_truncate"](spark, str(tmp_path)).collect()} == expected
