@@ -4,8 +4,11 @@ Every page is read as a stream of tags. Each block element's subtree gets a hash
 children's hashes; Spark counts for each host on how many different articles' pages a subtree stands (copies of one
 article count once), and a subtree on at least ``share`` of them, and on ``least``, is template. A second reading
 leaves out template subtrees together with elements that by tag, role or class are menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles or reader comments. If a page has article or main elements, the rest of the
-page is left out too, and within them only containers can be template, never paragraphs, headings or list items.
+notices, adverts, forms, scripts, styles or reader comments. A class or id tells that by a whole name ("sidebar") or
+one made of such words and plain ones ("cookie-box"), not by a part ("has-sidebar"). An element that holds the main
+element, or most of the page's text outside links, is a wrapper and never left out (``Reading._wrappers``). If a page
+has article or main elements, the rest of the page is left out too, and within them only containers can be template,
+never paragraphs, headings or list items.
 
 The templates of one host are at most (elements a page) / share, whatever the number of pages. The table of all hosts'
 templates is broadcast if its counted rows are few, and otherwise joined by host, the hosts' pages dealt over salts.
@@ -20,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -39,6 +43,15 @@ SPACE_INLINE = {"br"}
 LEFT_OUT = {"script", "style", "noscript", "iframe", "template", "head", "nav", "footer", "aside", "form", "button", "select", "textarea", "input", "svg", "canvas", "object", "audio", "video", "map", "menu", "dialog", "title", "datalist", "fieldset", "option", "xmp", "noembed", "noframes", "math"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tooltip", "status"}
 TOKENS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promoted", "banner", "sidebar", "sidenav", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "masthead", "footer", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "commentlist", "disqus", "respond", "replies", "share", "sharing", "social", "related", "recommended", "widget", "widgets", "toolbar", "pagination", "pager", "skip"}
+#: Words that make a name of TOKENS no less clear.
+PLAIN = {"", "area", "bar", "block", "bottom", "box", "button", "buttons", "container", "form", "icons", "inner", "left", "link", "links", "list", "message", "posts", "primary", "right", "secondary", "section", "site", "top", "wrap", "wrapper"}
+#: Names of what readers add: however long, it isn't the page's own text.
+REMARKS = {"comment", "comments", "commentlist", "disqus", "respond", "replies"}
+#: Elements left out by their tag that a broken or odd page may wrap its text in: loosely, or only around an article.
+LOOSE = {"form", "fieldset", "dialog", "header"}
+FIRM = {"nav", "footer", "aside", "menu", "head"}
+FIRM_ROLES = {"navigation", "banner", "contentinfo", "complementary", "menu", "menubar", "toolbar"}
+KEPT, SOFT, STRONG, REMARK, NEVER = range(5)
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "tr", "dd", "dt", "figcaption", "caption", "article", "main", "body", "html"}
 #: What an opening tag closes before it, up to one of the elements that hold it in.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
@@ -46,6 +59,10 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 END_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 
+#: Where Reading counts what an element holds.
+HELD = {"p": 2, "article": 3, "main": 4}
+
+
 def host_of(url: str | None) -> str | None:
     """The lower-case host of an address, or None."""
     try:
@@ -54,37 +71,64 @@ def host_of(url: str | None) -> str | None:
         return None
 
 
-def left_out(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element is never main text, by its tag, role, class or id."""
+@lru_cache(1 << 16)
+def named(name: str) -> int:
+    """What a whole class name or id says of its element."""
+    parts = set(re.split(r"[_\-:]+", name))
+    if TOKENS.isdisjoint(parts) or not parts <= TOKENS | PLAIN:
+        return KEPT
+    return SOFT if REMARKS.isdisjoint(parts) else REMARK
+
+
+def left_out(tag: str, attributes: str, in_main: bool) -> int:
+    """Whether an element is by its tag, role, class or id not main text (over KEPT), and how surely."""
+    kind = KEPT
     if tag in LEFT_OUT or tag == "header" and not in_main:
-        return True
-    if not attributes or tag in ("html", "body", "main"):
-        return False
+        kind = SOFT if tag in LOOSE else STRONG if tag in FIRM else NEVER
+    if kind == NEVER or not attributes or tag in ("html", "body", "main"):
+        return kind
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and not TOKENS.isdisjoint(re.split(r"[\s_\-:]+", value)):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            kind = max(kind, STRONG)
+        elif name == "role" and value in ROLES:
+            kind = max(kind, STRONG if value in FIRM_ROLES else SOFT)
+        elif name in ("class", "id"):
+            kind = max(kind, *map(named, value.split()), KEPT)
+    return kind
 
 
 class Reading:
     """One pass over a page: its blocks of text and its block elements' subtrees."""
 
-    def __init__(self, page: str | None, templates: frozenset[int] = frozenset()):
+    def __init__(self, page: str | None, templates: frozenset[int] = frozenset(), wrappers: frozenset[int] = frozenset()):
         self.blocks: list[tuple[bool, str]] = []  # (within article or main, text)
         self.subtrees: list[tuple[bool, int]] = []  # (within article or main, hash), of those that can be template
         self.has_main = False
         self._text: list[str] = []
-        self._stack: list[list] = []  # tag, left out, block, within main, first block, hash parts, main element
+        self._stack: list[list] = []  # tag, left out, block, within main, first block, hash parts, main element, place, kind, kind for counting text (the greatest above, a link's as NEVER), held before it
+        self._opened = 0
+        self._held = [0] * 5  # so far: characters outside links and what is STRONG, or REMARK, and up; paragraphs; articles; main elements
+        self._doubted: list[tuple[int, int, list[int]]] = []  # place, kind, held
         self._templates = templates
+        self._spared = wrappers
         if page:
             self._read(page)
         while self._stack:
             self._close()
         self._flush()
+        if not wrappers and (found := self._wrappers()):
+            self.__init__(page, templates, found)
+
+    def _wrappers(self) -> frozenset[int]:
+        """The places of elements not to leave out: those around the main element; loose ones with most of the text and a paragraph or article; and others, but for remarks, with most of the text and an article."""
+        loose, firm = self._held[:2]
+        return frozenset(
+            place
+            for place, kind, (a, b, paragraphs, articles, mains) in self._doubted
+            if mains or kind == SOFT and (paragraphs or articles) and 2 * a > loose or kind < REMARK and articles and 2 * b > firm
+        )
 
     def text(self) -> str:
         return "\n\n".join(t for inside, t in self.blocks if inside or not self.has_main)
@@ -108,24 +152,38 @@ class Reading:
         text = html.unescape(raw) if "&" in raw else raw
         if self._stack:
             self._stack[-1][5].append(text)
+        uncounted = self._stack[-1][9] if self._stack else KEPT
+        if uncounted < REMARK:
+            size = len(text.strip())
+            self._held[1] += size
+            if uncounted < STRONG:
+                self._held[0] += size
         if not self._out():
             self._text.append(text)
 
     def _open(self, tag: str, attributes: str) -> None:
-        out = self._out() or left_out(tag, attributes, self._within())
+        place, kind = self._opened, left_out(tag, attributes, self._within())
+        self._opened += 1
+        above = self._stack[-1][9] if self._stack else KEPT
+        uncounted = max(above, NEVER if tag == "a" else kind)
+        out = self._out() or kind > KEPT and place not in self._spared
         block = tag not in INLINE
         if block:
             self._flush()
         main = tag in ("article", "main") and not out
         self.has_main |= main
-        self._stack.append([tag, out, block, main or self._within(), len(self.blocks), [tag], main])
+        self._stack.append([tag, out, block, main or self._within(), len(self.blocks), [tag], main, place, kind, uncounted, self._held[:] if KEPT < kind < NEVER else None])
+        if tag in HELD and uncounted < NEVER:
+            self._held[HELD[tag]] += 1
 
     def _close(self) -> None:
-        tag, out, block, within, first, parts, main = self._stack[-1]
+        tag, out, block, within, first, parts, main, place, kind, _, held = self._stack[-1]
         if block and not out:
             self._flush()
         h = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) >> 1
         self._stack.pop()
+        if held:
+            self._doubted.append((place, kind, [y - x for x, y in zip(held, self._held, strict=True)]))
         if self._stack:
             self._stack[-1][5].append(f"\x01{h:x}")
         # Whether it can be template: a block with more in it than its tag, and inside the article only a container.
