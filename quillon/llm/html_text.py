@@ -2,16 +2,18 @@
 
 Every page is read as a stream of tags. Each block element's subtree gets a hash from its tag, its text and its
 children's hashes; Spark counts for each host on how many different articles' pages a subtree stands (copies of one
-article count once), and a subtree on at least ``share`` of them, and on ``least``, is template. A second reading
+article count once), and a subtree on at least ``least`` of them is template, whatever the host's size; on a small host,
+one on ``share`` of them, if that is 3 or more. A second reading
 leaves out template subtrees together with elements that by tag, role or class are menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or reader comments. A class or id tells that by a whole name ("sidebar") or
 one made of such words and plain ones ("cookie-box"), not by a part ("has-sidebar"). An element that holds the main
 element, or most of the page's text outside links, is a wrapper and never left out (``Reading._wrappers``). If a page
-has article or main elements, the rest of the page is left out too, and within them only containers can be template,
-never paragraphs, headings or list items.
+has article or main elements, the rest of the page is left out too. Within them paragraphs, headings and list items can
+be template as well, those of under ``BRIEF`` words only on ``share`` of the pages; table cells can't. What is template
+there by its count alone, or isn't a container, stays if it is over half of the article: then the pages are near copies.
 
-The templates of one host are at most (elements a page) / share, whatever the number of pages. The table of all hosts'
-templates is broadcast if its counted rows are few, and otherwise joined by host, the hosts' pages dealt over salts.
+The templates of one host are at most its elements / least. The table of all hosts' templates is broadcast if its
+counted hosts and hashes are few, and otherwise joined by host, the hosts' pages dealt over salts.
 
 Defined cases: a null or empty page has the empty text; a page without a host has no site and loses no template; broken
 and unclosed markup is closed where a browser would close it, or by the end; repeated rows are extracted alike; an
@@ -53,6 +55,11 @@ FIRM = {"nav", "footer", "aside", "menu", "head"}
 FIRM_ROLES = {"navigation", "banner", "contentinfo", "complementary", "menu", "menubar", "toolbar"}
 KEPT, SOFT, STRONG, REMARK, NEVER = range(5)
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "tr", "dd", "dt", "figcaption", "caption", "article", "main", "body", "html"}
+#: Leaves that can be template within an article, and how many words they need for that by count; the fewest pages that a template is on.
+TEXTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote"}
+BRIEF, FEWEST = 5, 3
+#: Set in the hashes of what stands within article or main.
+INSIDE = 1 << 62
 #: What an opening tag closes before it, up to one of the elements that hold it in.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 #: Block elements that end an open paragraph.
@@ -102,9 +109,9 @@ def left_out(tag: str, attributes: str, in_main: bool) -> int:
 class Reading:
     """One pass over a page: its blocks of text and its block elements' subtrees."""
 
-    def __init__(self, page: str | None, templates: frozenset[int] = frozenset(), wrappers: frozenset[int] = frozenset()):
-        self.blocks: list[tuple[bool, str]] = []  # (within article or main, text)
-        self.subtrees: list[tuple[bool, int]] = []  # (within article or main, hash), of those that can be template
+    def __init__(self, page: str | None, templates: frozenset[int] = frozenset(), recurring: frozenset[int] = frozenset(), wrappers: frozenset[int] = frozenset()):
+        self.blocks: list[list] = []  # within article or main, text, recurring there
+        self.subtrees: list[tuple[bool, int]] = []  # (brief, hash), of those that can be template
         self.has_main = False
         self._text: list[str] = []
         self._stack: list[list] = []  # tag, left out, block, within main, first block, hash parts, main element, place, kind, kind for counting text (the greatest above, a link's as NEVER), held before it
@@ -112,6 +119,7 @@ class Reading:
         self._held = [0] * 5  # so far: characters outside links and what is STRONG, or REMARK, and up; paragraphs; articles; main elements
         self._doubted: list[tuple[int, int, list[int]]] = []  # place, kind, held
         self._templates = templates
+        self._recurring = recurring
         self._spared = wrappers
         if page:
             self._read(page)
@@ -119,7 +127,7 @@ class Reading:
             self._close()
         self._flush()
         if not wrappers and (found := self._wrappers()):
-            self.__init__(page, templates, found)
+            self.__init__(page, templates, recurring, found)
 
     def _wrappers(self) -> frozenset[int]:
         """The places of elements not to leave out: those around the main element; loose ones with most of the text and a paragraph or article; and others, but for remarks, with most of the text and an article."""
@@ -131,7 +139,9 @@ class Reading:
         )
 
     def text(self) -> str:
-        return "\n\n".join(t for inside, t in self.blocks if inside or not self.has_main)
+        own = [(t, again) for inside, t, again in self.blocks if inside or not self.has_main]
+        near_copy = 2 * sum(len(t) for t, again in own if again) > sum(len(t) for t, _ in own)
+        return "\n\n".join(t for t, again in own if near_copy or not again)
 
     def _within(self) -> bool:
         return bool(self._stack) and self._stack[-1][3]
@@ -144,7 +154,7 @@ class Reading:
             block = " ".join("".join(self._text).split())
             self._text.clear()
             if block:
-                self.blocks.append((self._within(), block))
+                self.blocks.append([self._within(), block, False])
 
     def _say(self, raw: str) -> None:
         if not raw:
@@ -186,11 +196,19 @@ class Reading:
             self._doubted.append((place, kind, [y - x for x, y in zip(held, self._held, strict=True)]))
         if self._stack:
             self._stack[-1][5].append(f"\x01{h:x}")
-        # Whether it can be template: a block with more in it than its tag, and inside the article only a container.
-        if block and not out and len(parts) > 1 and not main and not (within and tag in LEAVES) and tag not in ("html", "body"):
-            self.subtrees.append((within, h))
-            if h in self._templates:
+        # Whether it can be template: a block with more in it than its tag, and inside the article a container or text.
+        leaf = within and tag in LEAVES
+        if block and not out and len(parts) > 1 and not main and not (leaf and tag not in TEXTS) and tag not in ("html", "body"):
+            h = h | INSIDE if within else h & ~INSIDE
+            self.subtrees.append((leaf and sum(len(x[1].split()) for x in self.blocks[first:]) < BRIEF, h))
+            if h in self._templates and not leaf:
                 del self.blocks[first:]
+            elif h in self._templates or h in self._recurring:
+                if within:
+                    for x in self.blocks[first:]:
+                        x[2] = True
+                else:
+                    del self.blocks[first:]
 
     def _read(self, page: str) -> None:
         at, n = 0, len(page)
@@ -247,7 +265,7 @@ class Reading:
                     return
 
 
-_SUBTREE = T.StructType([T.StructField("host", T.StringType()), T.StructField("inside", T.BooleanType()), T.StructField("h", T.LongType()), T.StructField("content", T.LongType())])
+_SUBTREE = T.StructType([T.StructField("host", T.StringType()), T.StructField("brief", T.BooleanType()), T.StructField("h", T.LongType()), T.StructField("content", T.LongType())])
 _TEXT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
 
@@ -261,23 +279,31 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = Reading(page.as_py())
             content = xxhash.xxh3_64_intdigest(r.text().encode("utf-8", "surrogatepass")) >> 1
             rows.add((host, None, None, content))
-            rows.update((host, inside, h, content) for inside, h in r.subtrees)
+            rows.update((host, brief, h, content) for brief, h in r.subtrees)
         cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=_SUBTREE.names)
 
 
 def templates(pages: DataFrame, share: float = 0.5, least: int = 10) -> DataFrame:
-    """(host, hashes): each host's template subtrees."""
+    """(host, hashes, recurring): each host's template subtrees on the share of its pages, and the others."""
     seen = need(pages, url=T.StringType(), html=T.StringType()).mapInArrow(_hashed, _SUBTREE).distinct()
-    counted = seen.groupBy("host", "inside", "h").agg(F.count("*").alias("n"))
-    counted = written(counted.where((F.col("n") >= least) | F.col("h").isNull()), "html-subtrees")
+    counted = seen.groupBy("host", "brief", "h").agg(F.count("*").alias("n"))
+    fewest = min(FEWEST, least)
+    counted = written(counted.where((F.col("n") >= fewest) | F.col("h").isNull()), "html-subtrees")
     hosts = counted.where("h is null").select("host", F.col("n").alias("pages"))
-    return counted.where("h is not null").join(hosts, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_set("h").alias("hashes"))
+    large = F.col("n") >= share * F.col("pages")
+    found = counted.where("h is not null").join(hosts, "host").where(large | (F.col("n") >= least) & ~F.col("brief"))
+    return found.groupBy("host").agg(F.collect_set(F.when(large, F.col("h"))).alias("hashes"), F.collect_set(F.when(~large, F.col("h"))).alias("recurring"))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [Reading(page.as_py(), frozenset(known or ())).text() for page, known in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
+        known: dict[str | None, tuple[frozenset[int], frozenset[int]]] = {}
+        texts = []
+        for i, (page, host) in enumerate(zip(b.column(2), b.column(3).to_pylist(), strict=True)):
+            if host not in known:
+                known[host] = frozenset(b.column(4)[i].as_py() or ()), frozenset(b.column(5)[i].as_py() or ())
+            texts.append(Reading(page.as_py(), *known[host]).text())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=_TEXT.names)
 
 
@@ -287,10 +313,11 @@ def extract(pages: DataFrame, share: float = 0.5, least: int = 10, broadcast_hos
     known = written(templates(rows, share, least), "html-templates")
     # The host as host_of() has it: scheme, then user, then name, then port.
     rows = rows.withColumn("host", F.lower(F.regexp_extract("url", r"^[^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
-    few = known.limit(broadcast_hosts + 1).count() <= broadcast_hosts  # a host's row is at most a page's elements / share long
+    n_hosts, n_hashes = known.agg(F.count("*"), F.coalesce(F.sum(F.size("hashes") + F.size("recurring")), F.lit(0))).first()
+    few = n_hosts <= broadcast_hosts and n_hashes <= 100 * broadcast_hosts
     if few:
         met = rows.join(F.broadcast(known), "host", "left")
     else:
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
         met = rows.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["host", "salt"], "left")
-    return met.select("page_id", "url", "html", "hashes").mapInArrow(_extracted, _TEXT)
+    return met.select("page_id", "url", "html", "host", "hashes", "recurring").mapInArrow(_extracted, _TEXT)

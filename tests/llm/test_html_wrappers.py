@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillon.llm.html_text import Reading
+from quillon.llm.html_text import Reading, extract
 
 ARTICLE = "<article><h1>Head</h1><p>One sentence of the text.</p><p>Another one of it.</p></article>"
 TEXT = "Head\n\nOne sentence of the text.\n\nAnother one of it."
@@ -37,3 +37,35 @@ def test_boilerplate_is_still_left_out(extra):
     assert Reading(f"<body>{PLAIN}{extra}</body>").text() == TEXT
     assert Reading(f"<body>{ARTICLE}{extra}</body>").text() == TEXT
     assert Reading(f"<body>{ARTICLE.replace('</article>', extra + '</article>')}</body>").text() == TEXT
+
+
+def own(host, i, words=40):
+    return " ".join(f"{host}{i}w{k}" for k in range(words))
+
+
+def test_recurring_blocks_below_the_whole_site(spark):
+    box, notice, brief = "<div><p>See this section of our site</p></div>", "<p>This repeated notice stands in many articles</p>", "<h2>Introduction</h2>"
+    pages, expected = [], {}
+
+    def add(host, i, before, inside, text):
+        pages.append((len(pages), f"http://{host}.example/{i}", f"<body>{before}{inside}</body>"))
+        expected[len(pages) - 1] = text
+
+    for i in range(100):  # an unnamed block of a section
+        t = own("a", i)
+        add("a", i, box if i < 30 else "", f"<div><p>{t}</p></div>", t)
+    for i in range(100):  # a notice within articles, and a heading that is the articles' own
+        t = own("b", i)
+        add("b", i, "", f"<article>{notice if i < 12 else ''}{brief if i < 15 else ''}<p>{t}</p></article>", ("Introduction\n\n" if i < 15 else "") + t)
+    for i in range(4):  # a small host
+        t = own("c", i)
+        add("c", i, box, f"<article>{notice}<p>{t}</p></article>", t)
+    for i in range(30):  # near copies of one article, and a table
+        t, cell = own("d", 0), f"<table><tr><td>{i}</td><td>the same five words here</td></tr></table>"
+        add("d", i, "", f"<article><p>{t}</p>{cell}</article>", f"{t}\n\n{i}\n\nthe same five words here")
+    for i in range(2):  # too few pages to tell
+        t = own("e", i)
+        add("e", i, "", f"<div>{box}<p>{t}</p></div>", f"See this section of our site\n\n{t}")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for broadcast in (10_000, 0):
+        assert {r["page_id"]: r["text"] for r in extract(df, broadcast_hosts=broadcast).collect()} == expected
