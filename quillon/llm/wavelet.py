@@ -221,13 +221,34 @@ def ids_of(path: str) -> Callable[[str], bytes]:
     return encode
 
 
+def encoder_of(path: str) -> Callable[[str | None], bytes]:
+    """text -> its token ids as the library's encode has them without special tokens of its own: the file's added tokens stand for themselves.
+
+    A text that holds the string of an added token is encoded whole by the library; for the others ``ids_of`` is the same.
+    """
+    from tokenizers import Tokenizer
+
+    plain, own = ids_of(path), Tokenizer.from_file(path)
+    own.no_truncation()
+    own.no_padding()
+    added = [re.escape(t.content) for t in own.get_added_tokens_decoder().values() if t.content]
+    if not added:
+        return plain
+    find = re.compile("|".join(added)).search
+
+    def encode(text: str | None) -> bytes:
+        return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text and find(text) else plain(text)
+
+    return encode
+
+
 _WROTE = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n_tokens", T.LongType())])
 _READ = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
 def _writer(tokenizer: str, folder: str, end_id: int, shard_tokens: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = ids_of(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         ids: list[bytes] = []
         docs: list[int | None] = []
