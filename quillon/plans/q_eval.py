@@ -299,7 +299,7 @@ def length_bucket_batches(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT vec_id, label::BIGINT AS at, round(embedding[label + 1]::DOUBLE, 6) AS x FROM embeddings")
 def unpermute(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 10).alias("e"))
+    e = read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("e"))
     perm = render.permutation(F.col("vec_id").cast("string"), F.lit("choice"), F.col("e"))
     e = e.withColumn("perm", perm).withColumn("shown", F.transform("perm", lambda i: F.get("e", i)))
     back = e.withColumn("back", ar.unpermute(F.col("shown"), F.col("perm")))

@@ -41,3 +41,10 @@ def test_middle_truncate_keeps_the_real_tail(spark, tmp_path):
         cut = ids if n <= 100 else ids[:48] + [0, 0, 0] + ids[-49:]
         expected[i] = (len(cut), sum(cut))
     assert {r["doc_id"]: (r["n"], r["s"]) for r in QUERIES["middle_truncate"](spark, str(tmp_path)).collect()} == expected
+
+
+def test_unpermute_restores_whole_vectors(spark, tmp_path):
+    rows = [(i, i * 7 % 64, [float(100 * i + k) for k in range(64)]) for i in range(20)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: (r["at"], r["x"]) for r in QUERIES["unpermute"](spark, str(tmp_path)).collect()}
+    assert got == {i: (at, e[at]) for i, at, e in rows}
