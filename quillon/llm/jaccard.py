@@ -145,7 +145,8 @@ def _members(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = sets_of(b.column(1).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=_MEMBER.names)
+            found = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*found, *b.columns[2:]], names=[*_MEMBER.names, *b.schema.names[2:]])
 
     return run
 
@@ -244,14 +245,13 @@ def _compared(pairs: DataFrame, sets: DataFrame, measure: Measure, blocks: int,
     return dealt.groupBy("block").cogroup(asked.join(sets, "cid").select("at", "cid", "hashes").groupBy("at")).applyInArrow(_compare(measure), _LINK)
 
 
-def join(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, sample_rows: int = 16384) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id (the least id reachable by links) and n_copies (rows with its set)."""
+def _classed(rows: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, sample_rows: int = 16384) -> tuple[DataFrame, DataFrame]:
+    """The members, a row for each of rows (doc_id, text and what is to stay with them), and the classes: cid, component (their least cid), component_id and n_copies."""
     measure = Measure(shingle, num, den)
-    rows = need(docs, doc_id=T.LongType(), text=T.StringType())
     total, size = rows.agg(F.count("text"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = max(1, -(-size // SHARD_BYTES))
-    members = written(rows.mapInArrow(_members(shingle), _MEMBER), "jaccard-members")
-    shared = docs.sparkSession.sparkContext.broadcast(allocate(rows.where("text is not null").select("text"), total, measure, sample_rows))  # bounded by the sample
+    members = written(rows.mapInArrow(_members(shingle), T.StructType([*_MEMBER.fields, *rows.schema.fields[2:]])), "jaccard-members")
+    shared = rows.sparkSession.sparkContext.broadcast(allocate(rows.where("text is not null").select("text"), total, measure, sample_rows))  # bounded by the sample
     given = rows.where("text is not null").select("text").mapInArrow(_given(shared, shards), _GIVEN)
     entries = written(given.groupBy("bucket").applyInArrow(_shared_keys, _ENTRY), "jaccard-keys")
 
@@ -286,13 +286,28 @@ def join(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, sampl
 
     named = copies.join(final.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "component").select("cid", "component_id", "n_copies")
-    return members.join(classes, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return members, named.join(least, "component").select("cid", "component", "component_id", "n_copies")
+
+
+def join(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, sample_rows: int = 16384) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id (the least id reachable by links) and n_copies (rows with its set)."""
+    members, classes = _classed(need(docs, doc_id=T.LongType(), text=T.StringType()), shingle, num, den, sample_rows)
+    return members.join(classes.drop("component"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, with one document of each component: that of the least id, the first of its repeated rows by text."""
-    found = join(docs, **options).select("doc_id", "component_id").where("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.withColumn("id_", F.col("doc_id").cast("long")).join(found.withColumnRenamed("doc_id", "id_"), "id_", "left_semi").drop("id_")
-    return kept.withColumn("row_", F.row_number().over(once)).where("row_ = 1").drop("row_").unionByName(docs.where("doc_id is null"))
+    """docs, all columns, with one row of each component: that of the least id, rows without an id last, the first by text.
+
+    Rows are told apart by id and text, so different texts under one id are judged apart. Rows without words link to
+    nothing: one of those with the same id is kept, and all without an id.
+    """
+    rows = need(docs, doc_id=T.LongType(), text=T.StringType()).withColumn("text_key", F.xxhash64("text"))
+    members, classes = _classed(rows, **options)
+    placed = members.join(classes.select("cid", "component"), "cid", "left").select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.col("component").alias("component_")).distinct()
+    first = placed.where("component_ is not null").groupBy(F.col("component_").alias("c_")).agg(F.min("id_").alias("least_"))
+    found = placed.join(first, F.col("component_") == F.col("c_"), "left").where("component_ is null or id_ <=> least_").select("id_", "key_", "component_")
+    met = docs.withColumns({"at_": F.col("doc_id").cast("long"), "text_": F.xxhash64(F.col("text").cast("string"))}).join(found, F.col("at_").eqNullSafe(F.col("id_")) & (F.col("text_") == F.col("key_")))
+    apart = "at_ is null and component_ is null"
+    once = Window.partitionBy("at_", "component_").orderBy("text")
+    one = met.where(f"not ({apart})").withColumn("row_", F.row_number().over(once)).where("row_ = 1")
+    return one.select(*docs.columns).union(met.where(apart).select(*docs.columns))
