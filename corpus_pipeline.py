@@ -39,7 +39,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", rules), ("line_dedup", lines), ("near_duplicates", near), ("mix", mix), ("pieces", encode)]
 
-#: The quality trees, components over whole texts and piece search aren't SQL; tests compare with brute force.
+#: The quality trees, components over whole texts and piece search aren't SQL. Tests compare operators with brute force, not the rows of the stages or of run().
 ORACLE_SQL = None
 
 
