@@ -19,10 +19,12 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; where it is unset (tests), a folder of this session's own."""
+    """The folder in spark.checkpoint.dir, which all executors see; where it is unset and Spark runs in one process (tests), a folder of this session's own."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = "file://" + tempfile.mkdtemp(prefix="quillon-")
@@ -35,20 +37,23 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts its lineage, and outlives lost executors."""
+    """df as a table in the shared folder: cuts its lineage, and outlives lost executors. ``dropped`` deletes it."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # what the job shuffled may go now
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.path_written = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a path in the shared folder through Hadoop's own file systems."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` once nothing is going to read them, through Hadoop's own file systems."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.path_written)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,11 +12,21 @@ segments; at a similarity of t two sets differ in at most D hashes, so
   of their one-deletion neighbourhoods meet.
 
 The allocation of each band is the cheaper one by keys given and pairs met on a sample of at most ``sample_rows``
-documents, which also names the frequent keys; neither changes the result. Keys of several classes make candidates.
-First each class is compared with the partner that it shares most keys with among the most connected of each key. Then,
-with the components these links make, the classes of a key that lie in different components are compared, so every pair
-that shares a key is linked, compared, or already joined. Comparing is exact on whole sets, which travel once to each
-block of pairs; a partner of very many classes is dealt over several blocks.
+documents, which also names at most ``frequent_keys`` frequent keys; neither changes the result.
+
+Pairs of classes that share a key are verified without meeting all pairs of a large group:
+
+1. Each class is compared with the class that it shares most keys with among the most connected of each key, the pivots.
+   These links' components settle most keys.
+2. Under a key that still spans components, the classes of a small group (``small`` at most) are compared pair by pair.
+3. In a larger group each class is compared with the group's pivot p, and keeps its difference to p. For two classes
+   |A ^ B| = |(A ^ p) ^ (B ^ p)|, so they are linked only if their differences to p differ by D hashes at most. If those
+   have nothing in common, both are linked to p. Else, in one order from rare to frequent, the hash that both have first
+   stands at positions i and j with i + j <= D, as what stands before it is in one of them only: so the D + 1 rarest
+   hashes of each difference are keys with a position, and classes of other components that meet under one within those
+   positions are compared. The order (by the least ``hints`` classes of the group, by hash) changes the cost alone.
+
+Comparing is exact on whole sets, which travel once to each block of pairs; a large group is dealt over several blocks.
 
 Defined cases: a null text or one without words has no set, n_shingles 0 and links to nothing; fewer words than a
 shingle are one shingle together; repeated rows are one class; documents without an id are left out of components' names
@@ -29,16 +39,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, written
+from .common import dropped, need, written
 from .components import components
-from .passages import BASE, PAIR, SHARD_BYTES, Texts, _mixed, _pack, _PACK, _unpack, rolled
+from .wordhash import BASES, Words, mixed, rolled
 
-PAIRS_A_BLOCK = 8192
+SHARD_BYTES = 8 << 20
+#: Hashes of the sets of a group that go to one block.
+BLOCK_HASHES = 1 << 20
+PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 class Measure:
@@ -75,18 +90,20 @@ class Measure:
             yield b - 1, self.differ(below, size)
 
 
-def sets_of(texts: list[str | None], n: int) -> list[np.ndarray]:
+def sets_of(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     """Each text's distinct shingles, as sorted hashes; empty without words."""
-    t = Texts(texts, lower=True)
-    grams = rolled(t.hashes()[0], n, BASE) if len(t.ids) else np.zeros(0, np.uint64)
+    w = Words(texts, lower=True)
+    h = w.hashes()
+    grams = rolled(h, n, BASES[0])
     out = []
-    for a, e in zip(t.starts.tolist(), t.ends.tolist(), strict=True):
+    for a, e in zip(w.first.tolist(), w.last.tolist(), strict=True):
         if e - a >= n:
-            out.append(np.unique(grams[a : e - n + 1]))
-        elif e > a:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b"\x00" + b" ".join(t.words[i] for i in t.ids[a:e].tolist()))], np.uint64))
+            found = np.sort(grams[a : e - n + 1])
+            new = np.ones(len(found), bool)
+            np.not_equal(found[1:], found[:-1], out=new[1:])
+            out.append(found[new])
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(mixed(rolled(h[a:e], e - a, BASES[1])) if e > a else h[:0])
     return out
 
 
@@ -99,12 +116,12 @@ def keys(s: np.ndarray, b: int, segments: int, deletions: bool) -> np.ndarray:
     """The keys of a set's segments in a scheme and, with deletions, of all they leave without one hash."""
     at = ((s * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(35)) % np.uint64(segments)
     at = at.astype(np.int64)
-    own = _mixed(s ^ np.uint64(0x5851F42D4C957F2D))
+    own = mixed(s ^ np.uint64(0x5851F42D4C957F2D))
     sums = np.zeros(segments, np.uint64)
     np.add.at(sums, at, own)
-    salt = _mixed(np.arange(segments, dtype=np.uint64) + np.uint64((b << 40) + (int(deletions) << 32) + 1))
-    out = _mixed(sums ^ salt)
-    return np.concatenate([out, _mixed((sums[at] - own) ^ salt[at])]) if deletions else out
+    salt = mixed(np.arange(segments, dtype=np.uint64) + np.uint64((b << 40) + (int(deletions) << 32) + 1))
+    out = mixed(sums ^ salt)
+    return np.concatenate([out, mixed((sums[at] - own) ^ salt[at])]) if deletions else out
 
 
 class Plan:
@@ -133,22 +150,20 @@ class Plan:
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-_MEMBER = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("cid", T.LongType())])
-_TRIED = T.StructType([T.StructField("b", T.IntegerType()), T.StructField("thin", T.BooleanType()), T.StructField("key", T.LongType()), T.StructField("cid", T.LongType())])
-_GIVEN = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("pairs", T.BinaryType())])
-_ENTRY = T.StructType([T.StructField("key", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("n", T.LongType())])
-_SET = T.StructType([T.StructField("cid", T.LongType()), T.StructField("hashes", T.BinaryType())])
-_LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+def schema(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
 
-def _members(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = sets_of(b.column(1).to_pylist(), n)
-            found = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*found, *b.columns[2:]], names=[*_MEMBER.names, *b.schema.names[2:]])
-
-    return run
+_LONG, _BYTES = T.LongType(), T.BinaryType()
+_TRIED = schema(b=T.IntegerType(), thin=T.BooleanType(), key=_LONG, cid=_LONG)
+_GIVEN = schema(bucket=_LONG, pairs=_BYTES, sizes=_BYTES, members=_BYTES)
+#: A class under a key (key, cid, size, n: how many classes have the key), or without a key a document (cid, size, doc_id, place).
+_FOUND = schema(key=_LONG, cid=_LONG, size=_LONG, n=_LONG, doc_id=_LONG, place=_LONG)
+_PACK = schema(shard=_LONG, pack=_BYTES)
+_SET = schema(cid=_LONG, hashes=_BYTES)
+_LINK = schema(a=_LONG, b=_LONG)
+_NEAR = schema(bucket=_LONG, pack=_BYTES)
+_MET = schema(group=_LONG, a=_LONG, b=_LONG, size=_LONG)
 
 
 def _tried(measure: Measure, thin_bands: int):
@@ -157,7 +172,7 @@ def _tried(measure: Measure, thin_bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for s in sets_of(batch.column(0).to_pylist(), measure.n):
+            for s in sets_of(batch.column(0).cast(pa.binary()).to_pylist(), measure.n):
                 for b, _ in measure.schemes(len(s)) if len(s) else ():
                     for thin in (False, True)[: 1 + (b <= thin_bands)]:
                         k = np.unique(keys(s, b, plan.segments(b, thin), thin)).view(np.int64)
@@ -168,67 +183,143 @@ def _tried(measure: Measure, thin_bands: int):
     return run
 
 
-def allocate(texts: DataFrame, total: int, measure: Measure, sample_rows: int, thin_bands: int = 5) -> Plan:
-    """The plan by a sample; a key is frequent if three classes of the sample have it."""
+def allocate(texts: DataFrame, total: int, measure: Measure, sample_rows: int, thin_bands: int = 5, frequent_keys: int = 1 << 20) -> Plan:
+    """The plan by a sample; a key is frequent if three classes of the sample have it, the most frequent ones first."""
     every = max(1, -(-total // sample_rows))
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).limit(sample_rows)
     found = sample.mapInArrow(_tried(measure, thin_bands), _TRIED).distinct().groupBy("b", "thin", "key").agg(F.count("*").alias("n"))
-    found = written(found, "jaccard-sample")
+    found = written(found.where("n > 1").unionByName(found.where("n = 1").groupBy("b", "thin").agg(F.count("*").alias("n")).withColumn("key", F.lit(None).cast("long"))), "jaccard-sample")
     scale = max(1.0, total / sample_rows)
-    costs = {(r["b"], r["thin"]): r["given"] + scale * r["met"] for r in found.groupBy("b", "thin").agg(F.sum("n").alias("given"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("met")).collect()}
+    met = F.when(F.col("key").isNull(), 0).otherwise(F.col("n") * (F.col("n") - 1) / 2)
+    costs = {(r["b"], r["thin"]): r["given"] + scale * r["met"] for r in found.groupBy("b", "thin").agg(F.sum("n").alias("given"), F.sum(met).alias("met")).collect()}
     thin = frozenset(b for b, t in costs if t and costs[b, True] < costs.get((b, False), 0.0))
-    top = found.where(~F.col("thin") & (F.col("n") >= 3)).select("key", "n").toPandas()  # at most sample_rows * segments / 3
+    top = found.where(~F.col("thin") & F.col("key").isNotNull() & (F.col("n") >= 3)).orderBy(F.desc("n"), "key").limit(frequent_keys).select("key", "n").toPandas()
+    dropped(found)
     k = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(k)
     return Plan(measure, thin, k[order], top["n"].to_numpy(np.int64)[order])
 
 
-def _given(shared, buckets: int):
+def _parts(of: np.ndarray) -> list[np.ndarray]:
+    """The places of each value."""
+    order = np.argsort(of, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(of) else []
+
+
+def _stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+
+
+def _streamed(raw: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw.as_buffer())).read_all()
+
+
+def _given(shared, buckets: int, total: int, sample_rows: int):
+    """For each batch (doc_id, place, text) its documents in one row, and a row for each hash range of its classes' keys.
+
+    A key that the sample calls frequent is dealt by class over as many ranges as its share of all rows asks for, so that no range holds all of a hot key.
+    """
+    a_range = 1 << 20  # classes of one key in one range
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
+        salts = np.maximum(1, plan.counts * max(1, total // sample_rows) // a_range).astype(np.uint64)
         for b in batches:
+            sets = sets_of(b.column(2).cast(pa.binary()).to_pylist(), plan.measure.n)
+            cids = [class_of(s) if len(s) else None for s in sets]
             parts: dict[int, np.ndarray] = {}
-            for s in sets_of(b.column(0).to_pylist(), plan.measure.n):
-                if len(s) and (c := class_of(s)) not in parts:
-                    parts[c] = plan.chosen(s)
-            pairs = np.empty(sum(map(len, parts.values())), PAIR)
-            if not len(pairs):
-                continue
-            pairs["a"] = np.concatenate(list(parts.values()))
-            pairs["b"] = np.repeat(np.fromiter(parts, np.uint64, len(parts)), [len(k) for k in parts.values()])
-            bucket = (pairs["a"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            split = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in split], pa.int64()), pa.array([pairs[p].tobytes() for p in split], pa.binary())], names=_GIVEN.names)
+            sizes = {}
+            for c, s in zip(cids, sets, strict=True):
+                if c is not None and c not in parts:
+                    parts[c], sizes[c] = plan.chosen(s), len(s)
+            out = []
+            if parts:
+                pairs, size = np.empty(sum(map(len, parts.values())), PAIR), np.repeat(np.fromiter(sizes.values(), np.int64, len(sizes)), [len(k) for k in parts.values()])
+                pairs["a"] = np.concatenate(list(parts.values()))
+                pairs["b"] = np.repeat(np.fromiter(parts, np.uint64, len(parts)), [len(k) for k in parts.values()])
+                bucket = pairs["a"] % np.uint64(buckets)
+                if len(plan.frequent) and salts.max() > 1:
+                    i = np.minimum(np.searchsorted(plan.frequent, pairs["a"]), len(plan.frequent) - 1)
+                    salt = np.where(plan.frequent[i] == pairs["a"], salts[i], np.uint64(1))
+                    bucket = np.where(salt > 1, mixed(pairs["a"] ^ mixed(pairs["b"] % salt)) % np.uint64(buckets), bucket)
+                out = [(int(bucket[p[0]]), pairs[p].tobytes(), size[p].astype("<u4").tobytes(), None) for p in _parts(bucket)]
+            members = pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), b.column(0), b.column(1)], names=["cid", "size", "doc_id", "place"])
+            if b.num_rows:
+                out.append((b.column(1)[0].as_py() % buckets, None, None, _stream(members)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=_GIVEN.names)
+
+    return run
+
+
+def _shared_keys(shared, total: int, sample_rows: int):
+    """The keys of a hash range that several classes have, and the documents of the batches sent there."""
+
+    def run(t: pa.Table) -> pa.Table:
+        plan = shared.value
+        kinds = dict(zip(_FOUND.names, [pa.int64()] * len(_FOUND), strict=True))
+        out = [pa.table({k: pa.array([], v) for k, v in kinds.items()})]
+        for raw in t["members"].drop_null():
+            m = _streamed(raw)
+            none = pa.nulls(m.num_rows, pa.int64())
+            out.append(pa.table({"key": none, "cid": m["cid"], "size": m["size"], "n": none, "doc_id": m["doc_id"], "place": m["place"]}))
+        raw = t["pairs"].drop_null().to_pylist()
+        if raw:
+            pairs, size = np.concatenate([np.frombuffer(x, PAIR) for x in raw]), np.concatenate([np.frombuffer(x, "<u4") for x in t["sizes"].drop_null().to_pylist()])
+            order = np.lexsort((pairs["b"], pairs["a"]))
+            a, b = pairs["a"][order], pairs["b"][order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            a, b, size = a[new], b[new], size[order][new]
+            start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            n = np.repeat(np.diff(np.append(start, len(a))), np.diff(np.append(start, len(a))))
+            if len(plan.frequent):
+                i = np.minimum(np.searchsorted(plan.frequent, a), len(plan.frequent) - 1)
+                n = np.where(plan.frequent[i] == a, np.maximum(2, plan.counts[i] * max(1, total // sample_rows)), n)  # its classes may lie in several ranges
+            a, b, size, n = a[n > 1], b[n > 1], size[n > 1], n[n > 1]
+            none = pa.nulls(len(a), pa.int64())
+            out.append(pa.table({"key": a.view(np.int64), "cid": b.astype(np.int64), "size": size.astype(np.int64), "n": n.astype(np.int64), "doc_id": none, "place": none}))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _shared_keys(t: pa.Table) -> pa.Table:
-    """The keys of a hash range that several classes have: a row for each key and class."""
-    pairs = np.unique(np.concatenate([np.frombuffer(x, PAIR) for x in t["pairs"].to_pylist()]))
-    _, inverse, counts = np.unique(pairs["a"], return_inverse=True, return_counts=True)
-    n = counts[inverse]
-    pairs, n = pairs[n > 1], n[n > 1]
-    return pa.table({"key": pa.array(pairs["a"].view(np.int64)), "cid": pa.array(pairs["b"].astype(np.int64)), "n": pa.array(n)})
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts by shard, compressed: a row for each shard in a batch, with equal rows (by place) once."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        _, once = np.unique(b.column(1).to_numpy(zero_copy_only=False), return_index=True)
+        shards = b.column(0).to_numpy(zero_copy_only=False)[once]
+        out = [(int(shards[p[0]]), _stream(pa.RecordBatch.from_arrays([b.column(1), b.column(2)], names=["place", "text"]).take(pa.array(once[p])))) for p in _parts(shards)]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=_PACK.names)
 
 
 def _wanted_sets(n: int):
     def run(packs: pa.Table, wanted: pa.Table) -> pa.Table:
         out: dict[int, bytes] = {}
         if packs.num_rows and wanted.num_rows:
-            want = set(wanted["cid"].to_pylist())
-            for s in sets_of(_unpack(packs)[1], n):
-                if len(s) and (c := class_of(s)) in want:
-                    out[c] = s.tobytes()
+            want, places = set(wanted["cid"].to_pylist()), pa.array(wanted["place"].combine_chunks())
+            for raw in packs["pack"]:
+                t = _streamed(raw)
+                t = t.filter(pa.compute.is_in(t["place"], places))
+                for s in sets_of(t["text"].cast(pa.binary()).to_pylist(), n):
+                    if len(s) and (c := class_of(s)) in want:
+                        out[c] = s.tobytes()
         return pa.table({"cid": pa.array(list(out), pa.int64()), "hashes": pa.array(list(out.values()), pa.binary())})
 
     return run
 
 
+def _known(sets: pa.Table) -> dict[int, np.ndarray]:
+    return {c: np.frombuffer(x.as_buffer(), "<u8") for c, x in zip(sets["cid"].to_pylist(), sets["hashes"], strict=True)}
+
+
 def _compare(measure: Measure):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        known = dict(zip(sets["cid"].to_pylist(), (np.frombuffer(x, "<u8") for x in sets["hashes"].to_pylist()), strict=True))
+        known = _known(sets)
         links = [(a, b) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True) if measure.linked(known[a], known[b])]
         a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -236,78 +327,201 @@ def _compare(measure: Measure):
     return run
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, measure: Measure, blocks: int, most: int = PAIRS_A_BLOCK) -> DataFrame:
-    """Those of the distinct pairs (group, a, b) that are linked. A group's pairs meet in one block, those of a large group dealt by b."""
-    per = pairs.groupBy("group").agg(F.count("*").alias("n"))
-    dealt = pairs.join(per, "group").withColumn("block", F.pmod(F.xxhash64("group", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / most))), F.lit(blocks)).cast("long")).select("block", "a", "b")
-    dealt = written(dealt, "jaccard-pairs")
+def _dealt(pairs: DataFrame, blocks: int) -> DataFrame:
+    """Pairs (group, a, b, size of b) with their block: a group's meet in one, those of a large group are dealt by b."""
+    large = pairs.groupBy("group").agg(F.ceil(F.sum("size") / BLOCK_HASHES).alias("salts")).where("salts > 1")
+    dealt = pairs.join(large, "group", "left")
+    return dealt.withColumn("block", F.pmod(F.xxhash64("group", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))), F.lit(blocks)).cast("long")).drop("salts", "size")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, measure: Measure, blocks: int) -> DataFrame:
+    """Those of the distinct pairs (group, a, b, size of b) that are linked."""
+    dealt = written(_dealt(pairs, blocks).select("block", "a", "b"), "jaccard-pairs")
     asked = dealt.select(F.col("block").alias("at"), F.col("a").alias("cid")).union(dealt.select("block", "b")).distinct()
-    return dealt.groupBy("block").cogroup(asked.join(sets, "cid").select("at", "cid", "hashes").groupBy("at")).applyInArrow(_compare(measure), _LINK)
+    links = written(dealt.groupBy("block").cogroup(asked.join(sets, "cid").select("at", "cid", "hashes").groupBy("at")).applyInArrow(_compare(measure), _LINK), "jaccard-links")
+    dropped(dealt)
+    return links
+
+
+_ENTRY = np.dtype([("key", "<u8"), ("cid", "<i8"), ("component", "<i8"), ("group", "<i8"), ("at", "<i4"), ("size", "<i4")])
+
+
+def _prefixes(measure: Measure, p: np.ndarray, members: list[np.ndarray], hints: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each member its difference to p, the rarest hashes first, cut after the D + 1 first ones; and how large the whole differences are."""
+    seen = [np.setxor1d(p, s, assume_unique=True) for s in hints]
+    common, count = np.unique(np.concatenate(seen), return_counts=True) if seen else (p[:0], np.zeros(0, np.int64))
+    out, sizes = [], np.empty(len(members), np.int64)
+    for k, s in enumerate(members):
+        x = np.setxor1d(p, s, assume_unique=True)
+        sizes[k] = len(x)
+        often = np.zeros(len(x), np.int64)
+        if len(common):
+            i = np.minimum(np.searchsorted(common, x), len(common) - 1)
+            often = np.where(common[i] == x, count[i], 0)
+        out.append(x[np.lexsort((x, often))[: measure.differ(len(s), measure.most(len(s))) + 1]])
+    return out, sizes
+
+
+def _near(measure: Measure, buckets: int):
+    """Links of the pairs (a: pivot, b) of a block, and the keys of the differences by hash range."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        known = _known(sets)
+        links, entries = [], []
+        rows = pairs.to_pandas()
+        for p, some in rows.groupby("a"):
+            pivot, own = known[p], some[~some["hint"]]
+            members = own["b"].tolist()
+            found, sizes = _prefixes(measure, pivot, [known[c] for c in members], [known[c] for c in some["b"][some["hint"]]])
+            base = mixed(np.array([p], np.int64).view(np.uint64))[0]
+            for c, component, x, n in zip(members, own["component"].tolist(), found, sizes.tolist(), strict=True):
+                if n <= measure.differ(len(known[c]), len(pivot)):
+                    links.append((p, c))
+                e = np.empty(len(x), _ENTRY)
+                e["key"], e["cid"], e["component"], e["group"], e["at"], e["size"] = mixed(x ^ base), c, component, p, np.arange(len(x)), len(known[c])
+                entries.append(e)
+        out = [(-1, np.array(links, np.int64).tobytes())] if links else []
+        if entries:
+            every = np.concatenate(entries)
+            press = zstandard.ZstdCompressor(level=1)
+            out += [(int(every["key"][q[0]] % np.uint64(buckets)), press.compress(b"".join(every[c][q].tobytes() for c in _ENTRY.names))) for q in _parts(every["key"] % np.uint64(buckets))]
+        return pa.table({"bucket": pa.array([x for x, _ in out], pa.int64()), "pack": pa.array([x for _, x in out], pa.binary())})
+
+    return run
+
+
+def _entries(raw: bytes) -> np.ndarray:
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    n, at = len(data) // _ENTRY.itemsize, 0
+    out = np.empty(n, _ENTRY)
+    for c in _ENTRY.names:
+        out[c] = np.frombuffer(data, _ENTRY[c], n, at)
+        at += n * _ENTRY[c].itemsize
+    return out
+
+
+def _meet(measure: Measure):
+    """The classes of different components that share a key of their differences at positions that a link allows."""
+
+    def run(t: pa.Table) -> pa.Table:
+        e = np.concatenate([_entries(x) for x in t["pack"].to_pylist()])
+        e = e[np.lexsort((e["at"], e["key"]))]
+        last = np.searchsorted(e["key"], e["key"], side="right")
+        most = np.array([measure.differ(n, measure.most(n)) for n in e["size"].tolist()], np.int64)
+        found, k, live = [], 0, np.arange(len(e))
+        while len(live):
+            k += 1
+            live = live[live + k < last[live]]
+            live = live[e["at"][live] + e["at"][live + k] <= most[live]]  # positions ascend under a key
+            other = live + k
+            small, large = np.minimum(e["size"][live], e["size"][other]), np.maximum(e["size"][live], e["size"][other])
+            fits = (e["component"][live] != e["component"][other]) & (e["at"][live] + e["at"][other] <= most[other]) & (large.astype(np.int64) * measure.num <= small.astype(np.int64) * measure.den)
+            i, j = live[fits], other[fits]
+            if len(i):
+                swap = e["cid"][i] > e["cid"][j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                found.append(np.column_stack([e["group"][i], e["cid"][i], e["cid"][j], e["size"][j]]))
+        rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+        return pa.table({c: pa.array(np.ascontiguousarray(rows[:, k])) for k, c in enumerate(_MET.names)})
+
+    return run
+
+
+def _met_in_differences(pairs: DataFrame, sets: DataFrame, measure: Measure, blocks: int, hints: int) -> tuple[DataFrame, DataFrame]:
+    """For pairs (group: a pivot, a: the same, b, size, component of b): (links of these, further pairs to compare)."""
+    first = Window.partitionBy("group").orderBy(F.xxhash64("b"))
+    hinted = pairs.select("group", "b").withColumn("row", F.row_number().over(first)).where(F.col("row") <= hints).select("group", "b")
+    dealt = _dealt(pairs, blocks).withColumn("hint", F.lit(False))
+    asked_hints = dealt.select("group", "block").distinct().join(hinted, "group")
+    every = written(dealt.select("block", "a", "b", "component", "hint").union(asked_hints.select("block", F.col("group"), "b", F.lit(0).cast("long"), F.lit(True))), "jaccard-pairs")
+    asked = every.select(F.col("block").alias("at"), F.col("a").alias("cid")).union(every.select("block", "b")).distinct()
+    near = written(every.groupBy("block").cogroup(asked.join(sets, "cid").select("at", "cid", "hashes").groupBy("at")).applyInArrow(_near(measure, blocks), _NEAR), "jaccard-near")
+    links = near.where("bucket < 0").select("pack").mapInArrow(_links, _LINK)
+    met = written(near.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet(measure), _MET), "jaccard-met")
+    links = written(links, "jaccard-links")
+    dropped(every, near)
+    return links, met
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for raw in b.column(0).to_pylist():
+            rows = np.frombuffer(raw, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1]))], names=_LINK.names)
+
+
+def _place() -> Column:
+    """A document's place: a hash of its id and text."""
+    return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def _classed(rows: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, sample_rows: int = 16384) -> tuple[DataFrame, DataFrame]:
-    """The members, a row for each of rows (doc_id, text and what is to stay with them), and the classes: cid, component (their least cid), component_id and n_copies."""
+def _classed(rows: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, sample_rows: int = 16384, small: int = 16, hints: int = 256) -> tuple[DataFrame, DataFrame]:
+    """The members (doc_id, place, cid, size), a row for each of rows (doc_id, text), and the classes: cid, component (their least cid), component_id and n_copies."""
     measure = Measure(shingle, num, den)
     total, size = rows.agg(F.count("text"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = max(1, -(-size // SHARD_BYTES))
-    members = written(rows.mapInArrow(_members(shingle), T.StructType([*_MEMBER.fields, *rows.schema.fields[2:]])), "jaccard-members")
-    shared = rows.sparkSession.sparkContext.broadcast(allocate(rows.where("text is not null").select("text"), total, measure, sample_rows))  # bounded by the sample
-    given = rows.where("text is not null").select("text").mapInArrow(_given(shared, shards), _GIVEN)
-    entries = written(given.groupBy("bucket").applyInArrow(_shared_keys, _ENTRY), "jaccard-keys")
-
-    # The sets of classes with candidates, from one copy of each: that of the least id.
-    copies = members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long").alias("shard"), "doc_id", "text")
-    wanted = entries.select("cid").distinct().join(copies, "cid").select("cid", F.pmod(F.xxhash64("least"), F.lit(shards)).cast("long").alias("shard"))
-    sets = dealt.mapInArrow(_pack, _PACK).groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_wanted_sets(shingle), _SET)
+    shared = rows.sparkSession.sparkContext.broadcast(allocate(rows.where("text is not null").select("text"), total, measure, sample_rows))  # bounded by frequent_keys
+    placed = rows.select("doc_id", _place().alias("place"), "text")
+    given = placed.mapInArrow(_given(shared, shards, total, sample_rows), _GIVEN)
+    found = written(given.groupBy("bucket").applyInArrow(_shared_keys(shared, total, sample_rows), _FOUND), "jaccard-keys")
+    entries, members = found.where("key is not null").select("key", "cid", "size", "n"), found.where("key is null").select("doc_id", "place", "cid", "size")
+
+    # The sets of classes with candidates, from one copy of each: that of the least place.
+    copies = members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.count("*").alias("n_copies"))
+    at = F.pmod(F.col("place"), F.lit(shards)).cast("long").alias("shard")
+    wanted = entries.select("cid").distinct().join(copies, "cid").select("cid", "place", at)
+    sets = placed.where("text is not null").select(at, "place", "text").mapInArrow(_pack, _PACK).groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_wanted_sets(shingle), _SET)
     sets = written(sets, "jaccard-sets")
 
-    # First comparison: each class with the most connected class of a key, that of the most keys.
+    # 1: each class with the most connected class of a key, that of the most keys.
     degree = entries.groupBy("cid").agg(F.sum("n").alias("degree"))
-    ranked = entries.join(degree, "cid")
-    pivots = ranked.groupBy("key").agg(F.max_by("cid", F.struct("degree", "cid")).alias("pivot"))
-    tried = entries.join(pivots, "key").where("cid <> pivot").groupBy("cid", "pivot").agg(F.count("*").alias("keys"))
-    first = tried.groupBy("cid").agg(F.max_by("pivot", F.struct("keys", "pivot")).alias("pivot")).select(F.col("pivot").alias("group"), F.col("pivot").alias("a"), F.col("cid").alias("b"))
-    links = written(_compared(first, sets, measure, shards), "jaccard-links")
-
-    # Second comparison: what lies in different components under one key.
-    joined = components(links)
-    placed = entries.join(joined.withColumnsRenamed({"node": "cid"}), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("component"))
-    placed = written(placed, "jaccard-placed")
-    per = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = per.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1").select("key", "main")
-    torn = written(placed.join(main, "key"), "jaccard-torn")
-    left, right = torn.where("component <> main").alias("l"), torn.alias("r")
-    met = left.join(right, "key").where("l.component <> r.component and (r.component = r.main or l.cid < r.cid)")
-    # Pairs are grouped by the largest component near them, whose sets then travel together.
-    second = met.groupBy(F.greatest("l.cid", "r.cid").alias("a"), F.least("l.cid", "r.cid").alias("b")).agg(F.min("l.main").alias("group"))
-    more = _compared(second, sets, measure, shards, 8 * PAIRS_A_BLOCK)
-    final = components(links.union(written(more, "jaccard-links")))
+    pivots = entries.join(degree, "cid").groupBy("key").agg(F.max_by("cid", F.struct("degree", "cid")).alias("pivot"))
+    pivoted = written(entries.join(pivots, "key").select("key", "cid", "size", "pivot"), "jaccard-pivots")
+    tried = pivoted.where("cid <> pivot").groupBy("cid", "pivot").agg(F.count("*").alias("keys"), F.max("size").alias("size"))
+    tried = tried.groupBy("cid").agg(F.max_by(F.struct("pivot", "size"), F.struct("keys", "pivot")).alias("m"))
+    first = _compared(tried.select(F.col("m.pivot").alias("group"), F.col("m.pivot").alias("a"), F.col("cid").alias("b"), F.col("m.size").alias("size")), sets, measure, shards)
+    joined = components(first)
+
+    # 2 and 3: what lies in different components under one key.
+    spread = written(pivoted.join(joined.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "jaccard-spread")
+    torn = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "n")
+    left, right = spread.join(torn.where(F.col("n") <= small), "key").alias("l"), spread.alias("r")
+    by_pairs = left.join(right, "key").where("l.component <> r.component and l.cid < r.cid").groupBy(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).agg(F.min("l.pivot").alias("group"), F.max("r.size").alias("size"))
+    to_pivots = spread.join(torn.where(F.col("n") > small), "key").where("cid <> pivot").groupBy("pivot", "cid").agg(F.max("size").alias("size"), F.max("component").alias("component"))
+    second, met = _met_in_differences(to_pivots.select(F.col("pivot").alias("group"), F.col("pivot").alias("a"), F.col("cid").alias("b"), "size", "component"), sets, measure, shards, hints)
+    pairs = by_pairs.select("group", "a", "b", "size").union(met).groupBy("a", "b").agg(F.min("group").alias("group"), F.max("size").alias("size"))
+    third = _compared(pairs.select("group", "a", "b", "size"), sets, measure, shards)
+    dropped(met, sets, pivoted, spread)
+    final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second).union(third))
+    dropped(first, second, third, joined)
 
     named = copies.join(final.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return members, named.join(least, "component").select("cid", "component", "component_id", "n_copies")
 
 
-def join(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, sample_rows: int = 16384) -> DataFrame:
+def join(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, sample_rows: int = 16384, **options) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the least id reachable by links) and n_copies (rows with its set)."""
-    members, classes = _classed(need(docs, doc_id=T.LongType(), text=T.StringType()), shingle, num, den, sample_rows)
-    return members.join(classes.drop("component"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    members, classes = _classed(need(docs, doc_id=T.LongType(), text=T.StringType()), shingle, num, den, sample_rows, **options)
+    return members.join(classes.drop("component"), "cid", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, with one row of each component: that of the least id, rows without an id last, the first by text.
 
-    Rows are told apart by id and text, so different texts under one id are judged apart. Rows without words link to
-    nothing: one of those with the same id is kept, and all without an id.
+    Rows are told apart by id and text, so different texts under one id are judged apart; of rows alike in both any one
+    is kept. Rows without words link to nothing: one of those with the same id is kept, and all without an id. Null,
+    empty and very long texts, repeated rows and empty tables are as in ``join``; further columns of any name are kept.
     """
-    rows = need(docs, doc_id=T.LongType(), text=T.StringType()).withColumn("text_key", F.xxhash64("text"))
+    rows = need(docs, doc_id=T.LongType(), text=T.StringType())
     members, classes = _classed(rows, **options)
-    placed = members.join(classes.select("cid", "component"), "cid", "left").select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.col("component").alias("component_")).distinct()
-    first = placed.where("component_ is not null").groupBy(F.col("component_").alias("c_")).agg(F.min("id_").alias("least_"))
-    found = placed.join(first, F.col("component_") == F.col("c_"), "left").where("component_ is null or id_ <=> least_").select("id_", "key_", "component_")
-    met = docs.withColumns({"at_": F.col("doc_id").cast("long"), "text_": F.xxhash64(F.col("text").cast("string"))}).join(found, F.col("at_").eqNullSafe(F.col("id_")) & (F.col("text_") == F.col("key_")))
-    apart = "at_ is null and component_ is null"
-    once = Window.partitionBy("at_", "component_").orderBy("text")
-    one = met.where(f"not ({apart})").withColumn("row_", F.row_number().over(once)).where("row_ = 1")
-    return one.select(*docs.columns).union(met.where(apart).select(*docs.columns))
+    placed = members.join(classes.select("cid", "component"), "cid", "left").select("doc_id", "place", "component").distinct()
+    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    found = placed.join(least, "component", "left").where("component is null or doc_id <=> least").select("place", "component")
+    # The rows lie in a column of their own, so that their columns may have any names.
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("place", _place())
+    met = held.join(found, "place")
+    apart = "doc_id is null and component is null"
+    once = Window.partitionBy("doc_id", "component").orderBy("text")
+    one = met.where(f"not ({apart})").withColumn("row", F.row_number().over(once)).where("row = 1")
+    return one.select("held").union(met.where(apart).select("held")).select("held.*")
