@@ -18,15 +18,18 @@ Pairs of classes that share a key are verified without meeting all pairs of a la
 
 1. Each class is compared with the class that it shares most keys with among the most connected of each key, the pivots.
    These links' components settle most keys.
-2. Under a key that still spans components, the classes of a small group (``small`` at most) are compared pair by pair.
-3. In a larger group each class is compared with the group's pivot p, and keeps its difference to p. For two classes
+2. The classes of the keys of one pivot that still span components make a group. In a small one (``small`` classes at
+   most) all pairs are sifted by sketches, which stay in one task.
+3. In a larger group each class is compared with the pivot p, and keeps its difference to p. For two classes
    |A ^ B| = |(A ^ p) ^ (B ^ p)|, so they are linked only if their differences to p differ by D hashes at most. If those
    have nothing in common, both are linked to p. Else, in one order from rare to frequent, the hash that both have first
    stands at positions i and j with i + j <= D, as what stands before it is in one of them only: so the D + 1 rarest
    hashes of each difference are keys with a position, and classes of other components that meet under one within those
    positions are compared. The order (by the least ``hints`` classes of the group, by hash) changes the cost alone.
 
-Comparing is exact on whole sets, which travel once to each block of pairs; a large group is dealt over several blocks.
+A sketch has for each of B hash buckets whether an odd number of hashes lies there; two sets differ in at least as many
+hashes as their sketches differ in bits, so a pair whose sketches differ in more than D bits isn't linked. All other
+pairs are compared exactly on whole sets, which travel once to each block of pairs; a large group is dealt over several.
 
 Defined cases: a null text or one without words has no set, n_shingles 0 and links to nothing; fewer words than a
 shingle are one shingle together; repeated rows are one class; documents without an id are left out of components' names
@@ -90,9 +93,19 @@ class Measure:
             yield b - 1, self.differ(below, size)
 
 
-def sets_of(texts: list[bytes | None], n: int) -> list[np.ndarray]:
-    """Each text's distinct shingles, as sorted hashes; empty without words."""
-    w = Words(texts, lower=True)
+def sets_of(texts: list[bytes | None], n: int, at_once: int = 4 << 20) -> list[np.ndarray]:
+    """Each text's distinct shingles, as sorted hashes; empty without words. Texts are hashed some bytes at a time."""
+    out, some, held = [], [], 0
+    for k, t in enumerate(texts, 1):
+        some.append(t)
+        held += len(t or b"")
+        if held >= at_once or k == len(texts):
+            out += _sets(Words(some, lower=True), n)
+            some, held = [], 0
+    return out
+
+
+def _sets(w: Words, n: int) -> list[np.ndarray]:
     h = w.hashes()
     grams = rolled(h, n, BASES[0])
     out = []
@@ -112,6 +125,30 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Whether each of 2 to 4 buckets a hash (a power of two) holds an odd number of hashes."""
+    buckets = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketch:
+    """A sketch as one number, folded to as many buckets as another has."""
+
+    def __init__(self, raw: bytes):
+        self.bits, self.folds = 8 * len(raw), {8 * len(raw): int.from_bytes(raw, "little")}
+
+    def at(self, bits: int) -> int:
+        if bits not in self.folds:
+            x = self.at(2 * bits)
+            self.folds[bits] = x >> bits ^ x & ((1 << bits) - 1)
+        return self.folds[bits]
+
+    def differ(self, other: Sketch) -> int:
+        """Sets of these sketches differ in so many hashes at least."""
+        bits = min(self.bits, other.bits)
+        return (self.at(bits) ^ other.at(bits)).bit_count()
+
+
 def keys(s: np.ndarray, b: int, segments: int, deletions: bool) -> np.ndarray:
     """The keys of a set's segments in a scheme and, with deletions, of all they leave without one hash."""
     at = ((s * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(35)) % np.uint64(segments)
@@ -160,7 +197,7 @@ _GIVEN = schema(bucket=_LONG, pairs=_BYTES, sizes=_BYTES, members=_BYTES)
 #: A class under a key (key, cid, size, n: how many classes have the key), or without a key a document (cid, size, doc_id, place).
 _FOUND = schema(key=_LONG, cid=_LONG, size=_LONG, n=_LONG, doc_id=_LONG, place=_LONG)
 _PACK = schema(shard=_LONG, pack=_BYTES)
-_SET = schema(cid=_LONG, hashes=_BYTES)
+_SET = schema(cid=_LONG, sketch=_BYTES, hashes=_BYTES)
 _LINK = schema(a=_LONG, b=_LONG)
 _NEAR = schema(bucket=_LONG, pack=_BYTES)
 _MET = schema(group=_LONG, a=_LONG, b=_LONG, size=_LONG)
@@ -186,14 +223,14 @@ def _tried(measure: Measure, thin_bands: int):
 def allocate(texts: DataFrame, total: int, measure: Measure, sample_rows: int, thin_bands: int = 5, frequent_keys: int = 1 << 20) -> Plan:
     """The plan by a sample; a key is frequent if three classes of the sample have it, the most frequent ones first."""
     every = max(1, -(-total // sample_rows))
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).limit(sample_rows)
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).limit(sample_rows).repartition(16)
     found = sample.mapInArrow(_tried(measure, thin_bands), _TRIED).distinct().groupBy("b", "thin", "key").agg(F.count("*").alias("n"))
-    found = written(found.where("n > 1").unionByName(found.where("n = 1").groupBy("b", "thin").agg(F.count("*").alias("n")).withColumn("key", F.lit(None).cast("long"))), "jaccard-sample")
+    often = F.when(~F.col("thin") & (F.col("n") >= 3), F.col("key")).alias("key")
+    found = written(found.groupBy("b", "thin", often).agg(F.sum("n").alias("given"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("met")), "jaccard-sample")
     scale = max(1.0, total / sample_rows)
-    met = F.when(F.col("key").isNull(), 0).otherwise(F.col("n") * (F.col("n") - 1) / 2)
-    costs = {(r["b"], r["thin"]): r["given"] + scale * r["met"] for r in found.groupBy("b", "thin").agg(F.sum("n").alias("given"), F.sum(met).alias("met")).collect()}
+    costs = {(r["b"], r["thin"]): r["given"] + scale * r["met"] for r in found.groupBy("b", "thin").agg(F.sum("given").alias("given"), F.sum("met").alias("met")).collect()}
     thin = frozenset(b for b, t in costs if t and costs[b, True] < costs.get((b, False), 0.0))
-    top = found.where(~F.col("thin") & F.col("key").isNotNull() & (F.col("n") >= 3)).orderBy(F.desc("n"), "key").limit(frequent_keys).select("key", "n").toPandas()
+    top = found.where("key is not null").orderBy(F.desc("given"), "key").limit(frequent_keys).select("key", F.col("given").alias("n")).toPandas()
     dropped(found)
     k = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(k)
@@ -307,8 +344,9 @@ def _wanted_sets(n: int):
                 t = t.filter(pa.compute.is_in(t["place"], places))
                 for s in sets_of(t["text"].cast(pa.binary()).to_pylist(), n):
                     if len(s) and (c := class_of(s)) in want:
-                        out[c] = s.tobytes()
-        return pa.table({"cid": pa.array(list(out), pa.int64()), "hashes": pa.array(list(out.values()), pa.binary())})
+                        out[c] = sketch(s), s.tobytes()
+        sketches, sets = zip(*out.values(), strict=True) if out else ((), ())
+        return pa.table({"cid": pa.array(list(out), pa.int64()), "sketch": pa.array(sketches, pa.binary()), "hashes": pa.array(sets, pa.binary())})
 
     return run
 
@@ -327,19 +365,57 @@ def _compare(measure: Measure):
     return run
 
 
+def _sift(measure: Measure):
+    """The pairs (a, b) that sketches don't rule out."""
+
+    def run(pairs: pa.Table, sketches: pa.Table) -> pa.Table:
+        known = {c: (n, Sketch(x)) for c, n, x in zip(sketches["cid"].to_pylist(), sketches["size"].to_pylist(), sketches["sketch"].to_pylist(), strict=True)}
+        keep = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+            (m, x), (n, y) = known[a], known[b]
+            keep.append(x.differ(y) <= measure.differ(m, n))
+        return pairs.select(_MET.names).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _sift_all(measure: Measure):
+    """The pairs of each group's classes of different components that sketches don't rule out."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = []
+        for group, some in t.to_pandas().groupby("group"):
+            rows = sorted(zip(some["size"].tolist(), some["b"].tolist(), some["component"].tolist(), map(Sketch, some["sketch"]), strict=True), key=lambda r: r[:2])
+            for i, (m, a, x, p) in enumerate(rows):
+                most = measure.most(m)
+                for n, b, y, q in rows[i + 1 :]:
+                    if n > most:
+                        break
+                    if x != y and p.differ(q) <= measure.differ(m, n):
+                        out.append((group, a, b, n))
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(_MET.names, list(zip(*out, strict=True)) or [()] * 4, strict=True)})
+
+    return run
+
+
 def _dealt(pairs: DataFrame, blocks: int) -> DataFrame:
     """Pairs (group, a, b, size of b) with their block: a group's meet in one, those of a large group are dealt by b."""
     large = pairs.groupBy("group").agg(F.ceil(F.sum("size") / BLOCK_HASHES).alias("salts")).where("salts > 1")
     dealt = pairs.join(large, "group", "left")
-    return dealt.withColumn("block", F.pmod(F.xxhash64("group", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))), F.lit(blocks)).cast("long")).drop("salts", "size")
+    return dealt.withColumn("block", F.pmod(F.xxhash64("group", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))), F.lit(blocks)).cast("long")).drop("salts")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, measure: Measure, blocks: int) -> DataFrame:
-    """Those of the distinct pairs (group, a, b, size of b) that are linked."""
+def _compared(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, measure: Measure, blocks: int, sifted: bool = False) -> DataFrame:
+    """Those of the distinct pairs (group, a, b, size of b) that are linked. sifted: sketches have been looked at."""
+    if not sifted:
+        dealt = written(_dealt(pairs, blocks), "jaccard-pairs")
+        asked = dealt.select(F.col("block").alias("at"), F.col("a").alias("cid")).union(dealt.select("block", "b")).distinct()
+        pairs = written(dealt.groupBy("block").cogroup(asked.join(sizes, "cid").groupBy("at")).applyInArrow(_sift(measure), _MET), "jaccard-sifted")
+        dropped(dealt)
     dealt = written(_dealt(pairs, blocks).select("block", "a", "b"), "jaccard-pairs")
     asked = dealt.select(F.col("block").alias("at"), F.col("a").alias("cid")).union(dealt.select("block", "b")).distinct()
     links = written(dealt.groupBy("block").cogroup(asked.join(sets, "cid").select("at", "cid", "hashes").groupBy("at")).applyInArrow(_compare(measure), _LINK), "jaccard-links")
-    dropped(dealt)
+    dropped(dealt, *([] if sifted else [pairs]))
     return links
 
 
@@ -455,7 +531,7 @@ def _place() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def _classed(rows: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, sample_rows: int = 16384, small: int = 16, hints: int = 256) -> tuple[DataFrame, DataFrame]:
+def _classed(rows: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, sample_rows: int = 16384, small: int = 512, hints: int = 256) -> tuple[DataFrame, DataFrame]:
     """The members (doc_id, place, cid, size), a row for each of rows (doc_id, text), and the classes: cid, component (their least cid), component_id and n_copies."""
     measure = Measure(shingle, num, den)
     total, size = rows.agg(F.count("text"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -467,31 +543,38 @@ def _classed(rows: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, s
     entries, members = found.where("key is not null").select("key", "cid", "size", "n"), found.where("key is null").select("doc_id", "place", "cid", "size")
 
     # The sets of classes with candidates, from one copy of each: that of the least place.
-    copies = members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.count("*").alias("n_copies"))
+    copies = members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.count("*").alias("n_copies"), F.max("size").alias("size"))
     at = F.pmod(F.col("place"), F.lit(shards)).cast("long").alias("shard")
     wanted = entries.select("cid").distinct().join(copies, "cid").select("cid", "place", at)
     sets = placed.where("text is not null").select(at, "place", "text").mapInArrow(_pack, _PACK).groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_wanted_sets(shingle), _SET)
     sets = written(sets, "jaccard-sets")
 
+    # Sketches with sizes, which are small beside the sets.
+    sketches = written(sets.join(copies.select("cid", "size"), "cid").select("cid", "size", "sketch"), "jaccard-sketches")
+
     # 1: each class with the most connected class of a key, that of the most keys.
     degree = entries.groupBy("cid").agg(F.sum("n").alias("degree"))
     pivots = entries.join(degree, "cid").groupBy("key").agg(F.max_by("cid", F.struct("degree", "cid")).alias("pivot"))
     pivoted = written(entries.join(pivots, "key").select("key", "cid", "size", "pivot"), "jaccard-pivots")
     tried = pivoted.where("cid <> pivot").groupBy("cid", "pivot").agg(F.count("*").alias("keys"), F.max("size").alias("size"))
     tried = tried.groupBy("cid").agg(F.max_by(F.struct("pivot", "size"), F.struct("keys", "pivot")).alias("m"))
-    first = _compared(tried.select(F.col("m.pivot").alias("group"), F.col("m.pivot").alias("a"), F.col("cid").alias("b"), F.col("m.size").alias("size")), sets, measure, shards)
+    first = _compared(tried.select(F.col("m.pivot").alias("group"), F.col("m.pivot").alias("a"), F.col("cid").alias("b"), F.col("m.size").alias("size")), sets, sketches, measure, shards)
     joined = components(first)
 
-    # 2 and 3: what lies in different components under one key.
-    spread = written(pivoted.join(joined.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "jaccard-spread")
-    torn = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "n")
-    left, right = spread.join(torn.where(F.col("n") <= small), "key").alias("l"), spread.alias("r")
-    by_pairs = left.join(right, "key").where("l.component <> r.component and l.cid < r.cid").groupBy(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).agg(F.min("l.pivot").alias("group"), F.max("r.size").alias("size"))
-    to_pivots = spread.join(torn.where(F.col("n") > small), "key").where("cid <> pivot").groupBy("pivot", "cid").agg(F.max("size").alias("size"), F.max("component").alias("component"))
-    second, met = _met_in_differences(to_pivots.select(F.col("pivot").alias("group"), F.col("pivot").alias("a"), F.col("cid").alias("b"), "size", "component"), sets, measure, shards, hints)
-    pairs = by_pairs.select("group", "a", "b", "size").union(met).groupBy("a", "b").agg(F.min("group").alias("group"), F.max("size").alias("size"))
-    third = _compared(pairs.select("group", "a", "b", "size"), sets, measure, shards)
-    dropped(met, sets, pivoted, spread)
+    # 2 and 3: what lies in different components under one key, by pivot.
+    spread = pivoted.join(joined.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    spread = written(spread, "jaccard-spread")
+    torn = spread.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    groups = written(spread.join(torn, "key").groupBy("pivot", "cid").agg(F.max("size").alias("size"), F.max("component").alias("component")).select(F.col("pivot").alias("group"), F.col("cid").alias("b"), "size", "component"), "jaccard-groups")
+    dropped(pivoted, spread)
+    large = groups.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("hashes")).where((F.col("n") > small) | (F.col("hashes") > 4 * BLOCK_HASHES)).select("group")
+    few, many = groups.join(large, "group", "left_anti"), groups.join(large, "group").where("group <> b")
+    near = few.join(sketches.select(F.col("cid").alias("b"), "sketch"), "b").withColumn("block", F.pmod(F.xxhash64("group"), F.lit(shards)))
+    near = written(near.groupBy("block").applyInArrow(_sift_all(measure), _MET), "jaccard-sifted")
+    second, met = _met_in_differences(many.withColumn("a", F.col("group")), sets, measure, shards, hints)
+    pairs = near.union(met).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("group").alias("group"), F.max("size").alias("size"))
+    third = _compared(pairs.select("group", "a", "b", "size"), sets, sketches, measure, shards, sifted=True)
+    dropped(groups, near, met, sets, sketches)
     final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second).union(third))
     dropped(first, second, third, joined)
 

@@ -31,7 +31,7 @@ def near_group(seed, n, base_too, length=70):
     return rows
 
 
-@pytest.mark.parametrize(("base_too", "small", "hints"), [(True, 2, 256), (False, 1, 16), (False, 16, 256)])
+@pytest.mark.parametrize(("base_too", "small", "hints"), [(True, 2, 256), (False, 1, 16), (False, 512, 256)])
 def test_groups_of_near_copies(spark, base_too, small, hints):
     rows = near_group(7, 160, base_too)
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
