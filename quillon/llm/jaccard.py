@@ -56,6 +56,8 @@ from .wordhash import BASES, Words, mixed, rolled
 SHARD_BYTES = 8 << 20
 #: Hashes of the sets of a group that go to one block.
 BLOCK_HASHES = 1 << 20
+#: Texts looked at together.
+ROWS = 1024
 PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
@@ -265,13 +267,17 @@ def _given(shared, buckets: int, total: int, sample_rows: int):
         plan = shared.value
         salts = np.maximum(1, plan.counts * max(1, total // sample_rows) // a_range).astype(np.uint64)
         for b in batches:
-            sets = sets_of(b.column(2).cast(pa.binary()).to_pylist(), plan.measure.n)
-            cids = [class_of(s) if len(s) else None for s in sets]
+            cids: list[int | None] = []
+            shingles: list[int] = []
             parts: dict[int, np.ndarray] = {}
             sizes = {}
-            for c, s in zip(cids, sets, strict=True):
-                if c is not None and c not in parts:
-                    parts[c], sizes[c] = plan.chosen(s), len(s)
+            for k in range(0, b.num_rows, ROWS):
+                for s in sets_of(b.column(2).slice(k, ROWS).cast(pa.binary()).to_pylist(), plan.measure.n):
+                    c = class_of(s) if len(s) else None
+                    cids.append(c)
+                    shingles.append(len(s))
+                    if c is not None and c not in parts:
+                        parts[c], sizes[c] = plan.chosen(s), len(s)
             out = []
             if parts:
                 pairs, size = np.empty(sum(map(len, parts.values())), PAIR), np.repeat(np.fromiter(sizes.values(), np.int64, len(sizes)), [len(k) for k in parts.values()])
@@ -283,7 +289,7 @@ def _given(shared, buckets: int, total: int, sample_rows: int):
                     salt = np.where(plan.frequent[i] == pairs["a"], salts[i], np.uint64(1))
                     bucket = np.where(salt > 1, mixed(pairs["a"] ^ mixed(pairs["b"] % salt)) % np.uint64(buckets), bucket)
                 out = [(int(bucket[p[0]]), pairs[p].tobytes(), size[p].astype("<u4").tobytes(), None) for p in _parts(bucket)]
-            members = pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), b.column(0), b.column(1)], names=["cid", "size", "doc_id", "place"])
+            members = pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(shingles, pa.int64()), b.column(0), b.column(1)], names=["cid", "size", "doc_id", "place"])
             if b.num_rows:
                 out.append((b.column(1)[0].as_py() % buckets, None, None, _stream(members)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=_GIVEN.names)

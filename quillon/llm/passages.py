@@ -2,11 +2,11 @@
 
 1. Each window has an anchor, the least hash of its 8-word grams, so equal windows have equal anchors and few grams are
    anchors. Anchors are counted over all documents.
-2. Windows whose anchor recurs are counted by a 128-bit hash of their words; those found twice or more are confirmed.
-3. Documents are dealt into shards of bounded text. A shard's confirmed windows, at their first places in it, join into
-   passages; the passages' phrases, cut so that every window holds one whole, are compiled into the shard's own
-   Aho-Corasick automaton, and all documents of the shard stream through it. The words of the confirmed windows that
-   hold a hit are removed.
+2. Documents are dealt into shards of bounded text. Each shard gives its windows whose anchor recurs, counted by a 128-bit
+   hash of their words, and the words of those anchors. Windows found twice or more are confirmed; an anchor's phrase is
+   confirmed by its words, and goes, as it was read from whichever shard, to all shards that hold the anchor.
+3. The phrases that come to a shard are compiled into an Aho-Corasick automaton, and all documents of the shard stream
+   through it. Only where a phrase is found are windows looked at; the words of the confirmed ones are removed.
 
 Counting sends sorted arrays of hashes, a row for each pair of shard and hash range, in which a hash stands once: a
 passage that a third of all rows hold is one entry a shard. No range or shard grows with the input; their number does.
@@ -22,42 +22,21 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import need
+from .wordhash import BASES, Words, rolled
 
 WINDOW, GRAM = 35, 8
 SHARD_BYTES = 8 << 20
-BASE = 0x9E3779B97F4A7C15
-BASE2 = 0xC2B2AE3D27D4EB4F
-CODE_POINTS = 1_000_000
+#: A word is so many symbols of an automaton, each of 4 bits of its hash, so that no node has more than 16 children.
+SYMBOLS = 5
 PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def rolled(h: np.ndarray, k: int, base: int) -> np.ndarray:
-    """A hash of each k consecutive entries, by prefix sums modulo 2^64."""
-    n = len(h)
-    if n < k:
-        return np.zeros(0, np.uint64)
-    power, back = np.full(n, base, np.uint64), np.full(n - k + 1, pow(base, -1, 1 << 64), np.uint64)
-    power[0] = back[0] = 1
-    power, back = np.cumprod(power), np.cumprod(back)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(h * power)])
-    return _mixed((sums[k:] - sums[:-k]) * back)
-
-
 def _slid(x: np.ndarray, k: int, pick) -> np.ndarray:
     """pick (minimum or maximum) over each k consecutive entries, by doubling."""
     done = 1
@@ -68,49 +47,24 @@ def _slid(x: np.ndarray, k: int, pick) -> np.ndarray:
     return pick(x[:n], x[k - done : k - done + n]) if k > done else x[:n]
 
 
-class Texts:
-    """Texts as one array of word numbers with the documents' bounds."""
-
-    def __init__(self, texts: list[str | None], lower: bool = False):
-        """lower: with A-Z, and nothing else, in lower case."""
-        seen: dict[bytes, int] = {}
-        put = seen.setdefault
-        ids, sizes = [], []
-        for t in texts:
-            raw = t.encode("utf-8", "surrogatepass") if t else b""
-            found = (raw.lower() if lower else raw).split()
-            ids.append(np.fromiter((put(w, len(seen)) for w in found), np.int64, len(found)))
-            sizes.append(len(found))
-        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        self.ends = np.cumsum(sizes, dtype=np.int64)
-        self.starts = self.ends - np.array(sizes, np.int64)
-        self.words = list(seen)
-        self.sizes = np.array(sizes, np.int64)
-
-    def hashes(self, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's hash; with wide, a second one."""
-        one = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
-        two = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words)) if wide else one
-        return one[self.ids], two[self.ids]
-
-    def windows(self) -> np.ndarray:
-        """Where a whole window starts, for each start up to the last."""
-        n = max(0, len(self.ids) - WINDOW + 1)
-        left = np.repeat(self.ends, self.sizes) - np.arange(len(self.ids))
-        return left[:n] >= WINDOW
-
-    def anchors(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(gram hashes, each window's anchor, whether a gram is the anchor of some window)."""
-        whole = self.windows()
-        grams = rolled(h, GRAM, BASE)
-        if not len(whole):
-            return grams, grams[:0], np.zeros(len(grams), bool)
-        span = WINDOW - GRAM + 1
-        least = _slid(grams, span, np.minimum)
-        of = np.where(whole, least, np.uint64(0))
-        pad = np.zeros(span - 1, np.uint64)
-        most = _slid(np.concatenate([pad, of, pad]), span, np.maximum)
-        return grams, least, (most == grams) & (most > 0)
+def _whole(w: Words) -> np.ndarray:
+    """Whether a window starts at each word, up to the last."""
+    n = max(0, len(w) - WINDOW + 1)
+    return (np.repeat(w.last, w.sizes) - np.arange(len(w)))[:n] >= WINDOW
+
+
+def _anchors(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hashes, each window's anchor, whether a gram is the anchor of some window)."""
+    whole = _whole(w)
+    grams = rolled(h, GRAM, BASES[0])
+    if not len(whole):
+        return grams, grams[:0], np.zeros(len(grams), bool)
+    span = WINDOW - GRAM + 1
+    least = _slid(grams, span, np.minimum)
+    of = np.where(whole, least, np.uint64(0))
+    pad = np.zeros(span - 1, np.uint64)
+    most = _slid(np.concatenate([pad, of, pad]), span, np.maximum)
+    return grams, least, (most == grams) & (most > 0)
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,8 +81,15 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return keys[order[start]], order[start], inverse, np.diff(np.append(start, len(a)))
 
 
-_KEYS = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("once", T.BinaryType()), T.StructField("often", T.BinaryType())])
-_BACK = T.StructType([T.StructField("shard", T.LongType()), T.StructField("keys", T.BinaryType())])
+def _schema(longs: str, binaries: str) -> T.StructType:
+    return T.StructType([T.StructField(c, T.LongType()) for c in longs.split()] + [T.StructField(c, T.BinaryType()) for c in binaries.split()])
+
+
+#: Hashes found once and more often in a shard; in their second use also anchors (hashes) with their words, a phrase a line.
+_KEYS = _schema("bucket shard", "once often")
+_FOUND = _schema("bucket shard", "once often anchors phrases")
+_BACK = _schema("shard", "keys")
+_CONFIRMED = _schema("shard", "keys phrases")
 _PACK = T.StructType([T.StructField("shard", T.LongType()), T.StructField("pack", T.BinaryType())])
 
 
@@ -152,11 +113,10 @@ def _anchor_rows(buckets: int):
                 continue
             shards = b.column(0).to_numpy(zero_copy_only=False)
             order = np.argsort(shards, kind="stable")
-            texts = b.column(1).to_pylist()
-            t = Texts([texts[i] for i in order])
-            grams, _, chosen = t.anchors(t.hashes()[0])
+            w = Words(b.column(1).cast(pa.binary()).take(pa.array(order)).to_pylist())
+            grams, _, chosen = _anchors(w, w.hashes())
             at = np.flatnonzero(chosen)
-            of = np.repeat(shards[order], t.sizes)[at] if len(at) else np.zeros(0, np.int64)
+            of = np.repeat(shards[order], w.sizes)[at] if len(at) else np.zeros(0, np.int64)
             out = []
             for shard in np.unique(of):
                 lo, hi = np.searchsorted(of, [shard, shard + 1])
@@ -167,27 +127,46 @@ def _anchor_rows(buckets: int):
     return run
 
 
-def _recurring(kind: str):
-    def run(t: pa.Table) -> pa.Table:
-        dtype = PAIR if kind == "pair" else np.dtype("<u8")
-        keys, shards, twice = [], [], []
-        for shard, *both in zip(t["shard"].to_pylist(), t["once"].to_pylist(), t["often"].to_pylist(), strict=True):
-            for more, raw in enumerate(both):
-                k = np.frombuffer(raw, dtype)
-                keys.append(k)
-                shards.append(np.full(len(k), shard, np.int64))
-                twice.append(np.full(len(k), bool(more)))
-        keys, shards, twice = np.concatenate(keys), np.concatenate(shards), np.concatenate(twice)
-        _, _, inverse, counts = _distinct(keys)
-        many = counts > 1
-        many[inverse[twice]] = True
-        hit = many[inverse]
-        keys, shards = keys[hit], shards[hit]
-        order = np.argsort(shards, kind="stable")
-        parts = [p for p in np.split(order, np.flatnonzero(np.diff(shards[order])) + 1) if len(p)]
-        return pa.table({"shard": pa.array([int(shards[p[0]]) for p in parts], pa.int64()), "keys": pa.array([_distinct(keys[p])[0].tobytes() for p in parts], pa.binary())})
-
-    return run
+def _shares(t: pa.Table, dtype: np.dtype) -> Iterator[tuple[int, bytes]]:
+    """(shard, sorted hashes) of those hashes of a range that stand twice or more."""
+    keys, shards, twice = [], [], []
+    for shard, *both in zip(t["shard"].to_pylist(), t["once"].to_pylist(), t["often"].to_pylist(), strict=True):
+        for more, raw in enumerate(both):
+            k = np.frombuffer(raw or b"", dtype)
+            keys.append(k)
+            shards.append(np.full(len(k), shard, np.int64))
+            twice.append(np.full(len(k), bool(more)))
+    keys, shards, twice = np.concatenate(keys), np.concatenate(shards), np.concatenate(twice)
+    _, _, inverse, counts = _distinct(keys)
+    many = counts > 1
+    many[inverse[twice]] = True
+    hit = many[inverse]
+    keys, shards = keys[hit], shards[hit]
+    order = np.argsort(shards, kind="stable")
+    for p in np.split(order, np.flatnonzero(np.diff(shards[order])) + 1):
+        if len(p):
+            yield int(shards[p[0]]), _distinct(keys[p])[0].tobytes()
+
+
+def _recurring(t: pa.Table) -> pa.Table:
+    out = list(_shares(t, np.dtype("<u8")))
+    return pa.table({"shard": pa.array([x for x, _ in out], pa.int64()), "keys": pa.array([x for _, x in out], pa.binary())})
+
+
+def _confirmed(t: pa.Table) -> pa.Table:
+    """The recurring windows of a hash range for each shard, and the phrases of its anchors for each shard that has the anchor."""
+    out = [(shard, keys, None) for shard, keys in _shares(t, PAIR)]
+    undo, texts, holders = zstandard.ZstdDecompressor(), {}, {}
+    for shard, anchors, phrases in zip(t["shard"].to_pylist(), t["anchors"].to_pylist(), t["phrases"].to_pylist(), strict=True):
+        if anchors:
+            found = np.frombuffer(anchors, "<u8").tolist()
+            holders.setdefault(shard, []).extend(found)
+            for a, phrase in zip(found, undo.decompress(phrases).split(b"\n"), strict=True):
+                if texts.setdefault(a, phrase) != phrase:  # other words under the same hash: both are phrases
+                    texts[a] = b"\n".join({*texts[a].split(b"\n"), phrase})
+    press = zstandard.ZstdCompressor(level=3)
+    out += [(shard, None, press.compress(b"\n".join(map(texts.__getitem__, held)))) for shard, held in holders.items()]
+    return pa.table({c: pa.array(x, k) for c, x, k in zip(_CONFIRMED.names, list(zip(*out, strict=True)) or [()] * 3, (pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,18 +187,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=_PACK.names)
 
 
-def _unpack(t: pa.Table) -> tuple[list[int | None], list[str | None]]:
+def _unpack(t: pa.Table) -> tuple[list[int | None], list[bytes | None]]:
     ids, texts = [], []
     undo = zstandard.ZstdDecompressor()
     for raw in t["pack"]:
         rows = pa.ipc.open_stream(undo.decompress(raw.as_buffer())).read_all()
         ids += rows["doc_id"].to_pylist()
-        texts += rows["text"].to_pylist()
+        texts += rows["text"].cast(pa.binary()).to_pylist()
     return ids, texts
 
 
 def _known(t: pa.Table, dtype: np.dtype) -> np.ndarray:
-    parts = [np.frombuffer(x, dtype) for x in t["keys"].to_pylist()]
+    parts = [np.frombuffer(x, dtype) for x in t["keys"].drop_null().to_pylist()]
     return _distinct(np.concatenate(parts))[0] if parts else np.zeros(0, dtype)
 
 
@@ -238,9 +217,9 @@ def _within(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def _keys(t: Texts, starts: np.ndarray, h: np.ndarray, h2: np.ndarray) -> np.ndarray:
+def _keys(starts: np.ndarray, h: np.ndarray, h2: np.ndarray) -> np.ndarray:
     out = np.empty(len(starts), PAIR)
-    out["a"], out["b"] = rolled(h, WINDOW, BASE)[starts], rolled(h2, WINDOW, BASE2)[starts]
+    out["a"], out["b"] = rolled(h, WINDOW, BASES[0])[starts], rolled(h2, WINDOW, BASES[1])[starts]
     return out
 
 
@@ -248,80 +227,72 @@ def _window_rows(buckets: int):
     def run(packs: pa.Table, anchors: pa.Table) -> pa.Table:
         out = []
         if packs.num_rows and anchors.num_rows:
-            t = Texts(_unpack(packs)[1])
-            h, h2 = t.hashes(wide=True)
-            _, of, _ = t.anchors(h)
-            starts = np.flatnonzero(t.windows() & _within(of, _known(anchors, np.dtype("<u8")))) if len(of) else np.zeros(0, np.int64)
+            shard, known = packs["shard"][0].as_py(), _known(anchors, np.dtype("<u8"))
+            w = Words(_unpack(packs)[1])
+            h = w.hashes()
+            grams, of, chosen = _anchors(w, h)
+            starts = np.flatnonzero(_whole(w) & _within(of, known)) if len(of) else np.zeros(0, np.int64)
             if len(starts):
-                out = list(_rows(packs["shard"][0].as_py(), _keys(t, starts, h, h2), buckets))
-        cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-        return pa.table({c: pa.array(x, k) for c, x, k in zip(_KEYS.names, cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+                out = [(*r, None, None) for r in _rows(shard, _keys(starts, h, w.hashes(1)), buckets)]
+                at = np.flatnonzero(chosen)
+                at = at[_within(grams[at], known)]
+                found, first = np.unique(grams[at], return_index=True)
+                a, e, data = w.starts[at[first]], w.ends[at[first] + GRAM - 1], w.data.tobytes()
+                phrases = [b" ".join(data[x:y].split()) for x, y in zip(a.tolist(), e.tolist(), strict=True)]
+                press, bucket = zstandard.ZstdCompressor(level=3), (found % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                for p in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    out.append((int(bucket[p[0]]), shard, None, None, found[p].tobytes(), press.compress(b"\n".join([phrases[i] for i in p.tolist()]))))
+        kinds = [pa.int64()] * 2 + [pa.binary()] * 4
+        return pa.table({c: pa.array(x, k) for c, x, k in zip(_FOUND.names, list(zip(*out, strict=True)) or [()] * 6, kinds, strict=True)})
 
     return run
 
 
-def located(t: Texts, confirmed: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Which words of the texts lie in a passage; confirmed: where windows that recur start, first: the first places of distinct ones.
-
-    A hit of the automaton is 18 words found exactly; of the windows around it those are passages whose 128-bit hash is
-    a confirmed one.
-    """
-    ids = t.ids
-    covered = np.zeros(len(ids) + 1, np.int64)
-    if not len(first):
-        return covered[:-1] > 0
-    # Passages: runs of first places, in one document.
-    of = np.repeat(np.arange(len(t.sizes)), t.sizes)
-    runs = np.split(first, np.flatnonzero((np.diff(first) != 1) | (np.diff(of[first]) != 0)) + 1)
-    half = WINDOW // 2 + 1  # an aligned phrase of 18 words lies whole in any 35
-    points = (ids % CODE_POINTS + 0x100).astype("<u4")
-    points[points >= 0xD800] += 0x800
-    string = points.tobytes().decode("utf-32-le")
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for run in runs:
-        a, e = int(run[0]), int(run[-1]) + WINDOW
-        for p in range(a, e - half + 1, half):
-            automaton.add_word(string[p : p + half])
+def _symbols(h: np.ndarray) -> str:
+    """The words of these hashes as symbols; a symbol says which part of its word it is, so that a phrase is found at words' starts only."""
+    parts = [(h >> np.uint64(4 * k)).astype(np.uint8) & np.uint8(15) | np.uint8(16 * k + 48) for k in range(SYMBOLS)]
+    return np.column_stack(parts).tobytes().decode("latin-1")
+
+
+def located(h: np.ndarray, phrases: list[bytes]) -> np.ndarray:
+    """Where the phrases start in a stream of words (hashes), found by an Aho-Corasick automaton."""
+    if not phrases or not len(h):
+        return np.zeros(0, np.int64)
+    string = _symbols(Words(phrases).hashes())
+    automaton, step = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), GRAM * SYMBOLS
+    for k in range(0, len(string), step):
+        automaton.add_word(string[k : k + step])
     automaton.make_automaton()
-    ends = np.fromiter((end for end, _ in automaton.iter(string)), np.int64)
-    if not len(ends):
-        return covered[:-1] > 0
-    # Windows that hold a hit whole start from 17 words before it up to it.
-    near = np.zeros(len(ids) + 1, np.int64)
-    begin = ends - half + 1
-    np.add.at(near, np.maximum(begin - (WINDOW - half), 0), 1)
-    np.add.at(near, begin + 1, -1)
-    hit = confirmed[np.cumsum(near[:-1])[confirmed] > 0]
-    np.add.at(covered, hit, 1)
-    np.add.at(covered, hit + WINDOW, -1)
-    return np.cumsum(covered[:-1]) > 0
+    return np.fromiter((end for end, _ in automaton.iter(_symbols(h))), np.int64) // SYMBOLS - (GRAM - 1)
 
 
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
 
-def _locate(packs: pa.Table, windows: pa.Table) -> pa.Table:
+def _locate(packs: pa.Table, confirmed: pa.Table) -> pa.Table:
     ids, texts = _unpack(packs) if packs.num_rows else ([], [])
-    t = Texts(texts)
-    gone = np.zeros(len(t.ids), bool)
-    known = _known(windows, PAIR) if windows.num_rows else np.zeros(0, PAIR)
+    w = Words(texts)
+    gone = np.zeros(len(w), bool)
+    known = _known(confirmed, PAIR) if confirmed.num_rows else np.zeros(0, PAIR)
     if len(known):
-        h, h2 = t.hashes(wide=True)
-        starts = np.flatnonzero(t.windows())
-        keys = _keys(t, starts, h, h2)
-        hit = _within(keys, known)
-        first = _distinct(keys[hit])[1]
-        gone = located(t, starts[hit], np.sort(starts[hit][first]))
-    kept = []
-    for text, a, e in zip(texts, t.starts.tolist(), t.ends.tolist(), strict=True):
-        if not text:
-            kept.append("")
-        elif gone[a:e].any():
-            kept.append(b" ".join([t.words[i] for i in t.ids[a:e][~gone[a:e]].tolist()]).decode("utf-8", "surrogatepass"))
-        else:
-            kept.append(b" ".join(text.encode("utf-8", "surrogatepass").split()).decode("utf-8", "surrogatepass"))
+        undo, h = zstandard.ZstdDecompressor(), w.hashes()
+        hits = located(h, [p for raw in confirmed["phrases"].drop_null().to_pylist() for p in undo.decompress(raw).split(b"\n")])
+        # Windows that hold a phrase found start from 27 words before it up to it.
+        near = np.zeros(len(w) + 1, np.int64)
+        np.add.at(near, np.maximum(hits - (WINDOW - GRAM), 0), 1)
+        np.add.at(near, hits + 1, -1)
+        whole = _whole(w)
+        starts = np.flatnonzero(whole & (np.cumsum(near)[: len(whole)] > 0))
+        starts = starts[_within(_keys(starts, h, w.hashes(1)), known)] if len(starts) else starts
+        covered = np.zeros(len(w) + 1, np.int64)
+        np.add.at(covered, starts, 1)
+        np.add.at(covered, starts + WINDOW, -1)
+        gone = np.cumsum(covered[:-1]) > 0
     sums = np.concatenate([[0], np.cumsum(gone)])
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(t.sizes), "n_removed": pa.array(sums[t.ends] - sums[t.starts] if len(t.ends) else np.zeros(0, np.int64)), "kept": pa.array(kept, pa.string())})
+    lost = sums[w.last] - sums[w.first] if len(texts) else np.zeros(0, np.int64)
+    kept = [(w.text(i, ~gone) if n else b" ".join((t or b"").split())) for i, (t, n) in enumerate(zip(texts, lost.tolist(), strict=True))]
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(w.sizes), "n_removed": pa.array(lost), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
 
 def dedup(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -332,7 +303,7 @@ def dedup(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     buckets = max(1, shards // 2)
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("long").alias("shard"), "doc_id", "text")
     anchors = dealt.where("text is not null").select("shard", "text").mapInArrow(_anchor_rows(buckets), _KEYS)
-    anchors = anchors.groupBy("bucket").applyInArrow(_recurring("one"), _BACK)
-    windows = dealt.mapInArrow(_pack, _PACK).groupBy("shard").cogroup(anchors.groupBy("shard")).applyInArrow(_window_rows(buckets), _KEYS)
-    windows = windows.groupBy("bucket").applyInArrow(_recurring("pair"), _BACK)
-    return dealt.mapInArrow(_pack, _PACK).groupBy("shard").cogroup(windows.groupBy("shard")).applyInArrow(_locate, _OUT)
+    anchors = anchors.groupBy("bucket").applyInArrow(_recurring, _BACK)
+    found = dealt.mapInArrow(_pack, _PACK).groupBy("shard").cogroup(anchors.groupBy("shard")).applyInArrow(_window_rows(buckets), _FOUND)
+    confirmed = found.groupBy("bucket").applyInArrow(_confirmed, _CONFIRMED)
+    return dealt.mapInArrow(_pack, _PACK).groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_locate, _OUT)
