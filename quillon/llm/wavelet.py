@@ -10,21 +10,21 @@ ordered by text; an empty table writes no file and gives no rows; further column
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, need, put_file, scratch
+from .common import need, put_file, scratch
+from .wordhash import runs
 
 MAGIC = b"QWM1"
 HEAD = struct.Struct("<4sIQQQ")  # magic, width, tokens, documents, tokens of this partition before the file
@@ -43,17 +43,18 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, lengths: np.n
     press = zstandard.ZstdCompressor(level=1)
     level = ids.astype(np.uint16 if width <= 16 else np.uint32)
     for bit in range(width - 1, -1, -1):
-        ones = (level & level.dtype.type(1 << bit)).astype(bool)
+        ones = (level & level.dtype.type(1 << bit)) != 0
         packed = np.packbits(ones, bitorder="little")
         parts = [press.compress(packed[i : i + BLOCK // 8].tobytes()) for i in range(0, len(packed), BLOCK // 8)]
-        sums = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK), dtype=np.int64) if len(ones) else np.zeros(0, np.int64)
-        out.append(PLANE.pack(len(ones) - int(sums.sum()), len(parts)))
+        sums = np.array([np.bitwise_count(packed[i : i + BLOCK // 8]).sum(dtype=np.int64) for i in range(0, len(packed), BLOCK // 8)], np.int64)
+        zeros = len(ones) - int(sums.sum())
+        out.append(PLANE.pack(zeros, len(parts)))
         out.append((np.cumsum(sums) - sums).astype("<u8").tobytes())
         out.append(np.cumsum([0, *map(len, parts)]).astype("<u4").tobytes())
         out += parts
-        zeros = len(ones) - int(sums.sum())
         deeper = np.empty_like(level)
-        deeper[:zeros], deeper[zeros:] = level[~ones], level[ones]
+        np.compress(~ones, level, out=deeper[:zeros])
+        np.compress(ones, level, out=deeper[zeros:])
         level = deeper
     return b"".join(out)
 
@@ -155,119 +156,221 @@ class WaveletMatrix:
             raw = b"".join(undo.decompress(self.data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True))
             ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(level)
-            up[~ones] = level[:zeros]
-            up[ones] = level[zeros:] | level.dtype.type(1 << (self.width - 1 - p))
+            up[np.flatnonzero(~ones)] = level[:zeros]
+            up[np.flatnonzero(ones)] = level[zeros:] | level.dtype.type(1 << (self.width - 1 - p))
             level = up
         return level
 
 
-_memos: dict[str, tuple[Memo, Memo]] = {}
-#: Fixed value: the pattern by which byte-level vocabularies part a text before merging.
-PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-END = tuple(".,;:!?")
-#: A space that ends the text or that white space follows: there the text is not parted.
-HELD = re.compile(r" (?:[\s\x1c-\x1f]|\Z)")
+_encoders: dict[tuple[str, bool], Encoder] = {}
+#: Bytes that may follow a space at which a text is parted: not white space, nor what starts a white-space character beyond ASCII.
+_PLAIN = np.ones(256, bool)
+_PLAIN[:33] = False
+_PLAIN[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+#: Bytes of text that are encoded together.
+AT_ONCE = 8 << 20
+#: Parts that a worker remembers.
+MOST = 1 << 21
+#: Parts that the library is given as one text.
+TOGETHER = 64
 
 
-def ids_of(path: str) -> Callable[[str], bytes]:
-    """text -> its token ids by the tokenizers library, as little-endian 32-bit integers, the library's model asked once for each distinct piece; special tokens' strings are ordinary text.
+class Encoder:
+    """The tokenizers library's own encode, without special tokens added, of many texts at once.
 
-    The byte-level pattern always parts the text before a single space that a non-space follows, so the ids of a text
-    are those of its parts, and a part's those of its pieces by the pattern. A part that is empty or starts with white space stays with the one before it.
+    The byte-level pattern always parts a text before a space that a non-space follows, so the ids of a text are those of
+    its parts. Distinct parts are found by numpy and the library encodes each that isn't remembered once: parts that start
+    with such a space together, as one text, whose ids fall to the parts by the bytes that each token stands for. Texts
+    with the string of an added token, or whose bytes aren't UTF-8, are encoded whole by the library.
     """
-    if path not in _memos:
+
+    def __init__(self, path: str, ordinary: bool = False):
+        """ordinary: strings of added tokens are ordinary text."""
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        model = Tokenizer.from_file(path).model
-        # The library's own stand-ins for bytes, in code point order those of bytes that print and then the others'.
-        marks = sorted(ByteLevel.alphabet())
-        printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        mark = dict(zip([*printing, *(b for b in range(256) if b not in printing)], marks, strict=True))
-
-        def merged(piece: str) -> bytes:
-            return np.array([t.id for t in model.tokenize("".join(map(mark.__getitem__, piece.encode())))], "<u4").tobytes()
-
-        pieces = Memo(merged, 100_000)
-
-        def ask(lead: str) -> Memo:
-            def parted(part: str) -> bytes:
-                if part.isalpha():  # one piece
-                    return merged(lead + part)
-                if part[-1:] in END and part[:-1].isalpha():  # two
-                    return memo[part[:-1]] + pieces[part[-1]]
-                return b"".join(map(pieces.__getitem__, PIECE.findall(lead + part)))
-
-            memo = Memo(parted, 600_000)
-            return memo
-
-        _memos[path] = ask(" "), ask("")
-    led, plain = (m.__getitem__ for m in _memos[path])
-
-    def encode(text: str) -> bytes:
-        if not text:
-            return b""
-        parts = text.split(" ")
-        if HELD.search(text):
-            joined = parts[:1]
-            for p in parts[1:]:
-                if p and not p[0].isspace():
-                    joined.append(p)
-                else:
-                    joined[-1] += " " + p
-            parts = joined
-        return plain(parts[0]) + b"".join(map(led, parts[1:]))
-
-    return encode
-
-
-def encoder_of(path: str) -> Callable[[str | None], bytes]:
-    """text -> its token ids as the library's encode has them without special tokens of its own: the file's added tokens stand for themselves.
-
-    A text that holds the string of an added token is encoded whole by the library; for the others ``ids_of`` is the same.
-    """
-    from tokenizers import Tokenizer
 
-    plain, own = ids_of(path), Tokenizer.from_file(path)
-    own.no_truncation()
-    own.no_padding()
-    added = [re.escape(t.content) for t in own.get_added_tokens_decoder().values() if t.content]
-    if not added:
-        return plain
-    find = re.compile("|".join(added)).search
+        self.own = Tokenizer.from_file(path)
+        self.own.no_truncation()
+        self.own.no_padding()
+        self.own.encode_special_tokens = ordinary
+        self.added = [t.content.encode() for t in self.own.get_added_tokens_decoder().values() if t.content and not ordinary]
+        vocabulary = self.own.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # a byte is one character there
+        # What is remembered of parts: two hashes (sorted by the first), and where their ids lie in all ids.
+        self.one = self.two = np.zeros(0, np.uint64)
+        self.offset = self.length = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.own.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, one: np.ndarray, two: np.ndarray, parts: list[bytes], keep: np.ndarray) -> None:
+        """Remembers the ids of further parts, which ascend by hash; beyond MOST only with those in keep."""
+        led = np.array([len(x) > 1 and x[0] == 32 and bool(_PLAIN[x[1]]) for x in parts], bool)
+        some = [x for x, m in zip(parts, led.tolist(), strict=True) if m]
+        joined = self.own.encode_batch_fast([b"".join(some[i : i + TOGETHER]).decode() for i in range(0, len(some), TOGETHER)], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, "<u4") for x in joined]) if some else self.flat[:0]
+        ends = np.cumsum([len(x) for x in some], dtype=np.int64)
+        at = np.cumsum(self.bytes_of[ids])
+        cut = np.minimum(np.searchsorted(at, ends) + 1, len(at))
+        if len(some) and (at[-1] != ends[-1] or (at[cut - 1] != ends).any()):  # a token crosses parts, which the pattern excludes
+            each = [self.whole(x) for x in some]
+            ids, cut = np.concatenate(each), np.cumsum([len(x) for x in each])
+        others = self.own.encode_batch_fast([x.decode() for x, m in zip(parts, led.tolist(), strict=True) if not m], add_special_tokens=False)
+        rest = [np.array(x.ids, "<u4") for x in others]
+        length = np.empty(len(parts), np.int64)
+        length[led] = np.diff(cut, prepend=0)
+        length[~led] = [len(x) for x in rest]
+        offset = np.empty(len(parts), np.int64)
+        offset[led] = np.cumsum(length[led]) - length[led]
+        offset[~led] = len(ids) + np.cumsum(length[~led]) - length[~led]
+        flat = np.concatenate([ids, *rest])
+        if len(self.one) + len(one) > MOST:
+            self.one, self.two, old, n = self.one[keep], self.two[keep], self.offset[keep], self.length[keep]
+            self.offset, self.length = np.cumsum(n) - n, n
+            self.flat = self.flat[np.arange(int(n.sum())) + np.repeat(old - self.offset, n)]
+        place = np.searchsorted(self.one, one)
+        self.offset, self.length = np.insert(self.offset, place, offset + len(self.flat)), np.insert(self.length, place, length)
+        self.one, self.two, self.flat = np.insert(self.one, place, one), np.insert(self.two, place, two), np.concatenate([self.flat, flat])
+
+    def _found(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the hashes among the remembered ones, whether each is there)."""
+        if not len(self.one):
+            return np.zeros(len(one), np.int64), np.zeros(len(one), bool)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        return at, (self.one[at] == one) & (self.two[at] == two)
+
+    def _special(self, texts: list[bytes]) -> list[int]:
+        """The texts that are encoded whole."""
+        joined = b"\n".join(texts)
+        hits = any(a in joined for a in self.added)
+        try:
+            joined.decode()
+            valid = True
+        except UnicodeDecodeError:
+            valid = False
+        if not hits and valid:
+            return []
+
+        def odd(t: bytes) -> bool:
+            try:
+                t.decode()
+            except UnicodeDecodeError:
+                return True
+            return any(a in t for a in self.added)
+
+        return [i for i, t in enumerate(texts) if odd(t)]
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each text has)."""
+        raw = [t or b"" for t in texts]
+        apart = {i: self.whole(raw[i]) for i in self._special(raw)}
+        for i in apart:
+            raw[i] = b""
+        ids, counts = self._parted(raw)
+        if apart:
+            split = np.split(ids, np.cumsum(counts)[:-1])
+            split = [apart.get(i, x) for i, x in enumerate(split)]
+            ids, counts = np.concatenate(split), np.array([len(x) for x in split], np.int64)
+        return ids, counts
+
+    def _parted(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        joined = b"".join(raw)
+        data, sizes = np.frombuffer(joined, np.uint8), np.array([len(x) for x in raw], np.int64)
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(raw), np.int64)
+        ends = np.cumsum(sizes)
+        begin = np.zeros(len(data), bool)
+        begin[:-1] = (data[:-1] == 32) & _PLAIN[data[1:]]
+        begin[ends[sizes > 0] - 1] = False
+        begin[(ends - sizes)[sizes > 0]] = True
+        starts = np.flatnonzero(begin)
+        stops = np.append(starts[1:], len(data))
+        one, two = runs(data, starts, stops, 0), runs(data, starts, stops, 1)
+        distinct, first, inverse = np.unique(one, return_index=True, return_inverse=True)
+        if (two != two[first][inverse]).any():  # two parts under one hash
+            each = [self.whole(x) for x in raw]
+            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        at, there = self._found(distinct, two[first])
+        if not there.all():
+            new = first[~there]
+            parts = [joined[a:e] for a, e in zip(starts[new].tolist(), stops[new].tolist(), strict=True)]
+            self._learn(distinct[~there], two[new], parts, at[there])
+            at, there = self._found(distinct, two[first])
+            if not there.all():  # a remembered part has the same first hash
+                self.one = self.one[:0]
+                each = [self.whole(x) for x in raw]
+                return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        flat, length, offset = self.flat, self.length[at], self.offset[at]
+        each = length[inverse]
+        total = np.cumsum(each)
+        ids = flat[np.arange(total[-1]) + np.repeat(offset[inverse] - (total - each), each)]
+        upto = np.searchsorted(starts, ends)  # parts of the texts up to each
+        counts = np.diff(np.concatenate([[0], np.concatenate([[0], total])[upto]]))
+        return ids, counts
+
+
+def encoder_of(path: str, ordinary: bool = False) -> Encoder:
+    if (path, ordinary) not in _encoders:
+        _encoders[path, ordinary] = Encoder(path, ordinary)
+    return _encoders[path, ordinary]
 
-    def encode(text: str | None) -> bytes:
-        return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text and find(text) else plain(text)
 
-    return encode
+def ids_of(path: str) -> Callable[[str], bytes]:
+    """text -> its token ids by the tokenizers library, as little-endian 32-bit integers; special tokens' strings are ordinary text."""
+    return lambda text: encoder_of(path, True).encode([text.encode()])[0].tobytes()
 
 
 _WROTE = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n_tokens", T.LongType())])
 _READ = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of bounded size together."""
+    first = held = 0
+    for k, n in enumerate(pa.compute.binary_length(texts).fill_null(0).to_pylist()):
+        held += n
+        if held >= AT_ONCE:
+            yield first, k + 1
+            first, held = k + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def _writer(tokenizer: str, folder: str, end_id: int, shard_tokens: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder = encoder_of(tokenizer)
         part = TaskContext.get().partitionId()
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         docs: list[int | None] = []
         held = before = files = 0
 
         def flush() -> None:
             nonlocal held, before, files
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
-            data = build(np.frombuffer(b"".join(ids), "<u4"), np.array([d or 0 for d in docs], np.int64), np.array([d is not None for d in docs]), lengths, before, width)
+            known = np.array([d is not None for d in docs])
+            data = build(np.concatenate(ids), np.array([d or 0 for d in docs], np.int64), known, np.concatenate(lengths), before, width)
             put_file(f"{folder}/part-{part:06d}-{files:06d}.wm", data)
             before, held, files = before + held, 0, files + 1
             ids.clear()
+            lengths.clear()
             docs.clear()
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids.append(encode(text.as_py()) + end)
-                docs.append(doc)
-                held += len(ids[-1]) // 4
+            names = b.column(0).to_pylist()
+            for a, e in _slices(b.column(1)):
+                own, counts = encoder.encode(b.column(1).slice(a, e - a).cast(pa.binary()).to_pylist())
+                if len(own) and int(own.max()) >> width:
+                    raise ValueError(f"token id {int(own.max())} needs more than {width} bits")
+                ended = np.full(len(own) + len(counts), end_id, np.uint32)
+                mine = np.ones(len(ended), bool)
+                mine[np.cumsum(counts + 1) - 1] = False
+                ended[mine] = own
+                ids.append(ended)
+                lengths.append(counts + 1)
+                docs += names[a:e]
+                held += len(ended)
                 if held >= shard_tokens:
                     flush()
         if docs:
