@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,16 @@ def need(df: DataFrame, **columns: T.DataType) -> DataFrame:
     return df.select(*(F.col(c).cast(kind).alias(c) for c, kind in columns.items()))
 
 
+def held(docs: DataFrame, *more: Column) -> DataFrame:
+    """The columns of docs as held0, held1, ..., so that no name of theirs can clash with an operator's, and more columns made from docs."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"held{i}") for i, c in enumerate(docs.columns)), *more)
+
+
+def given_back(docs: DataFrame, **instead: Column) -> list[Column]:
+    """The columns of docs from what ``held`` made, but for those given instead."""
+    return [instead.get(c, F.col(f"held{i}")).alias(c) for i, c in enumerate(docs.columns)]
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a whole text as UTF-8; bytes.split() parts at exactly the six ASCII white-space characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import given_back, held, written
 
 #: The start of a marked line that has a word.
 WORD_LINE = r"(?:^|\n)[\x01\x02][\x20\t\x0B\f\r]*[^\x20\x09-\x0D]"
@@ -53,8 +53,9 @@ def _plain(chunk: Column) -> Column:
     return F.array_join(F.transform(F.split(chunk, "\n", -1), lambda x: F.substring(x, 2, 1 << 30)), "\n")
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key_", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs held aside, with key_ and text."""
+    return held(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th")).alias("key_"), F.col("text").cast("string").alias("text"))
 
 
 def _multi(texts: DataFrame, mean_lines: int) -> DataFrame:
@@ -78,9 +79,9 @@ def _removals(texts: DataFrame, mean_lines: int) -> DataFrame:
     return found.groupBy("key_").agg(F.sort_array(F.collect_set("k")).alias("gone"))
 
 
-def mark(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
-    """docs with text_ (what is left of the text), n_lines_ and n_removed_ (lines)."""
-    keyed = _key(docs)
+def _marked(docs: DataFrame, mean_lines: int) -> DataFrame:
+    """docs held aside, with text_ (what is left of the text), n_lines_ and n_removed_ (lines)."""
+    keyed = _keyed(docs)
     gone = _removals(keyed.where("text is not null").select("key_", "text"), mean_lines)
     joined = keyed.join(gone, "key_", "left")
     cut = _chunked(joined, mean_lines)
@@ -88,10 +89,15 @@ def mark(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     kept = F.transform(F.filter(marked, lambda x: ~x["gone"]), lambda x: _plain(x["c"]))
     cut = cut.withColumn("text_", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     lost = F.aggregate(F.filter(marked, lambda x: x["gone"]), F.lit(0), lambda a, x: a + F.size(F.split(x["c"], "\n", -1)))
-    cut = cut.withColumn("n_lines_", F.greatest(F.coalesce("n_", F.lit(0)), F.lit(0)).cast("long")).withColumn("n_removed_", F.when(F.col("gone").isNull(), 0).otherwise(lost).cast("long"))
-    return cut.select(*docs.columns, "text_", "n_lines_", "n_removed_")
+    return cut.withColumn("n_lines_", F.greatest(F.coalesce("n_", F.lit(0)), F.lit(0)).cast("long")).withColumn("n_removed_", F.when(F.col("gone").isNull(), 0).otherwise(lost).cast("long"))
+
+
+def mark(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
+    """docs with text_ (what is left of the text), n_lines_ and n_removed_ (lines); columns of docs with these names are left out."""
+    own = ("text_", "n_lines_", "n_removed_")
+    return _marked(docs, mean_lines).select(*(c for c, name in zip(given_back(docs), docs.columns, strict=True) if name not in own), *own)
 
 
 def dedup(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     """docs, all columns, with repeated chunks removed from their texts."""
-    return mark(docs, mean_lines).withColumn("text", F.col("text_")).select(*docs.columns)
+    return _marked(docs, mean_lines).select(*given_back(docs, text=F.col("text_")))

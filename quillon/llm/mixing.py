@@ -8,8 +8,8 @@ x of a source with target T gets the time t at which the integral of w has deman
 middle lies before T, and the mix is the copies range-sorted by time.
 
 Defined cases: null text has size 0 and is never taken; a null source is a source of its own, last in order; documents
-without an id are mixed like others (their order is by source and size); repeated rows each count; an empty table gives
-an empty mix; further columns are kept by ``mixed`` and ignored by ``plan``.
+without an id are mixed like others (in the order of a hash of their text); repeated rows each count; an empty table
+gives an empty mix; further columns of any name are kept by ``mixed`` and ignored by ``plan``.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, need, written
+from .common import WORD, given_back, held, need, written
 
 BUCKET_HEX = 3  # a source's stream is summed in 16 ** BUCKET_HEX hash ranges, never in one task
 
@@ -59,22 +59,38 @@ def time_of(x: Column, target: Column, ramp: Column) -> Column:
     return 2 * y / ((1 - ramp) + F.sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * y))
 
 
+def _sized(text: str = "text") -> list[Column]:
+    """What mixing needs of a document: its id (or a hash of its text), source and size."""
+    body = F.col(text).cast("string")
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64(body)).alias("other"), F.col("source").cast("string").alias("source"), size_of(body).alias("size")]
+
+
 def plan(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, taken, copies, positions (times of its copies)."""
-    sized = need(docs, doc_id=T.LongType(), source=T.StringType(), text=T.StringType()).select("doc_id", "source", size_of(F.col("text")).alias("size"))
-    return _placed(written(sized, "mix-sizes"), seed, weights, epochs).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "positions")
+    sized = written(need(docs, doc_id=T.LongType(), source=T.StringType(), text=T.StringType()).select(*_sized()), "mix-sizes")
+    per, sums = _figures(sized, seed, weights, epochs)
+    return _placed(sized, per, sums, seed, epochs).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "positions")
+
+
+def _keyed(sized: DataFrame, per: DataFrame, seed: int) -> DataFrame:
+    """sized with its source's figures and its place: h, rest (whether it is among the short ones) and bucket."""
+    keyed = sized.join(per, F.col("source").eqNullSafe(F.col("s_")), "inner").drop("s_")
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("other").cast("string")))
+    return keyed.withColumn("h", h).withColumn("rest", (F.col("size") * 200 <= F.col("target")).cast("int")).withColumn("bucket", F.substring("h", 1, BUCKET_HEX))
 
 
-def _placed(sized: DataFrame, seed: int, weights: tuple[int, ...], epochs: int) -> DataFrame:
-    """sized (doc_id, source, size and any more columns) with its source's figures, copies and positions."""
+def _figures(sized: DataFrame, seed: int, weights: tuple[int, ...], epochs: int) -> tuple[DataFrame, DataFrame]:
+    """The sources' figures, and the words before each hash range of a source's stream."""
     per = targets(sized, weights, epochs).withColumnRenamed("source", "s_")
-    keyed = sized.join(per, sized["source"].eqNullSafe(per["s_"]), "inner").drop("s_")
-    keyed = keyed.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))).withColumn("rest", (F.col("size") * 200 <= F.col("target")).cast("int")).withColumn("bucket", F.substring("h", 1, BUCKET_HEX))
-    sums = keyed.groupBy("source_rank", "rest", "bucket").agg(F.sum("size").alias("n"))
+    sums = _keyed(sized, per, seed).groupBy("source_rank", "rest", "bucket").agg(F.sum("size").alias("n"))
     order = Window.partitionBy("source_rank").orderBy("rest", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source_rank", "rest", "bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    return per, sums.select("source_rank", "rest", "bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+
+
+def _placed(sized: DataFrame, per: DataFrame, sums: DataFrame, seed: int, epochs: int) -> DataFrame:
+    """sized (doc_id, other, source, size and any more columns) with its source's figures, copies and positions."""
     inside = Window.partitionBy("source_rank", "rest", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
-    keyed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    keyed = _keyed(sized, per, seed).withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     keyed = keyed.join(sums, ["source_rank", "rest", "bucket"]).withColumn("x", (F.col("before") + F.col("inside")).cast("double"))
     step, middle = F.col("source_size"), F.col("x") + F.col("size") / 2
     copies = F.when((F.col("size") > 0) & (step > 0), F.greatest(F.lit(0.0), F.least(F.lit(float(epochs)), F.floor((F.col("target") - middle) / step) + 1))).otherwise(0).cast("int")
@@ -83,11 +99,13 @@ def _placed(sized: DataFrame, seed: int, weights: tuple[int, ...], epochs: int)
     return keyed.withColumn("positions", F.when(F.col("copies") > 0, times).otherwise(F.array().cast("array<double>"))).drop("h", "rest", "bucket", "inside", "before", "x")
 
 
-def mixed(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3) -> DataFrame:
-    """The mix itself: the columns of docs, one row for each copy taken, range-sorted by training position."""
-    # A row is found again by its id, source and size; rows alike in all three share out their copies in turn.
-    found = plan(docs, seed, weights, epochs).where("copies > 0").groupBy(F.struct("doc_id", "source", "size").alias("key_")).agg(F.sort_array(F.collect_list("positions")).alias("all_"))
-    rows = docs.withColumn("key_", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size")))
-    rows = rows.withColumn("nth_", F.row_number().over(Window.partitionBy("key_").orderBy(F.xxhash64("text"))))
-    copies = rows.join(found, "key_").where(F.col("nth_") <= F.size("all_")).withColumn("position_", F.explode(F.expr("all_[nth_ - 1]")))
-    return copies.orderBy("position_", "doc_id").select(*docs.columns)
+def mixed(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, position: str | None = None) -> DataFrame:
+    """The mix itself: the columns of docs, one row for each copy taken, range-sorted by training position.
+
+    position: the name of a further column with each copy's time. Without it the order is that of the partitions and of
+    the files they are written to, which a reader has to take by name; Spark's own readers don't.
+    """
+    per, sums = _figures(written(docs.select(*_sized()), "mix-sizes"), seed, weights, epochs)
+    placed = _placed(held(docs, *_sized()), written(per, "mix-sources"), written(sums, "mix-ranges"), seed, epochs).where("copies > 0")
+    copies = placed.withColumn("time", F.explode("positions")).orderBy("time", "doc_id")
+    return copies.select(*given_back(docs), *([F.col("time").alias(position)] if position else []))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Memo, need
+from .common import Memo, given_back, held, need
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -247,4 +247,6 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """docs with piece_ids, in place of a column of that name if there is one."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
     docs = docs.drop("piece_ids")
-    return docs.mapInArrow(_ids(shared, docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
+    rows = held(docs)
+    found = rows.mapInArrow(_ids(shared, docs.columns.index("text")), T.StructType([*rows.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
+    return found.select(*given_back(docs), "piece_ids")

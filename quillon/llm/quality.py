@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, need, words
+from .common import SPACE, given_back, held, need, words
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -219,4 +219,5 @@ def _kept_rows(trees: Trees | None, threshold: float, at: int):
 
 def keep_good(docs: DataFrame, trees: Trees | None, threshold: float = 0.5) -> DataFrame:
     """The documents that are kept, all their columns unchanged: one pass, no join."""
-    return docs.mapInArrow(_kept_rows(trees, threshold, docs.columns.index("text")), docs.schema)
+    rows = held(docs)
+    return rows.mapInArrow(_kept_rows(trees, threshold, docs.columns.index("text")), rows.schema).select(*given_back(docs))
