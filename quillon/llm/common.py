@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
@@ -80,6 +81,17 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system, which executors' limits count."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) for a folder that executors write to: file, HDFS or an object store."""
     from pyarrow import fs

@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, need, written
+from .common import dropped, need, release, written
 from .components import components
 from .wordhash import BASES, Words, mixed, rolled
 
@@ -292,6 +292,7 @@ def _given(shared, buckets: int, total: int, sample_rows: int):
             members = pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(shingles, pa.int64()), b.column(0), b.column(1)], names=["cid", "size", "doc_id", "place"])
             if b.num_rows:
                 out.append((b.column(1)[0].as_py() % buckets, None, None, _stream(members)))
+            release()
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=_GIVEN.names)
 
     return run
@@ -301,6 +302,7 @@ def _shared_keys(shared, total: int, sample_rows: int):
     """The keys of a hash range that several classes have, and the documents of the batches sent there."""
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         plan = shared.value
         kinds = dict(zip(_FOUND.names, [pa.int64()] * len(_FOUND), strict=True))
         out = [pa.table({k: pa.array([], v) for k, v in kinds.items()})]
@@ -342,6 +344,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _wanted_sets(n: int):
     def run(packs: pa.Table, wanted: pa.Table) -> pa.Table:
+        release()
         out: dict[int, bytes] = {}
         if packs.num_rows and wanted.num_rows:
             want, places = set(wanted["cid"].to_pylist()), pa.array(wanted["place"].combine_chunks())
@@ -363,6 +366,7 @@ def _known(sets: pa.Table) -> dict[int, np.ndarray]:
 
 def _compare(measure: Measure):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        release()
         known = _known(sets)
         links = [(a, b) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True) if measure.linked(known[a], known[b])]
         a, b = zip(*links, strict=True) if links else ((), ())
@@ -375,6 +379,7 @@ def _sift(measure: Measure):
     """The pairs (a, b) that sketches don't rule out."""
 
     def run(pairs: pa.Table, sketches: pa.Table) -> pa.Table:
+        release()
         known = {c: (n, Sketch(x)) for c, n, x in zip(sketches["cid"].to_pylist(), sketches["size"].to_pylist(), sketches["sketch"].to_pylist(), strict=True)}
         keep = []
         for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
@@ -385,13 +390,22 @@ def _sift(measure: Measure):
     return run
 
 
+def _by(t: pa.Table, key: str, columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of each key of a table, as tuples of columns."""
+    out: dict[int, list[tuple]] = {}
+    for k, row in zip(t[key].to_pylist(), zip(*(t[c].to_pylist() for c in columns), strict=True), strict=True):
+        out.setdefault(k, []).append(row)
+    yield from out.items()
+
+
 def _sift_all(measure: Measure):
     """The pairs of each group's classes of different components that sketches don't rule out."""
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         out = []
-        for group, some in t.to_pandas().groupby("group"):
-            rows = sorted(zip(some["size"].tolist(), some["b"].tolist(), some["component"].tolist(), map(Sketch, some["sketch"]), strict=True), key=lambda r: r[:2])
+        for group, some in _by(t, "group", ("size", "b", "component", "sketch")):
+            rows = sorted(((n, b, x, Sketch(raw)) for n, b, x, raw in some), key=lambda r: r[:2])
             for i, (m, a, x, p) in enumerate(rows):
                 most = measure.most(m)
                 for n, b, y, q in rows[i + 1 :]:
@@ -448,15 +462,14 @@ def _near(measure: Measure, buckets: int):
     """Links of the pairs (a: pivot, b) of a block, and the keys of the differences by hash range."""
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        release()
         known = _known(sets)
         links, entries = [], []
-        rows = pairs.to_pandas()
-        for p, some in rows.groupby("a"):
-            pivot, own = known[p], some[~some["hint"]]
-            members = own["b"].tolist()
-            found, sizes = _prefixes(measure, pivot, [known[c] for c in members], [known[c] for c in some["b"][some["hint"]]])
+        for p, some in _by(pairs, "a", ("b", "component", "hint")):
+            pivot, members, components = known[p], [b for b, _, hint in some if not hint], [x for _, x, hint in some if not hint]
+            found, sizes = _prefixes(measure, pivot, [known[c] for c in members], [known[b] for b, _, hint in some if hint])
             base = mixed(np.array([p], np.int64).view(np.uint64))[0]
-            for c, component, x, n in zip(members, own["component"].tolist(), found, sizes.tolist(), strict=True):
+            for c, component, x, n in zip(members, components, found, sizes.tolist(), strict=True):
                 if n <= measure.differ(len(known[c]), len(pivot)):
                     links.append((p, c))
                 e = np.empty(len(x), _ENTRY)
@@ -486,6 +499,7 @@ def _meet(measure: Measure):
     """The classes of different components that share a key of their differences at positions that a link allows."""
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         e = np.concatenate([_entries(x) for x in t["pack"].to_pylist()])
         e = e[np.lexsort((e["at"], e["key"]))]
         last = np.searchsorted(e["key"], e["key"], side="right")
