@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Memo, given_back, held, need
+from .common import Memo, given_back, held, need, release
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Texts that are returned together, and parts of texts that a worker remembers (in each of two generations).
+ROWS, PARTS = 1024, 150_000
 
 
 @dataclass
@@ -160,7 +162,7 @@ _memos: dict[str, tuple[Memo, Memo]] = {}
 def encoder(v: Vocabulary):
     """text -> ids as little-endian 32-bit integers."""
     if v.key not in _memos:
-        make = lambda lead: Memo(lambda part: np.array(best_path(v, (lead + part).encode("utf-8", "surrogatepass")), "<u4").tobytes())
+        make = lambda lead: Memo(lambda part: np.array(best_path(v, (lead + part).encode("utf-8", "surrogatepass")), "<u4").tobytes(), PARTS)
         _memos[v.key] = make(MARK), make("")
     marked, plain = (m.__getitem__ for m in _memos[v.key])
     feed = np.array(v.bytes_ids[10:11], "<u4").tobytes()
@@ -234,11 +236,14 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
 def _ids(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shared.value)
-        for b in batches:
-            raw = [encode(t.as_py()) for t in b.column(at)]
-            ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
-            ids = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], names=[*b.schema.names, "piece_ids"])
+        for batch in batches:
+            for k in range(0, max(1, batch.num_rows), ROWS):
+                b = batch.slice(k, ROWS)
+                raw = [encode(t.as_py()) for t in b.column(at)]
+                ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
+                ids = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], names=[*b.schema.names, "piece_ids"])
+            release()
 
     return run
 
