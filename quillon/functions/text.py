@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 #: N-gram length and sampling modulus of fingerprints.
 GRAM, MODULUS = 12, 4
@@ -22,8 +24,8 @@ def _nfkc(x: pd.Series) -> pd.Series:
 
 
 def norm_text(text: Column) -> Column:
-    """NFKC, white space as one space, trimmed, lower case. Only texts beyond ASCII leave the JVM."""
-    plain = F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(text))
+    """NFKC, white space as one space, trimmed, lower case. Only texts beyond ASCII leave the JVM: for others a null does."""
+    plain = F.coalesce(_nfkc(F.when(F.length(text) != F.octet_length(text), text)), text)
     return F.lower(F.trim(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f]+", " ")))
 
 
@@ -59,6 +61,45 @@ def hex_fingerprints(words: Column, n: int = GRAM) -> Column:
     return F.when(F.size(words) >= 2 * n, F.array_distinct(hashed)).otherwise(F.array().cast("array<string>"))
 
 
+def _spans(norm: str | None, n: int) -> tuple[memoryview, list[int], list[int]]:
+    """The bytes of a normal form, and where each n-gram of a text of 2 n words or more starts and ends: words stand one space apart, so a gram is a span."""
+    raw = (norm or "").encode("utf-8", "surrogatepass")
+    at = [-1]
+    while (k := raw.find(b" ", at[-1] + 1)) >= 0:
+        at.append(k)
+    at.append(len(raw))
+    words = len(at) - 1
+    return (memoryview(raw), [k + 1 for k in at[: words - n + 1]], at[n:]) if words >= 2 * n else (memoryview(raw), [], [])
+
+
+def text_fingerprints(norm: Column, n: int = GRAM, modulus: int = MODULUS) -> Column:
+    """``fingerprints`` of a normal form's words, in one pass over Arrow batches: no gram is built as a string."""
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def of(x: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[int]:
+            raw, starts, ends = _spans(text, n)
+            return list(dict.fromkeys(h for a, e in zip(starts, ends, strict=True) if (h := zlib.crc32(raw[a:e])) % modulus == 0))
+
+        return x.map(one)
+
+    return of(norm)
+
+
+def text_hex_fingerprints(norm: Column, n: int = GRAM) -> Column:
+    """``hex_fingerprints`` of a normal form's words, likewise."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def of(x: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[str]:
+            raw, starts, ends = _spans(text, n)
+            return list(dict.fromkeys(h.hex() for a, e in zip(starts, ends, strict=True) if not (h := hashlib.md5(raw[a:e]).digest())[0] & 0x30))
+
+        return x.map(one)
+
+    return of(norm)
+
+
 def norm_split(split: Column) -> Column:
     low = F.lower(split)
     out = low

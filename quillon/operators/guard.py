@@ -25,10 +25,16 @@ class GuardIndex:
     prints: DataFrame  # fp, df, src_min, src_max
 
 
+#: The same fingerprints from a normal form in one pass.
+_BY_TEXT = {tx.fingerprints: tx.text_fingerprints, tx.hex_fingerprints: tx.text_hex_fingerprints}
+
+
 def fingerprinted(df: DataFrame, state: str, prints=tx.fingerprints, normal=tx.norm_text) -> DataFrame:
-    """df with words_ and fps_; the words are a column of their own so that the grams slice it."""
+    """df with fps_."""
     df = df.withColumn("norm_", normal(F.col(state)))
-    return df.withColumn("words_", F.split("norm_", " ")).withColumn("fps_", prints(F.col("words_"))).drop("norm_")
+    if prints in _BY_TEXT:
+        return df.withColumn("fps_", _BY_TEXT[prints](F.col("norm_"))).drop("norm_")
+    return df.withColumn("words_", F.split("norm_", " ")).withColumn("fps_", prints(F.col("words_"))).drop("norm_", "words_")
 
 
 def build_index(evaluation: DataFrame, state: str = "state", group: str = "group_id", source: str = "source", order: Column | None = None, prints=tx.fingerprints, normal=tx.norm_text) -> GuardIndex:
