@@ -284,7 +284,7 @@ def letter_prompt(spark: SparkSession, d: str) -> DataFrame:
     return labelled(spark, d).select("id", F.sha2(text, 256).alias("h"), F.length(text).cast("long").alias("n"))
 
 
-@query("WITH w AS (SELECT doc_id, list_transform(range(1, least(n_chars, 300) + 1), lambda i: i) AS ids FROM documents) SELECT doc_id, len(CASE WHEN len(ids) <= 100 THEN ids ELSE ids[:48] || [0, 0, 0] || ids[len(ids) - 48:] END)::BIGINT AS n, list_sum(CASE WHEN len(ids) <= 100 THEN ids ELSE ids[:48] || [0, 0, 0] || ids[len(ids) - 48:] END)::BIGINT AS s FROM w")
+@query("WITH w AS (SELECT doc_id, list_transform(range(1, n_chars + 1), lambda i: i) AS ids FROM documents) SELECT doc_id, len(CASE WHEN len(ids) <= 100 THEN ids ELSE ids[:48] || [0, 0, 0] || ids[len(ids) - 48:] END)::BIGINT AS n, list_sum(CASE WHEN len(ids) <= 100 THEN ids ELSE ids[:48] || [0, 0, 0] || ids[len(ids) - 48:] END)::BIGINT AS s FROM w")
 def middle_truncate(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "documents").select("doc_id", F.sequence(F.lit(1), F.col("n_chars").cast("int")).alias("ids")).where("size(ids) > 0")
     rows = rows.withColumn("cut", render.truncate_middle(F.col("ids"), F.lit(100), F.array(*[F.lit(0)] * 3)))
