@@ -1,6 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate join, mixing and piece encoding, each over all that the one before kept.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs, which may
+have any names. Null and empty texts fail the quality rules; repeated rows go in near_duplicates but for one; an empty
+table stays empty through all stages; a text of any length is worked on whole.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies that the mix takes, in training order."""
+    """The copies that the mix takes, range-sorted by training position: written, their files by name are in that order, which the reading of the next stage doesn't keep."""
     return mixing.mixed(docs)
 
 
