@@ -26,17 +26,21 @@ import html
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import need, written
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: The start of a tag, comment or declaration. What follows a tag's name is read up to its end by TAIL, if it has no further "<" or ">", and else by Reading._tail.
+TAG = re.compile(r"<(?:([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+TAIL = re.compile(r"(?:[^<>\"']++|\"[^<>\"]*+\"|'[^<>']*+')*+>")
+SIGN = re.compile(r"[>\"']")
+#: The host of an address after its scheme and user, before its port; one of numbers in its brackets.
+HOST = r"^(?:[^:/?#]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = {"script", "style", "noscript", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -70,12 +74,9 @@ END_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "f
 HELD = {"p": 2, "article": 3, "main": 4}
 
 
-def host_of(url: str | None) -> str | None:
-    """The lower-case host of an address, or None."""
-    try:
-        return (urlsplit(url).hostname or None) if url else None
-    except ValueError:
-        return None
+def host_of(url: Column) -> Column:
+    """The lower-case host of an address, or null."""
+    return F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
 
 
 @lru_cache(1 << 16)
@@ -116,6 +117,9 @@ class Reading:
         self._text: list[str] = []
         self._stack: list[list] = []  # tag, left out, block, within main, first block, hash parts, main element, place, kind, kind for counting text (the greatest above, a link's as NEVER), held before it
         self._opened = 0
+        self._places: dict[str, list[int]] = {}  # of each tag's open elements in the stack
+        self._open_blocks: list[int] = []
+        self._dead: set[int] = set()  # quotes from which no tag ends
         self._held = [0] * 5  # so far: characters outside links and what is STRONG, or REMARK, and up; paragraphs; articles; main elements
         self._doubted: list[tuple[int, int, list[int]]] = []  # place, kind, held
         self._templates = templates
@@ -182,6 +186,9 @@ class Reading:
             self._flush()
         main = tag in ("article", "main") and not out
         self.has_main |= main
+        self._places.setdefault(tag, []).append(len(self._stack))
+        if block:
+            self._open_blocks.append(len(self._stack))
         self._stack.append([tag, out, block, main or self._within(), len(self.blocks), [tag], main, place, kind, uncounted, self._held[:] if KEPT < kind < NEVER else None])
         if tag in HELD and uncounted < NEVER:
             self._held[HELD[tag]] += 1
@@ -190,6 +197,9 @@ class Reading:
         tag, out, block, within, first, parts, main, place, kind, _, held = self._stack[-1]
         if block and not out:
             self._flush()
+        self._places[tag].pop()
+        if block:
+            self._open_blocks.pop()
         h = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) >> 1
         self._stack.pop()
         if held:
@@ -200,7 +210,7 @@ class Reading:
         leaf = within and tag in LEAVES
         if block and not out and len(parts) > 1 and not main and not (leaf and tag not in TEXTS) and tag not in ("html", "body"):
             h = h | INSIDE if within else h & ~INSIDE
-            self.subtrees.append((leaf and sum(len(x[1].split()) for x in self.blocks[first:]) < BRIEF, h))
+            self.subtrees.append((leaf and sum(len(x[1].split(None, BRIEF)) for x in self.blocks[first : first + BRIEF]) < BRIEF, h))
             if h in self._templates and not leaf:
                 del self.blocks[first:]
             elif h in self._templates or h in self._recurring:
@@ -210,20 +220,47 @@ class Reading:
                 else:
                     del self.blocks[first:]
 
+    def _tail(self, page: str, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``: after the first ">" outside quotes, or, if a quote stays open to the end of the page, the first ">" of all; 0 if there is none.
+
+        Quotes from which a search failed are remembered, so that all searches of a page together read it a few times.
+        """
+        if m := TAIL.match(page, at):
+            return m.end()
+        passed, p = [], at
+        while p <= self._last[">"] and (m := SIGN.search(page, p)):
+            if m[0] == ">":
+                return m.end()
+            if m.start() in self._dead or m.end() > self._last[m[0]]:
+                break
+            passed.append(m.start())
+            p = page.find(m[0], m.end()) + 1
+        self._dead.update(passed)
+        return page.find(">", at) + 1 if at <= self._last[">"] else 0
+
     def _read(self, page: str) -> None:
         at, n = 0, len(page)
+        self._last = {c: page.rfind(c) for c in ">\"'"}
+        said = 0
         while at < n:
             m = TAG.search(page, at)
             if not m:
-                self._say(page[at:])
                 break
-            if m.start() > at:
-                self._say(page[at : m.start()])
-            at = m.end()
-            if m[2] is None:
-                continue
-            tag = m[2].lower()
             if m[1]:
+                closing = "-->" if page.startswith("<!--", m.start()) else ">"
+                end = page.find(closing, m.start() + (4 if closing == "-->" else 2))
+                end = n if end < 0 else end + len(closing)
+            else:
+                end = self._tail(page, m.end())
+                if not end:
+                    at = m.end()
+                    continue
+            self._say(page[said : m.start()])
+            said = at = end
+            if m[1]:
+                continue
+            tag = m[3].lower()
+            if m[2]:
                 self._end(tag)
                 continue
             if tag in SPACE_INLINE:
@@ -235,34 +272,31 @@ class Reading:
                 shut, held = CLOSES[tag]
                 for x in shut:
                     self._end_within(x, held)
-            self._open(tag, m[3])
-            if tag in VOID or m[3].endswith("/") and tag not in RAW:
+            attributes = page[m.end() : end - 1]
+            self._open(tag, attributes)
+            if tag in VOID or attributes.endswith("/") and tag not in RAW:
                 self._close()
             elif tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else n
+                close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                said = at = close.end() if close else n
                 self._close()
+        self._say(page[said:])
+
+    def _end_from(self, place: int) -> None:
+        while len(self._stack) > place:
+            self._close()
 
     def _end_within(self, tag: str, held: set[str]) -> None:
         """Closes the nearest open element of a tag, unless one that holds it in comes first."""
-        for i in range(len(self._stack) - 1, -1, -1):
-            if self._stack[i][0] == tag:
-                while len(self._stack) > i:
-                    self._close()
-                return
-            if self._stack[i][0] in held:
-                return
+        places = self._places.get(tag)
+        if places and all(places[-1] > x[-1] for h in held if (x := self._places.get(h))):
+            self._end_from(places[-1])
 
     def _end(self, tag: str) -> None:
-        if any(x[0] == tag for x in self._stack):
-            inline = tag in INLINE
-            for i in range(len(self._stack) - 1, -1, -1):
-                if self._stack[i][0] == tag:
-                    while len(self._stack) > i:
-                        self._close()
-                    return
-                if inline and self._stack[i][2]:  # an inline end tag doesn't close a block
-                    return
+        """Closes the nearest open element of a tag; an inline end tag doesn't close a block."""
+        places = self._places.get(tag)
+        if places and not (tag in INLINE and self._open_blocks and self._open_blocks[-1] > places[-1]):
+            self._end_from(places[-1])
 
 
 _SUBTREE = T.StructType([T.StructField("host", T.StringType()), T.StructField("brief", T.BooleanType()), T.StructField("h", T.LongType()), T.StructField("content", T.LongType())])
@@ -272,10 +306,7 @@ _TEXT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows: set[tuple] = set()
-        for url, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            host = host_of(url)
-            if host is None:
-                continue
+        for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             r = Reading(page.as_py())
             content = xxhash.xxh3_64_intdigest(r.text().encode("utf-8", "surrogatepass")) >> 1
             rows.add((host, None, None, content))
@@ -286,7 +317,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame, share: float = 0.5, least: int = 10) -> DataFrame:
     """(host, hashes, recurring): each host's template subtrees on the share of its pages, and the others."""
-    seen = need(pages, url=T.StringType(), html=T.StringType()).mapInArrow(_hashed, _SUBTREE).distinct()
+    sites = need(pages, url=T.StringType(), html=T.StringType()).select(host_of(F.col("url")).alias("host"), "html").where("host is not null")
+    seen = sites.mapInArrow(_hashed, _SUBTREE).distinct()
     counted = seen.groupBy("host", "brief", "h").agg(F.count("*").alias("n"))
     fewest = min(FEWEST, least)
     counted = written(counted.where((F.col("n") >= fewest) | F.col("h").isNull()), "html-subtrees")
@@ -311,8 +343,7 @@ def extract(pages: DataFrame, share: float = 0.5, least: int = 10, broadcast_hos
     """One row for each page: page_id, url, text, n_chars."""
     rows = need(pages, page_id=T.LongType(), url=T.StringType(), html=T.StringType())
     known = written(templates(rows, share, least), "html-templates")
-    # The host as host_of() has it: scheme, then user, then name, then port.
-    rows = rows.withColumn("host", F.lower(F.regexp_extract("url", r"^[^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
+    rows = rows.withColumn("host", host_of(F.col("url")))
     n_hosts, n_hashes = known.agg(F.count("*"), F.coalesce(F.sum(F.size("hashes") + F.size("recurring")), F.lit(0))).first()
     few = n_hosts <= broadcast_hosts and n_hashes <= 100 * broadcast_hosts
     if few:
