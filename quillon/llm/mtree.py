@@ -11,7 +11,8 @@ Each shard's best k for a query meet in one ranking of a query's rows, k from ea
 
 Defined cases: a vector that is null or holds null or non-finite components takes no part, nor does one without an id;
 shorter vectors count as ending in zeros; a repeated row counts once, and rows of one id are not each other's
-candidates; fewer than k candidates are all returned; an empty table gives no rows; further columns are ignored.
+candidates; fewer than k candidates are all returned; an empty table gives no rows; vectors so
+long that a product of two could leave 64 bits are an error, never a wrapped score; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ SUPER = 16384  # queries that meet a shard in one task
 def whole(vectors: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
     """(vec_id, v): the vectors that take part, components floored to whole numbers of 1/scale."""
     rows = need(vectors, **{id_column: T.LongType(), vector_column: T.ArrayType(T.DoubleType())}).toDF("vec_id", "x")
-    good = F.col("x").isNotNull() & F.col("vec_id").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e300))
+    good = F.col("x").isNotNull() & F.col("vec_id").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     return rows.where(good).select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v")).dropDuplicates(["vec_id", "v"])
 
 
@@ -188,6 +189,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     is_query = F.col("vec_id") % every == 0
     n, q, dim, top2 = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.size("v")), F.max(length2)).first()
     dim, top2 = dim or 0, float(top2 or 0.0)
+    if top2 >= 2.0**63:
+        raise ValueError(f"scores of vectors of squared length {top2:.3g} don't fit 64 bits")
     shards, supers = max(1, -(-n // SHARD)), max(1, -(-q // SUPER))
     planted = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("long")).groupBy("shard").applyInArrow(_plant(dim, top2), _PAGES)
     pages = written(planted, "mtree-pages").withColumn("super", F.explode(F.sequence(F.lit(0), F.lit(supers - 1))))
