@@ -97,3 +97,21 @@ def assert_disjoint(left: DataFrame, right: DataFrame, on: str) -> None:
 def assert_nested(small: DataFrame, large: DataFrame, on: str) -> None:
     if not small.select(on).exceptAll(large.select(on)).isEmpty():
         raise AssertionError(f"not nested on {on}")
+
+
+def leak_filter(candidates: DataFrame, states: DataFrame, key: str = "id", state: str = "state", boilerplate: int = BOILERPLATE, prints=tx.fingerprints, normal=tx.norm_text) -> DataFrame:
+    """candidates with leak: leak_state_in_train, leak_ngram_in_train or null, against the states of a training table.
+
+    Here the candidates' side says what is boilerplate: a fingerprint that more than ``boilerplate`` distinct candidate
+    states have that aren't training states themselves.
+    """
+    trained = states.select(tx.text_hash(F.col(state), normal=normal).alias("h_"), F.col(state)).dropDuplicates(["h_"])
+    rows = candidates.withColumn("h_", tx.text_hash(F.col(state), normal=normal)).join(trained.select("h_", F.lit(True).alias("known_")), "h_", "left")
+    fresh = rows.where("known_ is null")
+    mine = fingerprinted(fresh, state, prints, normal).select(key, "h_", F.size("fps_").alias("n_fps"), F.explode_outer("fps_").alias("fp")).where("fp is not null")
+    rare = mine.groupBy("fp").agg(F.count_distinct("h_").alias("df")).where(F.col("df") <= boilerplate).select("fp")
+    theirs = fingerprinted(trained, state, prints, normal).select(F.explode_outer("fps_").alias("fp")).distinct()
+    shared = rare.join(theirs, "fp", "left_semi")
+    hits = mine.join(shared, "fp").groupBy(key).agg(F.count("*").alias("hits"), F.first("n_fps").alias("n_fps")).where(is_leak(F.col("hits"), F.col("n_fps")))
+    out = rows.join(hits.select(key, F.lit(True).alias("printed_")), key, "left")
+    return out.select(*candidates.columns, F.when(F.col("known_"), "leak_state_in_train").when(F.col("printed_"), "leak_ngram_in_train").alias("leak"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as ar
+from ..functions import text as tx
+from .ranks import ordinal
 
 #: Bins of calibration errors, coverages of risk curves, and the range of temperatures.
 BINS = 15
@@ -47,13 +49,9 @@ def reliability(df: DataFrame, correct: str = "correct", bins: int = BINS) -> Da
 
 
 def selective_risk(df: DataFrame, key: str = "id", correct: str = "correct", coverages: tuple[float, ...] = COVERAGES) -> DataFrame:
-    """For each coverage c: the error among the k = max(1, round half to even(c n)) most confident rows.
-
-    Confidences are counted first, so what is ranked by one task is the distinct confidences' sums, not the rows; ties
-    at the cut count by their mean order of keys, which needs the rows of one confidence only.
-    """
-    ranked = df.withColumn("r_", F.row_number().over(Window.orderBy(F.col("conf").desc(), key)))
-    n = df.count()
+    """For each coverage c: the error among the k = max(1, round half to even(c n)) most confident rows, ties by key."""
+    ranked = ordinal(df.select("conf", key, correct), "r_", F.col("conf").desc(), key)
+    n = ranked.count()
     ks = [(float(c), max(1, round(c * n))) for c in coverages]
     sums = ranked.agg(*(F.avg(F.when(F.col("r_") <= k, 1 - F.col(correct))).alias(f"c{i}") for i, (_, k) in enumerate(ks)))
     return sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("coverage"), F.lit(k).cast("long").alias("k"), F.col(f"c{i}").alias("risk")) for i, (c, k) in enumerate(ks)))).alias("x")).select("x.*")
@@ -61,8 +59,8 @@ def selective_risk(df: DataFrame, key: str = "id", correct: str = "correct", cov
 
 def spearman(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """The correlation of ordinal ranks (ties by key); NaN for fewer than three rows or no variance."""
-    ranked = df.withColumn("ra_", F.row_number().over(Window.orderBy(a, key)).cast("double")).withColumn("rb_", F.row_number().over(Window.orderBy(b, key)).cast("double"))
-    r = F.corr("ra_", "rb_")
+    ranked = ordinal(ordinal(df.select(a, b, key), "ra_", a, key), "rb_", b, key)
+    r = F.corr(F.col("ra_").cast("double"), F.col("rb_").cast("double"))
     return ranked.agg(F.when((F.count("*") < 3) | (F.min(a) == F.max(a)) | (F.min(b) == F.max(b)), F.lit(float("nan"))).otherwise(r).alias("spearman"), F.count("*").alias("n"))
 
 
@@ -79,19 +77,17 @@ def temperature_grid(df: DataFrame, kind: str = "kind", grid: list[float] | None
 
 
 def fit_temperatures(df: DataFrame, kinds: list[str], rounds: int = 3) -> dict[str, float]:
-    """The temperature of least nll for each kind, the grid refined around the best; 1.0 for a kind without rows."""
-    out = {}
-    for k in kinds:
-        low, high, best = COLDEST, HOTTEST, 1.0
-        for _ in range(rounds):
-            grid = [low * (high / low) ** (i / 24) for i in range(25)]
-            row = temperature_grid(df.where(F.col("kind") == k), "kind", grid).agg(F.min_by("t", F.struct("nll", "t")).alias("t")).first()
-            if row["t"] is None:
-                break
-            best = row["t"]
+    """The temperature of least nll for each kind, the grid refined around the best; 1.0 for a kind without rows. One job a round for all kinds."""
+    ranges, out = dict.fromkeys(kinds, (COLDEST, HOTTEST)), dict.fromkeys(kinds, 1.0)
+    for _ in range(rounds):
+        grid = F.coalesce(*(F.when(F.col("kind") == k, F.array(*(F.lit(low * (high / low) ** (i / 24)) for i in range(25)))) for k, (low, high) in ranges.items()))
+        probed = df.where(F.col("kind").isin(kinds)).withColumn("t", F.explode(grid))
+        per = probed.groupBy("kind", "t").agg(F.avg(ar.nll(ar.softmax(F.col("logits"), F.col("t")), F.col("target"))).alias("nll"))
+        for row in per.groupBy("kind").agg(F.min_by("t", F.struct("nll", "t")).alias("t")).collect():  # one a kind
+            low, high = ranges[row["kind"]]
             step = (high / low) ** (1 / 24)
-            low, high = max(COLDEST, best / step), min(HOTTEST, best * step)
-        out[k] = best
+            out[row["kind"]] = row["t"]
+            ranges[row["kind"]] = max(COLDEST, row["t"] / step), min(HOTTEST, row["t"] * step)
     return out
 
 
@@ -127,3 +123,18 @@ def align_external(decisions: DataFrame, predictions: DataFrame) -> DataFrame:
     met = met.withColumn("v_", F.transform("keys", look))
     bad = F.when(F.col("probs").isNull(), "no_prediction").when(F.exists("v_", lambda x: x.isNull()), "no_key").when(F.exists("v_", lambda x: x < 0) | (ar.total(F.col("v_")) <= 0), "bad_mass")
     return met.withColumn("status", F.coalesce(bad, F.lit("ok"))).withColumn("p", F.when(F.col("status") == "ok", ar.normalise(F.col("v_")))).drop("m_", "v_", "probs")
+
+
+def split_by_seen(results: DataFrame, seen: DataFrame, source: str = "source") -> DataFrame:
+    """Pooled means of the sources that an audit lists (seen) and of the others (not_flagged)."""
+    listed = seen.select(F.col(source)).distinct().withColumn("listed_", F.lit(True))
+    part = F.when(F.col("listed_"), "seen").otherwise("not_flagged")
+    return pooled(results.join(listed, source, "left").withColumn("part", part), ["part"])
+
+
+def evaluation_rows(rows: DataFrame, split: str, final: bool = False, limit: int | None = None, identity: str = "id", seed: int = 0) -> DataFrame:
+    """The rows of a split, or a sample of ``limit`` of them by hash. The test split is refused without ``final``."""
+    if split == "test" and not final:
+        raise PermissionError("the test split is read only with final=True")
+    of = rows.where(F.col("split") == split)
+    return of if limit is None else of.orderBy(tx.uniform(F.col(identity).cast("string"), seed), identity).limit(limit)

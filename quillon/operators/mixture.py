@@ -29,6 +29,7 @@ class Settings:
     without_test: list = field(default_factory=list)
     strip_annotations: bool = False
     guard_long: bool = False
+    hex_prints: bool = False  # md5 fingerprints instead of crc32 ones
     seed: int = 0
 
 
@@ -49,7 +50,8 @@ def build(train: DataFrame, evaluation: DataFrame, s: Settings | None = None) ->
     s = s or Settings()
     ev = _prepared(evaluation, s, False)
     guards = ev.where(F.col("reason").isNull() | (F.lit(s.guard_long) & F.col("reason").isin("state_too_long", "too_many_target_options")))
-    index = guard.build_index(guards, order=F.col("seq"))
+    prints = tx.hex_fingerprints if s.hex_prints else tx.fingerprints
+    index = guard.build_index(guards, order=F.col("seq"), prints=prints)
 
     held = F.col("source").rlike(tx.glob_regex(s.held_out))
     licence = licenses.reason(F.col("license"))
@@ -61,7 +63,7 @@ def build(train: DataFrame, evaluation: DataFrame, s: Settings | None = None) ->
     tr = _prepared(train, s, True)
     licence = licenses.reason(F.col("license"), strip_annotations=s.strip_annotations)
     tr = tr.withColumn("reason", F.coalesce("reason", F.when(F.col("source").rlike(tx.glob_regex(s.excluded)), "excluded_source"), F.when(~licenses.allowed(licence), F.concat(F.lit("license:"), licence)), F.when(held, "held_out_task")))
-    alive = guard.flag_leaks(tr.where("reason is null"), index).withColumn("reason", F.col("leak")).drop("leak")
+    alive = guard.flag_leaks(tr.where("reason is null"), index, prints=prints).withColumn("reason", F.col("leak")).drop("leak")
     alive = alive.withColumn("h_", tx.text_hash(F.col("state"), F.col("question"), F.array_join("options", " ")))
     nth = F.row_number().over(Window.partitionBy("h_", F.col("reason").isNull()).orderBy("seq"))
     alive = alive.withColumn("reason", F.coalesce("reason", F.when(nth > 1, "duplicate"))).drop("h_")
@@ -83,3 +85,9 @@ def check(parts: dict[str, DataFrame]) -> None:
         guard.assert_disjoint(state(parts["train"]), state(parts[p]), "h")
         guard.assert_disjoint(parts["train"], parts[p], "group_id")
     guard.assert_disjoint(parts["validation"], parts["calib"], "group_id")
+
+
+def exclusions(config: dict, others: list[dict] = ()) -> list[str]:
+    """The patterns of sources that never enter training: a configuration's own, and what other configurations hold out or exclude; sorted, each once."""
+    named = [p for c in others for k in ("held_out_sources", "task_novel_sources", "exclude_sources") for p in c.get(k) or []]
+    return sorted({*(config.get("exclude_sources") or []), *named})

@@ -88,3 +88,57 @@ def derive(train: DataFrame, validation: DataFrame, heldout: DataFrame, sources:
     """(train, validation, heldout) with the sources' rows taken from training and moved from validation to the held-out set."""
     out = F.col("source").isin(sources)
     return train.where(~out), validation.where(~out), heldout.unionByName(validation.where(out), allowMissingColumns=True)
+
+
+def policy_overlap(sources: DataFrame, prefixes: list[str], collections: dict[str, list[str]] | None = None, families: list[str] | None = None, hub: str | None = None, hub_prefix: str | None = None) -> DataFrame:
+    """(source, reasons) of the sources (source, dataset) that a policy's prefixes cover.
+
+    name: a prefix's core in the source's token, or the other way round. collection: a prefix named for the source's
+    dataset. family: for a source of a well-known task, the first two family prefixes of the policy. alias: a source
+    without any of these whose collection or dataset is a path component of a source of the hub, a collection that
+    repackages others. The policy's lists are configuration of a few hundred entries.
+    """
+    s = sources.select("source", "dataset", tx.task_token(F.col("source")).alias("token"))
+    cores = sources.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string")
+    cores = cores.select("prefix", F.regexp_replace(tx.name_norm(F.col("prefix")), r"^(dfm\d+|dfm_?\d*)_?", "").alias("core")).where("length(core) >= 4")
+    hit = F.contains("token", "core") | ((F.length("token") >= 4) & F.contains("core", "token"))
+    found = s.join(F.broadcast(cores), hit).select("source", F.concat(F.lit("name:"), "prefix").alias("reason"))
+    given = [(c, p) for c, some in (collections or {}).items() for p in some if p in prefixes]
+    if given:
+        rules = sources.sparkSession.createDataFrame(given, "dataset string, prefix string")
+        found = found.union(s.join(F.broadcast(rules), "dataset").select("source", F.concat(F.lit("collection:"), "prefix")))
+    if own := [p for p in families or [] if p in prefixes][:2]:
+        known = F.exists(F.array(*map(F.lit, FAMILY_TASKS)), lambda t: (F.col("token") == t) | F.startswith(F.col("token"), F.concat(t, F.lit("_"))) | F.endswith(F.col("token"), F.concat(F.lit("_"), t)))
+        found = found.union(s.where(known).select("source", F.explode(F.array(*(F.lit(f"family:{p}") for p in own)))))
+    listed = found.groupBy("source").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    if hub is None or hub_prefix not in prefixes:
+        return listed
+    parts = s.where(F.col("dataset") == hub).select(F.explode(F.slice(F.split("source", "/", -1), 2, 1 << 20)).alias("p")).select(tx.name_norm(F.col("p")).alias("p")).distinct()
+    rest = s.where(F.col("dataset") != hub).join(listed, "source", "left_anti")
+    names = rest.select("source", F.explode(F.array(tx.name_norm(F.substring_index("source", "/", 1)), tx.name_norm(F.col("dataset")))).alias("p"))
+    alias = names.join(parts, "p").groupBy("source").agg(F.min("p").alias("p"))
+    return listed.union(alias.select("source", F.array(F.concat(F.lit(f"alias:{hub} contains '"), "p", F.lit("'")))))
+
+
+def flagged_by_collection(sources: DataFrame, matches: DataFrame) -> DataFrame:
+    """(dataset, sources, flagged): how many sources each collection has, and how many of them an audit lists."""
+    marked = sources.join(matches.select("source", F.lit(True).alias("listed_")), "source", "left")
+    return marked.groupBy("dataset").agg(F.count("*").alias("sources"), F.count_if("listed_").alias("flagged"))
+
+
+def label_summary(df: DataFrame, source: str = "source", most: int = 8) -> DataFrame:
+    """For each source: its most common kind, its upper median of options a row, and the first strings of its most common option set. Ties go to the lesser value."""
+    keyed = df.select(F.col(source), "kind", F.size(F.array_distinct("options")).alias("k_"), option_set(F.col("options")).alias("set_"))
+    top = lambda value: F.max_by(value, F.struct("n", F.col("r_")))
+
+    def commonest(value: str) -> DataFrame:
+        counts = keyed.groupBy(source, value).agg(F.count("*").alias("n"))
+        ranked = counts.withColumn("r_", F.row_number().over(Window.partitionBy(source).orderBy(F.col(value).desc())))  # distinct values of a source
+        return ranked.groupBy(source).agg(top(value).alias(value))
+
+    sizes = keyed.groupBy(source, "k_").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(source).orderBy("k_").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    all_ = F.sum("n").over(Window.partitionBy(source))
+    median = sizes.select(source, "k_", upto.alias("upto"), all_.alias("all")).where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(source).agg(F.min("k_").cast("long").alias("median_options"))
+    sets = commonest("set_").select(source, F.slice(F.split("set_", "\x1f", -1), 1, most).alias("label_set"))
+    return commonest("kind").join(median, source).join(sets, source)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as ar
+from ..functions import licenses
 
 
 def effective_sources(df: DataFrame, key: str = "source") -> DataFrame:
@@ -56,3 +57,26 @@ def status_lengths(df: DataFrame, by: str, status: str, length: str, bounds: tup
 def ledger(df: DataFrame, by: list[str], reason: str) -> DataFrame:
     """How many rows went for each reason."""
     return df.where(F.col(reason).isNotNull()).groupBy(*by, reason).agg(F.count("*").alias("n"))
+
+
+def area_summary(areas: DataFrame, runs: DataFrame, names: list[str], run: str = "run", area: str = "area") -> DataFrame:
+    """A row for each run (run, index, raw_index): its indices, a column of skill for each area, and the mean coverage in percent (shares up to 1 are taken times 100) of the areas that have one."""
+    skills = areas.groupBy(run).pivot(area, names).agg(F.first("skill"))
+    mean = areas.groupBy(run).agg(F.avg("coverage").alias("c_"))
+    out = runs.join(skills, run, "left").join(mean, run, "left")
+    return out.withColumn("coverage", F.when(F.col("c_") <= 1, 100 * F.col("c_")).otherwise(F.col("c_"))).drop("c_")
+
+
+def folder_index(pages: DataFrame, last: str = "Template") -> DataFrame:
+    """(folder, type, place, entries): the pages (folder, type, title, path, status, description) of each folder by type as lines of a list; pages without a type are Other, and ``last`` comes after the others."""
+    kind = F.coalesce("type", F.lit("Other"))
+    line = F.concat(F.lit("* ["), "title", F.lit("](/"), "path", F.lit(") - "), F.coalesce(F.concat(F.lit("["), "status", F.lit("] ")), F.lit("")), F.coalesce("description", F.lit("")))
+    grouped = pages.select("folder", kind.alias("type"), "path", line.alias("line")).groupBy("folder", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda s: s["line"]).alias("entries"))
+    order = Window.partitionBy("folder").orderBy(F.col("type") == last, "type")
+    return grouped.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def newly_admitted(df: DataFrame, by: list[str], licence: str = "license") -> DataFrame:
+    """(by, n): the rows whose licence passes only without its annotations."""
+    plain, bare = (licenses.allowed(licenses.reason(F.col(licence), strip_annotations=s)) for s in (False, True))
+    return df.where(bare & ~plain).groupBy(*by).agg(F.count("*").alias("n"))

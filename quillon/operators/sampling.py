@@ -80,11 +80,25 @@ def family(source: Column, dataset: Column, patterns: dict[str, str]) -> Column:
     return F.coalesce(*(F.when(source.rlike(tx.glob_regex([p])), F.lit(name)) for p, name in patterns.items()), dataset)
 
 
-def weighted_top(df: DataFrame, quota: DataFrame, weight: Column, key: str = "source", identity: str = "id", seed: int = 0) -> DataFrame:
-    """A weighted sample without replacement of quota rows of each key: the greatest ln(u) / weight."""
+def weighted_top(df: DataFrame, quota: DataFrame, weight: Column, key: str = "source", identity: str = "id", seed: int = 0, salts: int = 16) -> DataFrame:
+    """A weighted sample without replacement of quota rows of each key: the greatest ln(u) / weight. A key's rows are first cut to its quota in each of several salts, so no task gets a large key whole."""
     u = (F.floor(tx.uniform(F.col(identity).cast("string"), seed) * F.lit(float(1 << 52))) + 0.5) / F.lit(float(1 << 52))
     ranked = df.join(quota.select(key, "quota"), key).withColumn("key_", F.ln(u) / weight)
-    return ranked.withColumn("n_", F.row_number().over(Window.partitionBy(key).orderBy(F.col("key_").desc(), identity))).where(F.col("n_") <= F.col("quota")).drop("n_", "key_", "quota")
+    ranked = ranked.withColumn("salt_", F.pmod(F.xxhash64(identity), F.lit(salts)))
+    for by in ((key, "salt_"), (key,)):
+        ranked = ranked.withColumn("n_", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("key_").desc(), identity))).where(F.col("n_") <= F.col("quota"))
+    return ranked.drop("n_", "key_", "quota", "salt_")
+
+
+def most_common(df: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
+    """(by, value, n, place): the k most common values of each group, ties to the lesser value; one row a value is ranked."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc(), value)).cast("long")).where(F.col("place") <= k)
+
+
+def missing(wanted: DataFrame, given: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of one table that another lacks."""
+    return wanted.select(key).distinct().join(given.select(key), key, "left_anti")
 
 
 def row_weight(boosts: dict[str, float], binary_penalty: float = 1.0) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_data, q_eval
+from . import q_build, q_data, q_eval
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = q_data.QUERIES | q_eval.QUERIES
-SQL: dict[str, str] = q_data.SQL | q_eval.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = q_data.QUERIES | q_eval.QUERIES | q_build.QUERIES
+SQL: dict[str, str] = q_data.SQL | q_eval.SQL | q_build.SQL
