@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, jaccard, line_chunks, mixing, mtree, passages, pieces, quality, wavelet
+from . import balltree, chat, html_text, jaccard, line_chunks, mixing, mtree, passages, pieces, quality, wavelet
 from .common import table
 
 
@@ -63,6 +63,11 @@ def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op13_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return balltree.mine(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding"))
+
+
 OP2_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 starts AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM w, unnest(range(1, len(ws) - 33)) AS u(i)),
@@ -125,6 +130,16 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+OP13_SQL = r"""
+WITH whole AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (SELECT a.rid, a.vec_id AS anchor_id, a.label, c.rid AS other, c.vec_id, c.label AS other_label, list_inner_product(a.v, c.v)::BIGINT AS score FROM whole a JOIN whole c ON a.vec_id % 50 = 0 AND a.rid <> c.rid),
+positives AS (SELECT rid, other, anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = other_label QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id, other) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.rid, p.other ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.rid = p.rid AND s.label <> s.other_label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.rid, p.other ORDER BY score DESC, vec_id) <= 3
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet": op1_wavelet,
     "op2_passages": op2_passages,
@@ -136,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_mixing": op9_mixing,
     "op10_mtree": op10_mtree,
+    "op13_balltree": op13_balltree,
 }
 
-SQL: dict[str, str] = {"op2_passages": OP2_SQL, "op3_jaccard": OP3_SQL, "op5_line_chunks": OP5_SQL, "op9_mixing": OP9_SQL, "op10_mtree": OP10_SQL}
+SQL: dict[str, str] = {"op2_passages": OP2_SQL, "op3_jaccard": OP3_SQL, "op5_line_chunks": OP5_SQL, "op9_mixing": OP9_SQL, "op10_mtree": OP10_SQL, "op13_balltree": OP13_SQL}
