@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, chat, html_text, jaccard, line_chunks, mixing, mtree, passages, pieces, quality, wavelet
+from . import balltree, chat, divergence, html_text, jaccard, line_chunks, mixing, mtree, passages, pieces, quality, wavelet
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return balltree.mine(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding"))
@@ -130,6 +134,25 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+OP11_SQL = r"""
+WITH words AS (SELECT doc, lang, source, unnest(ts) AS term FROM (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents)),
+kept AS (SELECT lang, term, count(*) AS n_lang FROM words GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(n_lang)::BIGINT AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n)::BIGINT AS total FROM counts GROUP BY ALL),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + ((1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(t.total, 0) + 2 * l.v))::BIGINT AS p,
+    1 + ((1000000000::HUGEINT * (k.n_lang + 2)) // (l.total + 2 * l.v))::BIGINT AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(s.value, 0) AS value
+    FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 OP13_SQL = r"""
 WITH whole AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -151,7 +174,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_mixing": op9_mixing,
     "op10_mtree": op10_mtree,
+    "op11_divergence": op11_divergence,
     "op13_balltree": op13_balltree,
 }
 
-SQL: dict[str, str] = {"op2_passages": OP2_SQL, "op3_jaccard": OP3_SQL, "op5_line_chunks": OP5_SQL, "op9_mixing": OP9_SQL, "op10_mtree": OP10_SQL, "op13_balltree": OP13_SQL}
+SQL: dict[str, str] = {"op2_passages": OP2_SQL, "op3_jaccard": OP3_SQL, "op5_line_chunks": OP5_SQL, "op9_mixing": OP9_SQL, "op10_mtree": OP10_SQL, "op11_divergence": OP11_SQL, "op13_balltree": OP13_SQL}
