@@ -85,8 +85,11 @@ class Tree:
         if e - a > LEAF:
             one = x[int(far.argmax())]
             other = x[int(((x - one) ** 2).sum(axis=1).argmax())]
-            order = np.argsort(x @ (other - one), kind="stable") + a  # equal rows stay in the order of their ids
-            half = (e - a) // 2
+            along = x @ (other - one)
+            order = np.argsort(along, kind="stable")  # equal rows stay in the order of their ids
+            half = int(np.searchsorted(along[order], (other - one) @ (other + one) / 2))  # nearer to the one, nearer to the other
+            half = half if 8 * min(half, e - a - half) >= e - a else (e - a) // 2
+            order = order + a
             for part in (order[:half], order[half:]):
                 part.sort()  # rows lie by id, so a leaf's do
             order = np.concatenate([order[:half], order[half:]])
