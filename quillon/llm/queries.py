@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, chat, divergence, html_text, jaccard, line_chunks, mixing, mtree, passages, pieces, quality, wavelet
+from . import balltree, chat, divergence, html_text, jaccard, line_chunks, maxent, mixing, mtree, passages, pieces, quality, wavelet
 from .common import table
 
 
@@ -67,6 +67,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op13_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return balltree.mine(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding"))
@@ -175,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_mtree": op10_mtree,
     "op11_divergence": op11_divergence,
+    "op12_maxent": op12_maxent,
     "op13_balltree": op13_balltree,
 }
 
