@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import licenses
 from ..functions import text as tx
 from ..schema import invalid
-from . import guard, render, report, sampling
+from . import guard, render, report, sampling, selection
 
 
 @dataclass
@@ -31,19 +31,24 @@ class Settings:
     guard_long: bool = False
     hex_prints: bool = False  # md5 fingerprints instead of crc32 ones
     seed: int = 0
+    sizes: selection.Sizes | None = None  # family caps, floors, named sizes: instead of total and alpha
+    work: str | None = None  # a shared folder: the judged training rows are written there once, and all tables read them
 
 
 def _prepared(df: DataFrame, s: Settings, limit: bool) -> DataFrame:
     """df with reason: read_limit, why a row is invalid, state_too_long or too_many_target_options; options capped."""
-    read = F.row_number().over(Window.partitionBy("source").orderBy("seq")) > s.read_limit if limit else F.lit(False)
-    df = df.withColumn("reason", F.when(read, "read_limit"))
+    if limit:
+        last = sampling.nth(df, "source", "seq", s.read_limit)
+        df = df.join(last.withColumnRenamed("seq", "last_"), "source", "left").withColumn("reason", F.when(F.col("seq") > F.col("last_"), "read_limit")).drop("last_")
+    else:
+        df = df.withColumn("reason", F.lit(None).cast("string"))
     df = df.withColumn("reason", F.coalesce("reason", invalid(), F.when(F.length("state") > s.max_chars, "state_too_long")))
     df = render.cap_options(df, s.max_options, s.seed)
     return df.withColumn("reason", F.coalesce("reason", F.when(F.col("too_many_targets"), "too_many_target_options"))).drop("too_many_targets")
 
 
 def build(train: DataFrame, evaluation: DataFrame, s: Settings | None = None) -> dict[str, DataFrame]:
-    """train, validation, calib, heldout and test tables, the ledger of drops, and all_train (every training row with its reason).
+    """train, validation, calib, heldout and test tables, the ledger of drops, and all_train (every training row with its reason); with named sizes a train_<name> table for each, and quotas.
 
     Both inputs are decisions with seq, their order of arrival. Every valid evaluation row guards, whatever its licence.
     """
@@ -68,10 +73,19 @@ def build(train: DataFrame, evaluation: DataFrame, s: Settings | None = None) ->
     nth = F.row_number().over(Window.partitionBy("h_", F.col("reason").isNull()).orderBy("seq"))
     alive = alive.withColumn("reason", F.coalesce("reason", F.when(nth > 1, "duplicate"))).drop("h_")
     everything = tr.where("reason is not null").unionByName(alive)
+    if s.work:
+        everything.write.parquet(f"{s.work}/judged")
+        everything = everything.sparkSession.read.schema(everything.schema).parquet(f"{s.work}/judged")
     kept = everything.where("reason is null").drop("reason")
     pool = sampling.bottom_k(kept, "source", "id", s.per_source_cap, s.seed + 7)
-    quota = sampling.quotas(pool.groupBy("source").agg(F.count("*").alias("n")), s.total, s.alpha)
-    out["train"] = sampling.weighted_top(pool, quota, F.lit(1.0), seed=s.seed + 8)
+    if s.sizes:
+        sizes = replace(s.sizes, seed=s.seed + 8)
+        selected, out["quotas"], out["solved"] = selection.mixture(pool, sizes)
+        out["train"] = selected.drop("rank", "sizes")
+        out |= {f"train_{name}": selected.where(F.array_contains("sizes", name)).drop("rank", "sizes") for name in sizes.sizes}
+    else:
+        quota = sampling.quotas(pool.groupBy("source").agg(F.count("*").alias("n")), s.total, s.alpha)
+        out["train"] = sampling.weighted_top(pool, quota, F.lit(1.0), seed=s.seed + 8)
     out["all_train"] = everything
     drops = everything.select("dataset", F.lit("train").alias("pass"), "reason").unionByName(ev.select("dataset", F.lit("eval").alias("pass"), "reason"))
     out["ledger"] = report.ledger(drops, ["dataset", "pass"], "reason")

@@ -15,6 +15,14 @@ def first_n(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
     return df.withColumn("n_", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("n_") <= n).drop("n_")
 
 
+def nth(df: DataFrame, key: str, order: str, n: int, salts: int = 16) -> DataFrame:
+    """(key, order): the n-th least value of each key that has so many. Keys are cut to n in each of several salts first, so no task sorts a large key whole."""
+    rows = df.select(key, order).withColumn("salt_", F.pmod(F.xxhash64(order), F.lit(salts)))
+    for by in ((key, "salt_"), (key,)):
+        rows = rows.withColumn("n_", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("n_") <= n)
+    return rows.where(F.col("n_") == n).select(key, order)
+
+
 def bottom_k(df: DataFrame, key: str, identity: str, k: int, seed: int = 0, salts: int = 16) -> DataFrame:
     """A uniform sample of at most k rows of each key, nested in k. A key's rows are first cut to k in each of several salts, so no task gets a large key whole."""
     u = tx.uniform(F.col(identity).cast("string"), seed)
@@ -43,51 +51,19 @@ def quotas(counts: DataFrame, total: float, alpha: float = 0.5, cap: float | Non
     return df.withColumn("quota", F.when(open_, F.greatest(F.lit(0.0), F.floor(F.col("c") * F.col("w_") - 1e-9))).otherwise(F.floor("b_")).cast("long")).drop("b_", "w_", "t_", "c_", "c", "all_")
 
 
-def family_quotas(counts: list[tuple[str, str, int]], total: int, caps: dict[str, float], alpha: float = 0.5, cap: float | None = None) -> dict[str, int]:
-    """Quotas of (source, family, n) with some families held to shares of the total. A few hundred sources, so plain Python.
-
-    Families over their cap are set to it one round after another, and the others share what is left.
-    """
-    def solve(some: list[tuple[str, int]], target: float) -> dict[str, int]:
-        limits = {s: min(n, cap) if cap else n for s, n in some if n > 0}
-        sizes = dict(some)
-        if sum(limits.values()) <= target:
-            return {s: int(limits.get(s, 0)) for s, _ in some}
-        order = sorted(limits, key=lambda s: (limits[s] / sizes[s] ** alpha, s))
-        left, weight = float(target), sum(sizes[s] ** alpha for s in order)
-        for s in order:
-            c = left / weight
-            if c < limits[s] / sizes[s] ** alpha:
-                break
-            left -= limits[s]
-            weight -= sizes[s] ** alpha
-        return {s: 0 if n <= 0 else int(min(limits[s], max(0.0, c * n**alpha - 1e-9 if c < limits[s] / n**alpha else limits[s]))) for s, n in some}
-
-    held: set[str] = set()
-    while True:
-        out = solve([(s, n) for s, f, n in counts if f not in held], total * (1 - sum(caps[f] for f in held)))
-        for f in held:
-            out |= solve([(s, n) for s, g, n in counts if g == f], total * caps[f])
-        took = {f: sum(out[s] for s, g, _ in counts if g == f) for f in caps}
-        over = {f for f in caps if f not in held and took[f] > caps[f] * total}
-        if not over:
-            return out
-        held |= over
-
-
 def family(source: Column, dataset: Column, patterns: dict[str, str]) -> Column:
-    """The name of the first pattern that the source matches, or its dataset."""
-    return F.coalesce(*(F.when(source.rlike(tx.glob_regex([p])), F.lit(name)) for p, name in patterns.items()), dataset)
+    """The first family (name: pattern) whose pattern the source matches, or its dataset."""
+    return F.coalesce(*(F.when(source.rlike(tx.glob_regex([p])), F.lit(name)) for name, p in patterns.items()), dataset)
 
 
-def weighted_top(df: DataFrame, quota: DataFrame, weight: Column, key: str = "source", identity: str = "id", seed: int = 0, salts: int = 16) -> DataFrame:
-    """A weighted sample without replacement of quota rows of each key: the greatest ln(u) / weight. A key's rows are first cut to its quota in each of several salts, so no task gets a large key whole."""
+def weighted_top(df: DataFrame, quota: DataFrame, weight: Column, key: str = "source", identity: str = "id", seed: int = 0, salts: int = 16, place: str | None = None) -> DataFrame:
+    """A weighted sample without replacement of quota rows of each key: the greatest ln(u) / weight; place names a column for the rank. A key's rows are first cut to its quota in each of several salts, so no task gets a large key whole."""
     u = (F.floor(tx.uniform(F.col(identity).cast("string"), seed) * F.lit(float(1 << 52))) + 0.5) / F.lit(float(1 << 52))
     ranked = df.join(quota.select(key, "quota"), key).withColumn("key_", F.ln(u) / weight)
     ranked = ranked.withColumn("salt_", F.pmod(F.xxhash64(identity), F.lit(salts)))
     for by in ((key, "salt_"), (key,)):
         ranked = ranked.withColumn("n_", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("key_").desc(), identity))).where(F.col("n_") <= F.col("quota"))
-    return ranked.drop("n_", "key_", "quota", "salt_")
+    return (ranked.withColumnRenamed("n_", place) if place else ranked.drop("n_")).drop("key_", "quota", "salt_")
 
 
 def most_common(df: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
@@ -112,32 +88,6 @@ def composition(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), *(share(F.col("kind") == k).alias(k) for k in ("noul", "score", "choice")), share(F.size("options") == 2).alias("binary"))
 
 
-def solve_boosts(df: DataFrame, quota: DataFrame, floors: dict[str, float], max_binary: float | None = None, rounds: int = 40, tolerance: float = 0.004, seed: int = 0) -> tuple[dict[str, float], float, bool]:
-    """(boosts, binary penalty, whether it converged) so that a selection has at least the floors' shares of kinds and at most max_binary of two options.
-
-    Each round selects anew and moves each boost by (wanted / got) ** 0.8, boosts within 1..200 and the penalty within 0.01..1.
-    """
-    boosts, penalty = dict.fromkeys(floors, 1.0), 1.0
-    narrow = df.select("id", "source", "kind", "options").persist()
-    try:
-        for _ in range(rounds):
-            got = composition(weighted_top(narrow, quota, row_weight(boosts, penalty), seed=seed)).first()
-            lacks = {k: f for k, f in floors.items() if got[k] < f - tolerance}
-            over = max_binary is not None and got["binary"] > max_binary + tolerance
-            if not lacks and not over:
-                return boosts, penalty, True
-            before = dict(boosts), penalty
-            for k, f in floors.items():
-                boosts[k] = min(200.0, max(1.0, boosts[k] * (f / max(got[k], 1e-6)) ** 0.8))
-            if max_binary is not None:
-                penalty = min(1.0, max(0.01, penalty * (max_binary / max(got["binary"], 1e-6)) ** 0.8))
-            if before == (boosts, penalty):
-                break
-        return boosts, penalty, False
-    finally:
-        narrow.unpersist()
-
-
 def split_by(group: Column, share: float, seed: int) -> Column:
     """Whether a group falls in the share."""
     return tx.uniform(group, seed) < share

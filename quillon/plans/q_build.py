@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import extra_eval, guard, metrics, mixture, novelty, report, sampling
 from .q_data import PRINTS, _CANON, _LIC, _REASON, documents_as_train, licence_rows
 from .q_eval import _SETS, _labels_rows, measured, r6
+from .q_mix import fill_sql
 from .relations import LABELLED, MEASURED, labelled, read, u_sql
 
 QUERIES: dict = {}
@@ -81,11 +82,16 @@ dup AS (SELECT *, coalesce(r1, CASE WHEN row_number() OVER (PARTITION BY """ + _
 )
 
 
-def _mixture(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    from pyspark.sql import Window
+#: Rows in training: under what the sources hold, so that quotas bind.
+_TOTAL = 100
+_TRAIN = f"""pool AS (SELECT *, ln((('0x' || substr(sha256('8:' || id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) AS p FROM dup WHERE r2 IS NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY {u_sql('id', 7)}, id) <= 5),
+held AS (SELECT source, count(*) AS n FROM pool GROUP BY source), {fill_sql('quota', 'SELECT source, n::DOUBLE AS b, sqrt(n::DOUBLE) AS w FROM held', str(_TOTAL))},
+chosen AS (SELECT id, source FROM pool JOIN quota USING (source) QUALIFY row_number() OVER (PARTITION BY source ORDER BY p DESC, id) <= q)"""
+
 
-    rows = labelled(spark, d).withColumn("variant", F.lit(None).cast("string")).withColumn("seq", F.row_number().over(Window.orderBy("id")))
-    s = mixture.Settings(max_chars=3000, read_limit=30, per_source_cap=5, excluded=["en/src2", "de/src4"], held_out=["fr/src1*"], hex_prints=True, eval_caps={"validation": 3, "test": 4, "heldout": 6})
+def _mixture(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    rows = labelled(spark, d).withColumn("variant", F.lit(None).cast("string")).withColumn("seq", F.col("id"))  # the order of ids is the order of arrival
+    s = mixture.Settings(max_chars=3000, read_limit=30, per_source_cap=5, total=_TOTAL, excluded=["en/src2", "de/src4"], held_out=["fr/src1*"], hex_prints=True, eval_caps={"validation": 3, "test": 4, "heldout": 6})
     return mixture.build(rows.where("split = 'train'"), rows.where("split <> 'train'"), s)
 
 
@@ -94,7 +100,13 @@ def mixture_ledger(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)["ledger"]
 
 
-@query(f"""WITH {_CASCADE}, t AS (SELECT 'train' AS part, source, least(count(*), 5) AS n FROM dup WHERE r2 IS NULL GROUP BY source),
+@query(f"WITH RECURSIVE {_CASCADE}, {_TRAIN} SELECT id, source FROM chosen")
+def mixture_train_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The training rows themselves, under quotas that bind."""
+    return _mixture(spark, d)["train"].select("id", "source")
+
+
+@query(f"""WITH RECURSIVE {_CASCADE}, {_TRAIN}, t AS (SELECT 'train' AS part, source, count(*) AS n FROM chosen GROUP BY source),
 e AS (SELECT *, CASE WHEN source LIKE 'fr/src1%' THEN 'heldout' WHEN split = 'test' THEN 'test' WHEN {u_sql('group_id', 9)} < 0.5 THEN 'calib' ELSE 'validation' END AS part FROM ev0 WHERE r0 IS NULL),
 c AS (SELECT part, source, least(count(*), CASE part WHEN 'heldout' THEN 6 WHEN 'test' THEN 4 ELSE 3 END) AS n FROM e GROUP BY 1, 2)
 SELECT part, count(*)::BIGINT AS sources, sum(n)::BIGINT AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM c) GROUP BY part""")

@@ -185,14 +185,6 @@ def capped_quotas(spark: SparkSession, d: str) -> DataFrame:
     return sampling.quotas(counts, int(counts.agg(F.sum("n")).first()[0] * 0.31), cap=9)
 
 
-@query()
-def family_capped_quotas(spark: SparkSession, d: str) -> DataFrame:
-    counts = source_counts(spark, d).withColumn("family", sampling.family(F.col("source"), F.substring_index("source", "/", 1), {"en/src1*": "ones"}))
-    rows = [(r["source"], r["family"], r["n"]) for r in counts.orderBy("source").collect()]  # one a source
-    out = sampling.family_quotas(rows, int(0.5 * sum(n for _, _, n in rows)), {"ones": 0.1, "fr": 0.15})
-    return spark.createDataFrame([(s, f, n, out[s]) for s, f, n in rows], "source string, family string, n long, quota long")
-
-
 _W = f"CASE WHEN kind_ = 'long' THEN 3.0 ELSE 1.0 END"
 
 
@@ -203,14 +195,6 @@ def weighted_topq(spark: SparkSession, d: str) -> DataFrame:
     return sampling.weighted_top(docs, quota, F.when(F.col("n_chars") > 1000, 3.0).otherwise(1.0), identity="doc_id").select("doc_id", "source")
 
 
-@query()
-def boosted_composition(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", F.when(F.col("n_chars") > 2500, "score").when(F.col("n_chars") > 1500, "noul").otherwise("choice").alias("kind"), F.when(F.col("lang") == "en", F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("options"))
-    quota = sampling.quotas(docs.groupBy("source").agg(F.count("*").alias("n")), docs.count() // 2)
-    boosts, penalty, _ = sampling.solve_boosts(docs, quota, {"score": 0.3, "noul": 0.2}, max_binary=0.6, rounds=6)
-    return sampling.composition(sampling.weighted_top(docs, quota, sampling.row_weight(boosts, penalty)))
-
-
 @query(f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {u_sql('doc_id', 3)}, doc_id) AS rn FROM documents) ORDER BY rn, lang LIMIT 25")
 def stratified_pick(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratified_pick(read(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 25, 3)

@@ -91,12 +91,6 @@ def test_quotas_take_small_sources_whole(spark):
     assert sampling.quotas(counts.where("false"), 10).count() == 0
 
 
-def test_family_quotas_hold_caps():
-    rows = [("a", "f", 1000), ("b", "f", 1000), ("c", "g", 5000), ("d", "g", 5000)]
-    out = sampling.family_quotas(rows, 4000, {"f": 0.15})
-    assert out["a"] + out["b"] <= 600 and sum(out.values()) >= 3990
-
-
 def test_samples_are_nested_and_independent_of_partitions(spark):
     df = spark.range(1000).select("id", (F.col("id") % 3).alias("source"))
     small, large = sampling.bottom_k(df, "source", "id", 5), sampling.bottom_k(df.repartition(7), "source", "id", 20)
