@@ -6,9 +6,9 @@ logits of a softmax are the logs of training counts plus a weight row for each a
 of the three tokens before, hashed into a table of fixed size. The chance of an unknown word is the share of words that
 training has seen once, so probabilities over known words and "unknown" sum to 1.
 
-How it runs: texts are encoded once, in chunks with a dictionary each; dictionaries meet in a count by word, and each
-chunk gets the counts of its own words back, so no vocabulary is held by anyone. Training deals the chunks to rounds: in
-each round every task goes through its chunks in minibatches from the round's weights (numpy, sparse rows, row-wise
+How it runs: texts are encoded once, in chunks with a dictionary each. Dictionaries meet by word, where training counts
+add up (a word has a row for each chunk that holds it), and each chunk gets the counts of its own words back, for
+scoring; no vocabulary is held by anyone. Training deals the chunks to rounds: in each round every task goes through its chunks in minibatches from the round's weights (numpy, sparse rows, row-wise
 adaptive steps) and gives its change of each row; changes are averaged by block of rows, weighted by how much a task
 had to say about a row. Every training document is used, once. Scoring goes through all chunks with the last weights.
 Only weights (``ROWS`` rows of ``WIDTH`` numbers, 6 MB whatever the input) and counts by slot pass through the driver.
@@ -27,7 +27,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash
@@ -43,7 +43,7 @@ RATE = 0.6
 MOST = 15.0
 ROUNDS = 4
 #: Tokens of a chunk, about, and bytes of a text looked at together.
-CHUNK, SLICE = 1 << 20, 1 << 20
+CHUNK, SLICE = 1 << 22, 1 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _START = np.uint64(0x5851F42D4C957F2D)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
@@ -83,8 +83,15 @@ def places(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, (kind * np.uint64(WIDTH) + (h >> np.uint64(64 - BITS))).astype(np.int32)
 
 
-def _encoded(batches):
-    """Chunks of documents: ids of their tokens in the chunk's own dictionary, which is given with training counts."""
+_ENCODED = pa.schema([
+    ("round", pa.int32()), ("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("held", pa.list_(pa.bool_())), ("distinct", pa.int32()), ("ids", pa.binary()), ("h", pa.binary()), ("leaf", pa.binary()),
+    ("words", pa.list_(pa.binary())), ("n", pa.list_(pa.int64())), ("place", pa.list_(pa.int32())),
+])
+_ENCODED_SPARK = "round int, chunk long, doc_id array<long>, sizes array<int>, held array<boolean>, distinct int, ids binary, h binary, leaf binary, words array<binary>, n array<long>, place array<int>"
+
+
+def _encoded(batches, rounds: int = ROUNDS):
+    """Chunks of documents: ids of their tokens in the chunk's own dictionary, which is given with hashes, places and training counts."""
     where = (TaskContext.get().partitionId() << 32) if TaskContext.get() else 0
     at, numbers = 0, _Numbers()
     docs: list[tuple] = []
@@ -96,11 +103,11 @@ def _encoded(batches):
         sizes = np.array([d[1] for d in docs])
         words = list(numbers)
         counts = np.bincount(ids[np.repeat([not d[2] for d in docs], sizes)], minlength=len(words))
-        _, leaf = places(words)
-        cols = [[where + at], [[d[0] for d in docs]], [sizes.tolist()], [[d[2] for d in docs]], [squeeze(ids)]]
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary())
-        more = [pa.array([words], pa.list_(pa.binary())), pa.ListArray.from_arrays([0, len(words)], pa.array(counts, pa.int64())), pa.ListArray.from_arrays([0, len(words)], pa.array(leaf, pa.int32()))]
-        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *more], ["chunk", "doc_id", "sizes", "held", "ids", "words", "n", "leaf"])
+        h, leaf = places(words)
+        chunk = where + at
+        turn = int(wordhash.mixed(np.array([chunk], np.uint64))[0] % np.uint64(rounds))
+        row = {"round": turn, "chunk": chunk, "doc_id": [d[0] for d in docs], "sizes": sizes, "held": [d[2] for d in docs], "distinct": len(words), "ids": squeeze(ids), "h": squeeze(h), "leaf": squeeze(leaf), "words": words, "n": counts, "place": leaf}
+        return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in _ENCODED], schema=_ENCODED)
 
     for b in batches:
         for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
@@ -125,24 +132,10 @@ def _encoded(batches):
         yield out()
 
 
-_ENCODED = "chunk long, doc_id array<long>, sizes array<int>, held array<boolean>, ids binary, words array<binary>, n array<long>, leaf array<int>"
-_READY = "round int, chunk long, doc_id array<long>, sizes array<int>, held array<boolean>, ids binary, h binary, leaf binary, c binary, distinct int"
-
-
-def _readied(rounds: int):
-    """A chunk with the training counts of its words, which stand in the order of its dictionary."""
-
-    def run(chunks: pa.Table, counts: pa.Table) -> pa.Table:
-        words = chunks["words"][0].as_py()
-        c = np.zeros(len(words), np.int64)
-        c[np.array(counts["lid"])] = np.array(counts["c"])
-        h, leaf = places(words)
-        chunk = chunks["chunk"][0].as_py()
-        turn = int(wordhash.mixed(np.array([chunk], np.uint64))[0] % np.uint64(rounds))
-        mine = {"round": pa.array([turn], pa.int32())} | {k: chunks[k] for k in ("chunk", "doc_id", "sizes", "held", "ids")}
-        return pa.table(mine | {k: pa.array([squeeze(x)], pa.binary()) for k, x in (("h", h), ("leaf", leaf), ("c", c))} | {"distinct": pa.array([len(words)], pa.int32())})
-
-    return run
+def _counted(t: pa.Table) -> pa.Table:
+    """A chunk's training counts over all chunks, in the order of its dictionary."""
+    t = t.sort_by("lid")
+    return pa.table({"chunk": t["chunk"][:1], "c": pa.array([squeeze(np.array(t["c"], np.int64))], pa.binary())})
 
 
 class Model:
@@ -199,8 +192,11 @@ class Model:
             z, s = self._softmax(table, rows, bias)
             z /= s[:, None]
             z[i, hit] -= 1
-            each, at = np.tile(z.T.astype(np.float64), (1, len(rows))), np.concatenate(rows)
-            g = np.stack([np.bincount(at, weights=x, minlength=ROWS[table]) for x in each]).astype(np.float32)
+            g = np.zeros((WIDTH, ROWS[table]))
+            for column, x in zip(g, np.ascontiguousarray(z.T, np.float64), strict=True):
+                for r in rows:
+                    column += np.bincount(r, weights=x, minlength=ROWS[table])
+            g = g.astype(np.float32)
             w, a = self.w[table], self.a[table]
             a += np.einsum("ij,ij->j", g, g) / 4
             g *= RATE / np.sqrt(a)
@@ -209,9 +205,9 @@ class Model:
 
 
 def _opened(r: dict) -> tuple:
-    """(ids, sizes, held, h, leaf, c) of a chunk."""
+    """(ids, sizes, held, h, leaf) of a chunk."""
     sizes, d = np.array(r["sizes"], np.int64), r["distinct"]
-    return loosen(r["ids"], int(sizes.sum()), "<i4"), sizes, np.array(r["held"], bool), loosen(r["h"], d, "<u8"), loosen(r["leaf"], d, "<i4"), loosen(r["c"], d, "<i8")
+    return loosen(r["ids"], int(sizes.sum()), "<i4"), sizes, np.array(r["held"], bool), loosen(r["h"], d, "<u8"), loosen(r["leaf"], d, "<i4")
 
 
 def _histories(ids: np.ndarray, sizes: np.ndarray, h: np.ndarray):
@@ -233,7 +229,7 @@ def _train(sent):
         model.w, model.a = [w.copy() for w in before[0]], [a.copy() for a in before[1]]
         for b in batches:
             for j in range(b.num_rows):
-                ids, sizes, held, h, leaf, c = _opened(b.slice(j, 1).to_pylist()[0])
+                ids, sizes, held, h, leaf = _opened(b.slice(j, 1).to_pylist()[0])
                 use = np.repeat(~held, sizes)
                 for at, back in _histories(ids, sizes, h):
                     keep = use[at]
@@ -263,29 +259,29 @@ def _mixed(t: pa.Table) -> pa.Table:
     return pa.table({"block": t["block"][:1], "dw": pa.array([squeeze((dw / least[:, None]).astype(np.float32))], pa.binary()), "da": pa.array([squeeze((da2 / least).astype(np.float32))], pa.binary())})
 
 
-def _scored(sent):
-    names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(batches):
+
+def _scored(sent):
+    def run(chunks: pa.Table, counts: pa.Table) -> pa.Table:
+        if not chunks.num_rows:
+            return _SCORES.empty_table()
         model: Model = sent.value
-        for b in batches:
-            for j in range(b.num_rows):
-                r = b.slice(j, 1).to_pylist()[0]
-                ids, sizes, held, h, leaf, c = _opened(r)
-                base = np.log10((c + 0.1) / (model.n + 0.1 * (model.v + 1)))
-                with np.errstate(divide="ignore"):
-                    within = np.log10(np.where(c > 0, c, 1) / np.maximum(model.mass[leaf], 1)) + np.log10(max(1 - model.unknown, 1e-300))
-                lp = np.full(len(ids), np.log10(model.unknown))
-                for at, back in _histories(ids, sizes, h):
-                    keep = c[ids[at]] > 0
-                    if keep.any():
-                        i = ids[at[keep]]
-                        lp[at[keep]] = model.log10(leaf[i], *(x[keep] for x in back)) + within[i]
-                firsts = np.cumsum(sizes) - sizes
-                cols = (r["doc_id"], held, sizes, np.add.reduceat((c > 0)[ids].astype(np.int64), firsts), np.full(len(sizes), model.n), np.add.reduceat(base[ids], firsts), np.add.reduceat(lp, firsts))
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names)
+        r = chunks.to_pylist()[0]
+        ids, sizes, held, h, leaf = _opened(r)
+        c = loosen(counts["c"][0].as_py(), len(h), "<i8")
+        base = np.log10((c + 0.1) / (model.n + 0.1 * (model.v + 1)))
+        within = np.log10(np.where(c > 0, c, 1) / np.maximum(model.mass[leaf], 1)) + np.log10(max(1 - model.unknown, 1e-300))
+        lp = np.full(len(ids), np.log10(model.unknown))
+        for at, back in _histories(ids, sizes, h):
+            keep = c[ids[at]] > 0
+            if keep.any():
+                i = ids[at[keep]]
+                lp[at[keep]] = model.log10(leaf[i], *(x[keep] for x in back)) + within[i]
+        firsts = np.cumsum(sizes) - sizes
+        cols = (r["doc_id"], held, sizes, np.add.reduceat((c > 0)[ids].astype(np.int64), firsts), np.full(len(sizes), model.n), np.add.reduceat(base[ids], firsts), np.add.reduceat(lp, firsts))
         release()
+        return pa.table([pa.array(x, f.type) for x, f in zip(cols, _SCORES, strict=True)], schema=_SCORES)
 
     return run
 
@@ -294,22 +290,23 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = docs.sparkSession
     rows = need(docs, **{id_column: "long", text_column: "string"}).toDF("doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"))
-    encoded = written(rows.mapInArrow(_encoded, _ENCODED), "maxent-encoded")
-    entries = encoded.select("chunk", F.posexplode(F.arrays_zip("words", "n", "leaf")).alias("lid", "e")).select("chunk", "lid", "e.*").withColumnRenamed("words", "word")
-    known = written(entries.groupBy("word", "leaf").agg(F.sum("n").alias("c")).where("c > 0"), "maxent-words")
-    n, v, once = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
+    encoded = written(rows.mapInArrow(lambda batches: _encoded(batches, rounds), _ENCODED_SPARK), "maxent-encoded", "round")
+    entries = encoded.select("chunk", F.posexplode(F.arrays_zip("words", "n", "place")).alias("lid", "e")).select("chunk", "lid", "e.*")
+    same = Window.partitionBy("words")
+    summed = entries.select("chunk", "lid", "place", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("chunk")) == 1).alias("first"))
+    summed = written(summed, "maxent-summed")
+    once_each = summed.where("first and c > 0")
+    n, v, once = once_each.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     mass = np.zeros(WIDTH * WIDTH)
-    for leaf, m in known.groupBy("leaf").agg(F.sum("c")).collect():
+    for leaf, m in once_each.groupBy("place").agg(F.sum("c")).collect():  # a row a slot
         mass[leaf] = m
-    counts = entries.join(known.select(F.col("word").alias("w"), "c"), F.col("word") == F.col("w")).select("chunk", "lid", "c")
-    again = spark.read.schema(encoded.schema).parquet(encoded.path_written)
-    ready = again.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_readied(rounds), _READY)
-    ready = written(ready, "maxent-ready")
-    dropped(encoded, known)
+    counts = written(summed.select("chunk", "lid", "c").groupBy("chunk").applyInArrow(_counted, "chunk long, c binary"), "maxent-counts")
+    dropped(summed)
     model = Model(mass, n, v, once)
+    tokens = encoded.select("round", "chunk", "doc_id", "sizes", "held", "distinct", "ids", "h", "leaf")
     for turn in range(rounds if n else 0):
         sent = spark.sparkContext.broadcast(model)
-        change = ready.where(F.col("round") == turn).mapInArrow(_train(sent), "block int, task int, dw binary, da binary")
+        change = tokens.where(F.col("round") == turn).mapInArrow(_train(sent), "block int, task int, dw binary, da binary")
         change = change.groupBy("block").applyInArrow(_mixed, "block int, dw binary, da binary")
         for r in change.toArrow().to_pylist():  # a block each: as many as the tables have, whatever the input
             t, k = divmod(r["block"], 1000)
@@ -318,6 +315,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             model.a[t][part] += loosen(r["da"], BLOCK, "<f4")
         sent.unpersist()
     sent = spark.sparkContext.broadcast(model)
-    out = written(ready.mapInArrow(_scored(sent), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "maxent-scores")
-    dropped(ready)
+    found = tokens.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_scored(sent), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = written(found, "maxent-scores")
+    dropped(encoded, counts)
     return out
