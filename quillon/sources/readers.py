@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import json
-import os
 import re
 import tarfile
 from collections.abc import Iterator
@@ -49,18 +47,57 @@ def manifest_scan(spark: SparkSession, files: DataFrame) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
+#: Bytes of a member read at a time, and lines handed on together.
+PIECE, LINES = 1 << 20, 2048
+PACKED = {(".gz", ".tgz"): "gzip", (".bz2", ".tbz2", ".tbz"): "bz2", (".zst", ".tzst"): "zstd"}
+
+
 def archive_lines(spark: SparkSession, path: str, member: str) -> DataFrame:
-    """(archive, value): lines of an archive's members whose names match the pattern; one archive is one task."""
+    """(archive, member, line_no, value): lines of an archive's members whose names match the pattern; one archive is one task.
+
+    An archive is streamed from its file system and its members are decompressed piece by piece, so a task holds a few
+    megabytes and the longest line, whatever the size of a member. A member that isn't UTF-8 has its bad bytes replaced.
+    """
+    names = spark.read.format("binaryFile").load(path).select("path")  # without the content column, files aren't read
+
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for where, content in zip(b["path"], b["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        if m.isfile() and re.search(member, m.name):
-                            lines = tar.extractfile(m).read().decode().splitlines()
-                            yield pd.DataFrame({"archive": where, "value": lines})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "archive string, value string")
+            for where in b["path"]:
+                yield from _members(where, member)
+
+    return names.repartition("path").mapInPandas(unpack, "archive string, member string, line_no long, value string")
+
+
+def _lines(raw) -> Iterator[bytes]:
+    """Lines of a file that can only be read onwards; a line may span pieces."""
+    rest: list[bytes] = []
+    while piece := raw.read(PIECE):
+        first, *more = piece.split(b"\n")
+        rest.append(first)
+        for line in more:
+            yield b"".join(rest)
+            rest = [line]
+    if last := b"".join(rest):
+        yield last
+
+
+def _members(where: str, member: str) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(where.replace("file:/", "file:///", 1) if re.match("file:/[^/]", where) else where)
+    packed = next((codec for ends, codec in PACKED.items() if path.endswith(ends)), None)  # decompressed by pieces here: tarfile expands a whole buffer at once
+    with store.open_input_stream(path, compression=packed) as raw, tarfile.open(fileobj=raw, mode="r|") as tar:
+        for m in tar:
+            if m.isfile() and re.search(member, m.name):
+                rows, at = [], 0
+                for line in _lines(tar.extractfile(m)):
+                    at += 1
+                    rows.append((where, m.name, at, line.removesuffix(b"\r").decode("utf-8", "replace")))
+                    if len(rows) == LINES or len(line) > PIECE:
+                        yield pd.DataFrame(rows, columns=["archive", "member", "line_no", "value"])
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["archive", "member", "line_no", "value"])
 
 
 def eval_log(lines: DataFrame, key: str = "eval") -> DataFrame:
@@ -72,7 +109,7 @@ def eval_log(lines: DataFrame, key: str = "eval") -> DataFrame:
 
 def front_matter(spark: SparkSession, path: str) -> DataFrame:
     """(path, header, body) of Markdown files; header is the text between the opening rules, or null."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     pattern = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?(.*)\z"
     has = F.col("value").rlike(pattern)
     return whole.select("path", F.when(has, F.regexp_extract("value", pattern, 1)).alias("header"), F.when(has, F.regexp_extract("value", pattern, 2)).otherwise(F.col("value")).alias("body"))
@@ -97,11 +134,9 @@ def config(path: str, **placeholders: str) -> dict:
         except ImportError as e:
             raise RuntimeError("YAML configurations need the yaml module") from e
         found = yaml.safe_load(raw)
-    names = {"DATA_ROOT": os.environ.get("DATA_ROOT", "data"), **placeholders}
-
     def fill(x):
         if isinstance(x, str):
-            for k, v in names.items():
+            for k, v in placeholders.items():
                 x = x.replace("{" + k + "}", v)
             return x
         return {k: fill(v) for k, v in x.items()} if isinstance(x, dict) else [fill(v) for v in x] if isinstance(x, list) else x
