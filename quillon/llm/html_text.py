@@ -1,16 +1,16 @@
 """Main text of web pages by site template removal.
 
-Every page is read as a stream of tags. Each block element's subtree gets a hash from its tag, its text and its
-children's hashes; Spark counts for each host on how many different articles' pages a subtree stands (copies of one
-article count once), and a subtree on at least ``least`` of them is template, whatever the host's size; on a small host,
-one on ``share`` of them, if that is 3 or more. A second reading
-leaves out template subtrees together with elements that by tag, role or class are menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles or reader comments. A class or id tells that by a whole name ("sidebar") or
-one made of such words and plain ones ("cookie-box"), not by a part ("has-sidebar"). An element that holds the main
-element, or most of the page's text outside links, is a wrapper and never left out (``Reading._wrappers``). If a page
-has article or main elements, the rest of the page is left out too. Within them paragraphs, headings and list items can
-be template as well, those of under ``BRIEF`` words only on ``share`` of the pages; table cells can't. What is template
-there by its count alone, or isn't a container, stays if it is over half of the article: then the pages are near copies.
+Every page is read as a stream of tags. Each block element's subtree outside article and main gets a hash from its
+tag, its text and its children's hashes, whatever its name; Spark counts for each host on how many different articles'
+pages a subtree stands (copies of one article count once), and a subtree on ``least`` of them is template: the same
+number for every host. A paragraph, heading or list item of under ``BRIEF`` words, which articles without an article
+element share as headings, is template on ``share`` of the pages only. A second reading leaves out template subtrees,
+and elements that by tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
+or reader comments. A class or id tells that by a whole name ("sidebar") or one made of such words and plain ones
+("cookie-box"), not by a part ("has-sidebar"). An element that holds the main element, or most of the page's text
+outside links, is a wrapper and never left out (``Reading._wrappers``). If a page has article or main elements, the rest
+of the page is left out too, and what stands in them depends on the page alone: nothing goes there by count, text
+elements don't go by their names, and other elements only if all their names tell it.
 
 The templates of one host are at most its elements / least. The table of all hosts' templates is broadcast if its
 counted hosts and hashes are few, and otherwise joined by host, the hosts' pages dealt over salts.
@@ -44,9 +44,9 @@ HOST = r"^(?:[^:/?#]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = {"script", "style", "noscript", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "picture"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "noscript", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "picture"}
 SPACE_INLINE = {"br"}
-LEFT_OUT = {"script", "style", "noscript", "iframe", "template", "head", "nav", "footer", "aside", "form", "button", "select", "textarea", "input", "svg", "canvas", "object", "audio", "video", "map", "menu", "dialog", "title", "datalist", "fieldset", "option", "xmp", "noembed", "noframes", "math"}
+LEFT_OUT = {"script", "style", "noscript", "iframe", "template", "head", "nav", "footer", "aside", "form", "button", "select", "textarea", "input", "svg", "canvas", "object", "audio", "video", "map", "menu", "dialog", "title", "datalist", "fieldset", "option", "xmp", "noembed", "noframes"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tooltip", "status"}
 TOKENS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promoted", "banner", "sidebar", "sidenav", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "masthead", "footer", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "commentlist", "disqus", "respond", "replies", "share", "sharing", "social", "related", "recommended", "widget", "widgets", "toolbar", "pagination", "pager", "skip"}
 #: Words that make a name of TOKENS no less clear.
@@ -59,11 +59,9 @@ FIRM = {"nav", "footer", "aside", "menu", "head"}
 FIRM_ROLES = {"navigation", "banner", "contentinfo", "complementary", "menu", "menubar", "toolbar"}
 KEPT, SOFT, STRONG, REMARK, NEVER = range(5)
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "tr", "dd", "dt", "figcaption", "caption", "article", "main", "body", "html"}
-#: Leaves that can be template within an article, and how many words they need for that by count; the fewest pages that a template is on.
+#: Text elements, and how many words they need to be template by count.
 TEXTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote"}
-BRIEF, FEWEST = 5, 3
-#: Set in the hashes of what stands within article or main.
-INSIDE = 1 << 62
+BRIEF = 5
 #: What an opening tag closes before it, up to one of the elements that hold it in.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 #: Block elements that end an open paragraph.
@@ -88,13 +86,20 @@ def named(name: str) -> int:
     return SOFT if REMARKS.isdisjoint(parts) else REMARK
 
 
+@lru_cache(1 << 16)
+def plain(name: str) -> bool:
+    """Whether a class name or id is made of telling and plain words alone."""
+    return set(re.split(r"[_\-:]+", name)) <= TOKENS | PLAIN
+
+
 def left_out(tag: str, attributes: str, in_main: bool) -> int:
     """Whether an element is by its tag, role, class or id not main text (over KEPT), and how surely."""
     kind = KEPT
-    if tag in LEFT_OUT or tag == "header" and not in_main:
+    if tag in LEFT_OUT and not (in_main and tag == "noscript") or tag == "header" and not in_main:
         kind = SOFT if tag in LOOSE else STRONG if tag in FIRM else NEVER
     if kind == NEVER or not attributes or tag in ("html", "body", "main"):
         return kind
+    names: list[str] = []
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
@@ -103,15 +108,17 @@ def left_out(tag: str, attributes: str, in_main: bool) -> int:
         elif name == "role" and value in ROLES:
             kind = max(kind, STRONG if value in FIRM_ROLES else SOFT)
         elif name in ("class", "id"):
-            kind = max(kind, *map(named, value.split()), KEPT)
-    return kind
+            names += value.split()
+    if in_main and (tag in LEAVES or not all(map(plain, names))):
+        return kind
+    return max(kind, *map(named, names), KEPT)
 
 
 class Reading:
     """One pass over a page: its blocks of text and its block elements' subtrees."""
 
-    def __init__(self, page: str | None, templates: frozenset[int] = frozenset(), recurring: frozenset[int] = frozenset(), wrappers: frozenset[int] = frozenset()):
-        self.blocks: list[list] = []  # within article or main, text, recurring there
+    def __init__(self, page: str | None, templates: frozenset[int] = frozenset(), wrappers: frozenset[int] = frozenset()):
+        self.blocks: list[tuple[bool, str]] = []  # within article or main, text
         self.subtrees: list[tuple[bool, int]] = []  # (brief, hash), of those that can be template
         self.has_main = False
         self._text: list[str] = []
@@ -123,7 +130,6 @@ class Reading:
         self._held = [0] * 5  # so far: characters outside links and what is STRONG, or REMARK, and up; paragraphs; articles; main elements
         self._doubted: list[tuple[int, int, list[int]]] = []  # place, kind, held
         self._templates = templates
-        self._recurring = recurring
         self._spared = wrappers
         if page:
             self._read(page)
@@ -131,7 +137,7 @@ class Reading:
             self._close()
         self._flush()
         if not wrappers and (found := self._wrappers()):
-            self.__init__(page, templates, recurring, found)
+            self.__init__(page, templates, found)
 
     def _wrappers(self) -> frozenset[int]:
         """The places of elements not to leave out: those around the main element; loose ones with most of the text and a paragraph or article; and others, but for remarks, with most of the text and an article."""
@@ -143,9 +149,7 @@ class Reading:
         )
 
     def text(self) -> str:
-        own = [(t, again) for inside, t, again in self.blocks if inside or not self.has_main]
-        near_copy = 2 * sum(len(t) for t, again in own if again) > sum(len(t) for t, _ in own)
-        return "\n\n".join(t for t, again in own if near_copy or not again)
+        return "\n\n".join(t for inside, t in self.blocks if inside or not self.has_main)
 
     def _within(self) -> bool:
         return bool(self._stack) and self._stack[-1][3]
@@ -158,7 +162,7 @@ class Reading:
             block = " ".join("".join(self._text).split())
             self._text.clear()
             if block:
-                self.blocks.append([self._within(), block, False])
+                self.blocks.append((self._within(), block))
 
     def _say(self, raw: str) -> None:
         if not raw:
@@ -206,19 +210,12 @@ class Reading:
             self._doubted.append((place, kind, [y - x for x, y in zip(held, self._held, strict=True)]))
         if self._stack:
             self._stack[-1][5].append(f"\x01{h:x}")
-        # Whether it can be template: a block with more in it than its tag, and inside the article a container or text.
-        leaf = within and tag in LEAVES
-        if block and not out and len(parts) > 1 and not main and not (leaf and tag not in TEXTS) and tag not in ("html", "body"):
-            h = h | INSIDE if within else h & ~INSIDE
-            self.subtrees.append((leaf and sum(len(x[1].split(None, BRIEF)) for x in self.blocks[first : first + BRIEF]) < BRIEF, h))
-            if h in self._templates and not leaf:
+        # Whether it can be template: a block outside the article with more in it than its tag.
+        if block and not within and len(parts) > 1 and tag not in ("html", "body", "head"):
+            words = " ".join(parts[1:] if out else [t for _, t in self.blocks[first : first + BRIEF]]).split(None, BRIEF)
+            self.subtrees.append((tag in TEXTS and len(words) < BRIEF, h))
+            if h in self._templates:
                 del self.blocks[first:]
-            elif h in self._templates or h in self._recurring:
-                if within:
-                    for x in self.blocks[first:]:
-                        x[2] = True
-                else:
-                    del self.blocks[first:]
 
     def _tail(self, page: str, at: int) -> int:
         """Where the tag ends whose name ends at ``at``: after the first ">" outside quotes, or, if a quote stays open to the end of the page, the first ">" of all; 0 if there is none.
@@ -276,7 +273,7 @@ class Reading:
             self._open(tag, attributes)
             if tag in VOID or attributes.endswith("/") and tag not in RAW:
                 self._close()
-            elif tag in RAW:
+            elif tag in RAW and not (tag == "noscript" and self._within()):
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 said = at = close.end() if close else n
                 self._close()
@@ -315,40 +312,38 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=_SUBTREE.names)
 
 
-def templates(pages: DataFrame, share: float = 0.5, least: int = 10) -> DataFrame:
-    """(host, hashes, recurring): each host's template subtrees on the share of its pages, and the others."""
+def templates(pages: DataFrame, share: float = 0.5, least: int = 3) -> DataFrame:
+    """(host, hashes): each host's template subtrees."""
     sites = need(pages, url=T.StringType(), html=T.StringType()).select(host_of(F.col("url")).alias("host"), "html").where("host is not null")
     seen = sites.mapInArrow(_hashed, _SUBTREE).distinct()
     counted = seen.groupBy("host", "brief", "h").agg(F.count("*").alias("n"))
-    fewest = min(FEWEST, least)
-    counted = written(counted.where((F.col("n") >= fewest) | F.col("h").isNull()), "html-subtrees")
+    counted = written(counted.where((F.col("n") >= least) | F.col("h").isNull()), "html-subtrees")
     hosts = counted.where("h is null").select("host", F.col("n").alias("pages"))
-    large = F.col("n") >= share * F.col("pages")
-    found = counted.where("h is not null").join(hosts, "host").where(large | (F.col("n") >= least) & ~F.col("brief"))
-    return found.groupBy("host").agg(F.collect_set(F.when(large, F.col("h"))).alias("hashes"), F.collect_set(F.when(~large, F.col("h"))).alias("recurring"))
+    found = counted.where("h is not null").join(hosts, "host").where(~F.col("brief") | (F.col("n") >= share * F.col("pages")))
+    return found.groupBy("host").agg(F.collect_set("h").alias("hashes"))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        known: dict[str | None, tuple[frozenset[int], frozenset[int]]] = {}
+        known: dict[str | None, frozenset[int]] = {}
         texts = []
         for i, (page, host) in enumerate(zip(b.column(2), b.column(3).to_pylist(), strict=True)):
             if host not in known:
-                known[host] = frozenset(b.column(4)[i].as_py() or ()), frozenset(b.column(5)[i].as_py() or ())
-            texts.append(Reading(page.as_py(), *known[host]).text())
+                known[host] = frozenset(b.column(4)[i].as_py() or ())
+            texts.append(Reading(page.as_py(), known[host]).text())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=_TEXT.names)
 
 
-def extract(pages: DataFrame, share: float = 0.5, least: int = 10, broadcast_hosts: int = 10_000, salts: int = 64) -> DataFrame:
+def extract(pages: DataFrame, share: float = 0.5, least: int = 3, broadcast_hosts: int = 10_000, salts: int = 64) -> DataFrame:
     """One row for each page: page_id, url, text, n_chars."""
     rows = need(pages, page_id=T.LongType(), url=T.StringType(), html=T.StringType())
     known = written(templates(rows, share, least), "html-templates")
     rows = rows.withColumn("host", host_of(F.col("url")))
-    n_hosts, n_hashes = known.agg(F.count("*"), F.coalesce(F.sum(F.size("hashes") + F.size("recurring")), F.lit(0))).first()
+    n_hosts, n_hashes = known.agg(F.count("*"), F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()
     few = n_hosts <= broadcast_hosts and n_hashes <= 100 * broadcast_hosts
     if few:
         met = rows.join(F.broadcast(known), "host", "left")
     else:
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
         met = rows.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["host", "salt"], "left")
-    return met.select("page_id", "url", "html", "host", "hashes", "recurring").mapInArrow(_extracted, _TEXT)
+    return met.select("page_id", "url", "html", "host", "hashes").mapInArrow(_extracted, _TEXT)

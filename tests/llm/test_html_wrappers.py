@@ -1,5 +1,7 @@
 """Pages whose text stands in elements with names or tags of boilerplate, and recurring blocks below the whole site."""
 
+import re
+
 import pytest
 
 from quillon.llm.html_text import Reading, extract
@@ -43,29 +45,57 @@ def own(host, i, words=40):
     return " ".join(f"{host}{i}w{k}" for k in range(words))
 
 
-def test_recurring_blocks_below_the_whole_site(spark):
-    box, notice, brief = "<div><p>See this section of our site</p></div>", "<p>This repeated notice stands in many articles</p>", "<h2>Introduction</h2>"
-    pages, expected = [], {}
-
-    def add(host, i, before, inside, text):
-        pages.append((len(pages), f"http://{host}.example/{i}", f"<body>{before}{inside}</body>"))
-        expected[len(pages) - 1] = text
-
-    for i in range(100):  # an unnamed block of a section
-        t = own("a", i)
-        add("a", i, box if i < 30 else "", f"<div><p>{t}</p></div>", t)
-    for i in range(100):  # a notice within articles, and a heading that is the articles' own
-        t = own("b", i)
-        add("b", i, "", f"<article>{notice if i < 12 else ''}{brief if i < 15 else ''}<p>{t}</p></article>", ("Introduction\n\n" if i < 15 else "") + t)
-    for i in range(4):  # a small host
-        t = own("c", i)
-        add("c", i, box, f"<article>{notice}<p>{t}</p></article>", t)
-    for i in range(30):  # near copies of one article, and a table
-        t, cell = own("d", 0), f"<table><tr><td>{i}</td><td>the same five words here</td></tr></table>"
-        add("d", i, "", f"<article><p>{t}</p>{cell}</article>", f"{t}\n\n{i}\n\nthe same five words here")
-    for i in range(2):  # too few pages to tell
-        t = own("e", i)
-        add("e", i, "", f"<div>{box}<p>{t}</p></div>", f"See this section of our site\n\n{t}")
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+KEPT_WITHIN = ["<p class='related'>b c</p>", "<div class='share price'>5</div>", "<h2 id='comments'>Comments on the bill</h2>", "<math>x</math>", "<noscript>shown without scripts</noscript>", "<div class='note'>n</div>", "<li class='menu'>l</li>"]
+
+
+@pytest.mark.parametrize("part", KEPT_WITHIN)
+def test_an_article_keeps_its_text_whatever_it_is_named(part):
+    said = re.sub("<[^>]*>", "", part)
+    assert said in Reading(f"<body>{ARTICLE.replace('</article>', part + '</article>')}</body>").text()
+
+
+def extracted_by_hand(pages, least=3):
+    """Template subtrees counted host by host in Python, copies of an article once."""
+    on, articles, out = {}, {}, {}
+    for _, url, page in pages:
+        r, host = Reading(page), url.split("/")[2]
+        articles.setdefault(host, set()).add(r.text())
+        for brief, h in r.subtrees:
+            on.setdefault((host, brief, h), set()).add(r.text())
+    for i, url, page in pages:
+        host = url.split("/")[2]
+        out[i] = Reading(page, frozenset(h for (x, brief, h), n in on.items() if x == host and len(n) >= least and (not brief or 2 * len(n) >= len(articles[host])))).text()
+    return out
+
+
+def site(seed=0):
+    """Hosts of many sizes whose pages share unnamed and named blocks, and articles with one closing sentence on many hosts."""
+    boxes = ["<div><p>See this section of our site</p></div>", "<ul class='nav'><li>home</li><li>news</li></ul>", "<section><div>Our partners bring you this</div></section>"]
+    closing = "<p>This sentence closes articles on many a host</p>"
+    pages, closed = [], []
+    for h, n in enumerate((1, 2, 3, 4, 9, 30, 100)):
+        for i in range(n):
+            t = own(f"h{h}x", i // 2 if h == 4 else i)  # one host's articles come twice
+            inside = f"<h2>Introduction</h2><p>{t}</p>" + (closing if i % 3 == 0 else "")
+            body = f"<article>{inside}</article>" if i % 2 else f"<div>{inside}</div>"
+            pages.append((len(pages), f"http://h{h}.example/{i}", f"<body>{boxes[i % 3]}{body}{boxes[2] if i % 5 == 0 else ''}</body>"))
+            if i % 2 and i % 3 == 0:
+                closed.append(len(pages) - 1)
+    return pages, closed
+
+
+def test_templates_of_each_host_against_counting_by_hand(spark):
+    pages, closed = site()
+    df = spark.createDataFrame(pages + [(-1, None, "<p>no host</p>"), (-2, "http://h9.example", None)], "page_id long, url string, html string").repartition(4)
+    want = extracted_by_hand(pages) | {-1: "no host", -2: ""}
     for broadcast in (10_000, 0):
-        assert {r["page_id"]: r["text"] for r in extract(df, broadcast_hosts=broadcast).collect()} == expected
+        assert {r["page_id"]: r["text"] for r in extract(df, broadcast_hosts=broadcast).collect()} == want
+    assert all(want[i].endswith("closes articles on many a host") for i in closed)  # in an article, on hosts of every size
+    assert sum("our site" in t or "partners" in t for t in want.values()) < 8 and all("Introduction" in want[i] for i in closed)
+
+
+def test_equal_articles_give_equal_text_on_all_hosts(spark):
+    article = "<article><h1>T</h1><p>The same words stand on hosts of any size here.</p></article>"
+    pages = [(100 * h + i, f"http://s{h}.example/{i}", article if i == 0 else f"<article><p>{own('z', i)}</p><p>The same words stand on hosts of any size here.</p></article>") for h, n in enumerate((1, 3, 12, 40)) for i in range(n)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len({got[100 * h] for h in range(4)}) == 1 and all(t.endswith("of any size here.") for t in got.values())
