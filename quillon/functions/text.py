@@ -10,7 +10,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: N-gram length and sampling modulus of fingerprints.
 GRAM, MODULUS = 12, 4
@@ -72,32 +72,32 @@ def _spans(norm: str | None, n: int) -> tuple[memoryview, list[int], list[int]]:
     return (memoryview(raw), [k + 1 for k in at[: words - n + 1]], at[n:]) if words >= 2 * n else (memoryview(raw), [], [])
 
 
-def text_fingerprints(norm: Column, n: int = GRAM, modulus: int = MODULUS) -> Column:
-    """``fingerprints`` of a normal form's words, in one pass over Arrow batches: no gram is built as a string."""
+def _plain(text: str | None) -> str:
+    """The normal form in Python: str.split() parts at the characters that (?U)[\\s\\x1c-\\x1f] matches."""
+    text = text or ""
+    return " ".join((text if text.isascii() else unicodedata.normalize("NFKC", text)).split()).lower()
 
-    @F.pandas_udf(ArrayType(LongType()))
-    def of(x: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[int]:
-            raw, starts, ends = _spans(text, n)
-            return list(dict.fromkeys(h for a, e in zip(starts, ends, strict=True) if (h := zlib.crc32(raw[a:e])) % modulus == 0))
 
-        return x.map(one)
+def _crc(raw: memoryview, starts: list[int], ends: list[int], modulus: int) -> list[int]:
+    return list(dict.fromkeys(h for a, e in zip(starts, ends, strict=True) if (h := zlib.crc32(raw[a:e])) % modulus == 0))
 
-    return of(norm)
 
+def _hex(raw: memoryview, starts: list[int], ends: list[int], modulus: int) -> list[str]:
+    """Those whose first hex digit is divisible by the modulus, 4 (or 1, 2, 8)."""
+    found = dict.fromkeys(h for a, e in zip(starts, ends, strict=True) if (h := hashlib.md5(raw[a:e]).digest())[0] // 16 % modulus == 0)
+    return [h.hex() for h in found]
 
-def text_hex_fingerprints(norm: Column, n: int = GRAM) -> Column:
-    """``hex_fingerprints`` of a normal form's words, likewise."""
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def of(x: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[str]:
-            raw, starts, ends = _spans(text, n)
-            return list(dict.fromkeys(h.hex() for a, e in zip(starts, ends, strict=True) if not (h := hashlib.md5(raw[a:e]).digest())[0] & 0x30))
+def prepared(text: Column, hex_prints: bool = False, n: int = GRAM, modulus: int = MODULUS) -> Column:
+    """(h, size, fps) of a text in one pass over Arrow batches: the hash and the length of its normal form, and ``fingerprints`` (or ``hex_fingerprints``) of that form's words. A null text is empty."""
+    prints, kind = (_hex, StringType()) if hex_prints else (_crc, LongType())
 
-        return x.map(one)
+    @F.pandas_udf(StructType([StructField("h", StringType()), StructField("size", LongType()), StructField("fps", ArrayType(kind))]))
+    def of(x: pd.Series) -> pd.DataFrame:
+        norms = [_plain(t) for t in x]
+        return pd.DataFrame({"h": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in norms], "size": [len(t) for t in norms], "fps": [prints(*_spans(t, n), modulus) for t in norms]})
 
-    return of(norm)
+    return of(text)
 
 
 def norm_split(split: Column) -> Column:

@@ -59,7 +59,7 @@ def build(candidates: DataFrame, trained: DataFrame, s: Settings | None = None)
     s = s or Settings()
     rows = screened(candidates, trained, s)
     pool = sampling.bottom_k(rows.where("reason is null").drop("reason"), "source", "id", s.per_source, s.seed)
-    filtered = guard.leak_filter(pool, trained, prints=tx.hex_fingerprints if s.hex_prints else tx.fingerprints).persist()
+    filtered = guard.leak_filter(pool, trained, hex_prints=s.hex_prints).persist()
     kept = filtered.where("leak is null").drop("leak")
     per = scores(kept, trained, s.min_repeat)
     rules = ((F.col("n_rows") < s.min_eval, "n_rows"), (F.col("repeat_fraction") < s.repeat, "repeat_fraction"), (F.col("seen_fraction") > s.seen, "seen_fraction"), (F.col("string_overlap") > s.overlap, "string_overlap"))

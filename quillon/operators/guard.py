@@ -25,24 +25,23 @@ class GuardIndex:
     prints: DataFrame  # fp, df, src_min, src_max
 
 
-#: The same fingerprints from a normal form in one pass.
-_BY_TEXT = {tx.fingerprints: tx.text_fingerprints, tx.hex_fingerprints: tx.text_hex_fingerprints}
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly over all cores where they come from fewer files than there are cores; else as they are. Work in Python would otherwise be left to a few tasks."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if not rows.isStreaming and 0 < len(rows.inputFiles()) < cores else rows
 
 
-def fingerprinted(df: DataFrame, state: str, prints=tx.fingerprints, normal=tx.norm_text) -> DataFrame:
-    """df with fps_."""
-    df = df.withColumn("norm_", normal(F.col(state)))
-    if prints in _BY_TEXT:
-        return df.withColumn("fps_", _BY_TEXT[prints](F.col("norm_"))).drop("norm_")
-    return df.withColumn("words_", F.split("norm_", " ")).withColumn("fps_", prints(F.col("words_"))).drop("norm_", "words_")
+def fingerprinted(rows: DataFrame, state: str, hex_prints: bool = False, **more: Column) -> DataFrame:
+    """(more columns, h_, size_, fps_): the hash, the normal form's length and the fingerprints of each row's state, by one pass that carries nothing else."""
+    narrow = spread(rows.select(F.col(state).alias("state_"), *(c.alias(k) for k, c in more.items())))
+    return narrow.select(*more, tx.prepared(F.col("state_"), hex_prints).alias("p_")).select(*more, F.col("p_.h").alias("h_"), F.col("p_.size").alias("size_"), F.col("p_.fps").alias("fps_"))
 
 
-def build_index(evaluation: DataFrame, state: str = "state", group: str = "group_id", source: str = "source", order: Column | None = None, prints=tx.fingerprints, normal=tx.norm_text) -> GuardIndex:
+def build_index(evaluation: DataFrame, state: str = "state", group: str = "group_id", source: str = "source", order: Column | None = None, hex_prints: bool = False) -> GuardIndex:
     """The index of evaluation rows. A repeated state is attributed to the source of its first row."""
-    hashed = evaluation.withColumn("h_", tx.text_hash(F.col(state), normal=normal))
-    first = Window.partitionBy("h_").orderBy(order if order is not None else F.col(source))
-    once = hashed.withColumn("n_", F.row_number().over(first)).where("n_ = 1")
-    exploded = fingerprinted(once, state, prints, normal).select(F.col(source).alias("src"), F.explode_outer("fps_").alias("fp")).where("fp is not null")  # outer: an inner one filters on the arrays, building them once more for each gram
+    hashed = fingerprinted(evaluation, state, hex_prints, src=F.col(source), o_=order if order is not None else F.col(source))
+    once = hashed.groupBy("h_").agg(F.min_by(F.struct("src", "fps_"), "o_").alias("x"))
+    exploded = once.select(F.col("x.src").alias("src"), F.explode_outer("x.fps_").alias("fp")).where("fp is not null")  # outer: an inner one filters on the arrays, building them once more for each gram
     return GuardIndex(
         once.select(F.col("h_").alias("h")),
         evaluation.where(F.col(group).isNotNull()).select(F.col(group).alias("g")).distinct(),
@@ -50,14 +49,22 @@ def build_index(evaluation: DataFrame, state: str = "state", group: str = "group
     )
 
 
-def print_hits(rows: DataFrame, index: GuardIndex, key: str, state: str = "state", source: str | None = "source", boilerplate: int | None = BOILERPLATE, prints=tx.fingerprints, normal=tx.norm_text) -> DataFrame:
-    """(key, hits, n_fps): fingerprints shared with evaluation states of other sources (of any, if source is None)."""
+def print_hits(rows: DataFrame, index: GuardIndex, key: str, state: str = "state", group: str | None = None, source: str | None = "source", boilerplate: int | None = BOILERPLATE, hex_prints: bool = False) -> DataFrame:
+    """(key, h, size, in_states, in_groups, hits, n_fps), a row a key: the hash and length of its state's normal form, whether the index has its state and its group, and how many of its fingerprints evaluation states of other sources have (of any, if source is None).
+
+    States are hashed and fingerprinted in one pass, and one exchange by key counts what the prints meet; rows that the index has whole aren't looked up by print.
+    """
     keep = index.prints if boilerplate is None else index.prints.where(F.col("df") <= boilerplate)
-    f = fingerprinted(rows, state, prints, normal)
-    mine = F.col(source) if source else F.lit(None).cast("string")
-    f = f.select(F.col(key), mine.alias("mine_"), F.size("fps_").alias("n_fps"), F.explode_outer("fps_").alias("fp")).where("fp is not null")
+    null = F.lit(None).cast("string")
+    f = fingerprinted(rows, state, hex_prints, k_=F.col(key), g_=F.col(group) if group else null, mine_=F.col(source) if source else null)
+    f = f.join(index.states.select(F.col("h").alias("h_"), F.lit(True).alias("in_states")), "h_", "left")
+    f = f.join(index.groups.select(F.col("g").alias("g_"), F.lit(True).alias("in_groups")), "g_", "left") if group else f.withColumn("in_groups", F.lit(False))
+    known = F.coalesce("in_states", F.lit(False)) | F.coalesce("in_groups", F.lit(False))
+    looked = F.when(~known, F.col("fps_")) if group else F.col("fps_")
+    f = f.select("k_", "h_", "size_", "mine_", "in_states", "in_groups", F.size("fps_").alias("n_"), F.explode_outer(looked).alias("fp"))
     other = F.col("mine_").isNull() | (F.col("src_min") != F.col("mine_")) | (F.col("src_max") != F.col("mine_"))
-    return f.join(keep, "fp").where(other).groupBy(key).agg(F.count("*").alias("hits"), F.first("n_fps").alias("n_fps"))
+    met = f.join(keep, "fp", "left").groupBy("k_").agg(F.min("h_").alias("h"), F.min("size_").alias("size"), F.coalesce(F.max("in_states"), F.lit(False)).alias("in_states"), F.coalesce(F.max("in_groups"), F.lit(False)).alias("in_groups"), F.count_if(F.col("df").isNotNull() & other).alias("hits"), F.max("n_").alias("n_fps"))
+    return met.withColumnRenamed("k_", key)
 
 
 def is_leak(hits: Column, n_fps: Column) -> Column:
@@ -65,16 +72,15 @@ def is_leak(hits: Column, n_fps: Column) -> Column:
     return (hits >= 2) | ((hits >= 1) & (n_fps <= 2))
 
 
-def flag_leaks(rows: DataFrame, index: GuardIndex, key: str = "id", state: str = "state", group: str = "group_id", **options) -> DataFrame:
-    """rows with leak: leak_state, leak_group, leak_ngram (the first that holds) or null. Exact joins come first, and only what they pass is fingerprinted."""
-    normal = options.get("normal", tx.norm_text)
-    exact = rows.withColumn("h_", tx.text_hash(F.col(state), normal=normal))
-    exact = exact.join(index.states.select(F.col("h").alias("h_"), F.lit(True).alias("in_states")), "h_", "left")
-    exact = exact.join(index.groups.select(F.col("g").alias(group), F.lit(True).alias("in_groups")), group, "left")
-    exact = exact.withColumn("leak", F.when(F.col("in_states"), "leak_state").when(F.col("in_groups"), "leak_group"))
-    hits = print_hits(exact.where("leak is null"), index, key, state, **options).where(is_leak(F.col("hits"), F.col("n_fps"))).select(key, F.lit(True).alias("in_prints"))
-    out = exact.join(hits, key, "left").withColumn("leak", F.coalesce("leak", F.when(F.col("in_prints"), "leak_ngram")))
-    return out.select(*rows.columns, "leak")
+def first_leak() -> Column:
+    """The first leak that ``print_hits`` shows, or null."""
+    return F.when(F.col("in_states"), "leak_state").when(F.col("in_groups"), "leak_group").when(is_leak(F.col("hits"), F.col("n_fps")), "leak_ngram")
+
+
+def flag_leaks(rows: DataFrame, index: GuardIndex, key: str = "id", state: str = "state", group: str = "group_id", source: str | None = "source", boilerplate: int | None = BOILERPLATE, hex_prints: bool = False) -> DataFrame:
+    """rows with leak: leak_state, leak_group, leak_ngram (the first that holds) or null. Keys tell rows apart; only the flagged keys meet the rows again."""
+    found = print_hits(rows, index, key, state, group, source, boilerplate, hex_prints).select(F.col(key).alias("k_"), first_leak().alias("leak")).where("leak is not null")
+    return rows.join(found, F.col(key).eqNullSafe(F.col("k_")), "left").select(*rows.columns, "leak")
 
 
 def keep_first(rows: DataFrame, key: Column, order: Column) -> DataFrame:
@@ -99,19 +105,20 @@ def assert_nested(small: DataFrame, large: DataFrame, on: str) -> None:
         raise AssertionError(f"not nested on {on}")
 
 
-def leak_filter(candidates: DataFrame, states: DataFrame, key: str = "id", state: str = "state", boilerplate: int = BOILERPLATE, prints=tx.fingerprints, normal=tx.norm_text) -> DataFrame:
+def leak_filter(candidates: DataFrame, states: DataFrame, key: str = "id", state: str = "state", boilerplate: int = BOILERPLATE, hex_prints: bool = False) -> DataFrame:
     """candidates with leak: leak_state_in_train, leak_ngram_in_train or null, against the states of a training table.
 
     Here the candidates' side says what is boilerplate: a fingerprint that more than ``boilerplate`` distinct candidate
     states have that aren't training states themselves.
     """
-    trained = states.select(tx.text_hash(F.col(state), normal=normal).alias("h_"), F.col(state)).dropDuplicates(["h_"])
-    rows = candidates.withColumn("h_", tx.text_hash(F.col(state), normal=normal)).join(trained.select("h_", F.lit(True).alias("known_")), "h_", "left")
-    fresh = rows.where("known_ is null")
-    mine = fingerprinted(fresh, state, prints, normal).select(key, "h_", F.size("fps_").alias("n_fps"), F.explode_outer("fps_").alias("fp")).where("fp is not null")
-    rare = mine.groupBy("fp").agg(F.count_distinct("h_").alias("df")).where(F.col("df") <= boilerplate).select("fp")
-    theirs = fingerprinted(trained, state, prints, normal).select(F.explode_outer("fps_").alias("fp")).distinct()
-    shared = rare.join(theirs, "fp", "left_semi")
-    hits = mine.join(shared, "fp").groupBy(key).agg(F.count("*").alias("hits"), F.first("n_fps").alias("n_fps")).where(is_leak(F.col("hits"), F.col("n_fps")))
-    out = rows.join(hits.select(key, F.lit(True).alias("printed_")), key, "left")
-    return out.select(*candidates.columns, F.when(F.col("known_"), "leak_state_in_train").when(F.col("printed_"), "leak_ngram_in_train").alias("leak"))
+    trained = fingerprinted(states, state, hex_prints)
+    known = trained.select("h_", F.lit(True).alias("known_")).distinct()
+    own = fingerprinted(candidates, state, hex_prints, k_=F.col(key)).join(known, "h_", "left")
+    theirs = trained.select(F.explode_outer("fps_").alias("fp")).where("fp is not null").distinct().withColumn("met_", F.lit(True))
+    prints = own.select("k_", "h_", "known_", F.size("fps_").alias("n_"), F.explode_outer(F.when(F.col("known_").isNull(), F.col("fps_"))).alias("fp"))
+    met = prints.join(theirs, "fp", "left")
+    rare = met.where("met_").groupBy("fp").agg(F.count_distinct("h_").alias("df")).where(F.col("df") <= boilerplate).select(F.col("fp").alias("rare_"))
+    hits = met.join(rare, F.col("fp") == F.col("rare_"), "left").groupBy("k_").agg(F.max("known_").alias("known_"), F.count("rare_").alias("hits"), F.max("n_").alias("n_"))
+    leak = F.when(F.col("known_"), "leak_state_in_train").when(is_leak(F.col("hits"), F.col("n_")), "leak_ngram_in_train")
+    found = hits.select("k_", leak.alias("leak")).where("leak is not null")
+    return candidates.join(found, F.col(key).eqNullSafe(F.col("k_")), "left").select(*candidates.columns, "leak")

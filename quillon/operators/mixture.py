@@ -55,8 +55,7 @@ def build(train: DataFrame, evaluation: DataFrame, s: Settings | None = None) ->
     s = s or Settings()
     ev = _prepared(evaluation, s, False)
     guards = ev.where(F.col("reason").isNull() | (F.lit(s.guard_long) & F.col("reason").isin("state_too_long", "too_many_target_options")))
-    prints = tx.hex_fingerprints if s.hex_prints else tx.fingerprints
-    index = guard.build_index(guards, order=F.col("seq"), prints=prints)
+    index = guard.build_index(guards, order=F.col("seq"), hex_prints=s.hex_prints)
 
     held = F.col("source").rlike(tx.glob_regex(s.held_out))
     licence = licenses.reason(F.col("license"))
@@ -68,7 +67,7 @@ def build(train: DataFrame, evaluation: DataFrame, s: Settings | None = None) ->
     tr = _prepared(train, s, True)
     licence = licenses.reason(F.col("license"), strip_annotations=s.strip_annotations)
     tr = tr.withColumn("reason", F.coalesce("reason", F.when(F.col("source").rlike(tx.glob_regex(s.excluded)), "excluded_source"), F.when(~licenses.allowed(licence), F.concat(F.lit("license:"), licence)), F.when(held, "held_out_task")))
-    alive = guard.flag_leaks(tr.where("reason is null"), index, prints=prints).withColumn("reason", F.col("leak")).drop("leak")
+    alive = guard.flag_leaks(tr.where("reason is null"), index, hex_prints=s.hex_prints).withColumn("reason", F.col("leak")).drop("leak")
     alive = alive.withColumn("h_", tx.text_hash(F.col("state"), F.col("question"), F.array_join("options", " ")))
     nth = F.row_number().over(Window.partitionBy("h_", F.col("reason").isNull()).orderBy("seq"))
     alive = alive.withColumn("reason", F.coalesce("reason", F.when(nth > 1, "duplicate"))).drop("h_")

@@ -42,7 +42,7 @@ leaks AS (SELECT ca.id, src, CASE WHEN norm IN (SELECT norm FROM tr1) THEN 'leak
 @query(f"WITH {_CAND} SELECT id, src AS source, coalesce(leak, 'kept') AS leak FROM leaks")
 def leak_filter(spark: SparkSession, d: str) -> DataFrame:
     states = read(spark, d, "benchmark").select(F.col("text").alias("state"))
-    out = guard.leak_filter(documents_as_train(spark, d), states, prints=tx.hex_fingerprints)
+    out = guard.leak_filter(documents_as_train(spark, d), states, hex_prints=True)
     return out.select("id", "source", F.coalesce("leak", F.lit("kept")).alias("leak"))
 
 
@@ -55,8 +55,8 @@ def leak_exact_planted(spark: SparkSession, d: str) -> DataFrame:
     docs = documents_as_train(spark, d)
     planted = docs.where("id % 97 = 0").select("id", F.lit("planted").alias("source"), F.lit(None).cast("string").alias("group_id"), F.concat(F.lit(" \n"), F.replace("state", F.lit(" "), F.lit("\t\n ")), F.lit("\t ")).alias("state"))
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("source"), F.lit(None).cast("string").alias("group_id"), F.col("text").alias("state"))
-    index = guard.build_index(items.union(planted), order=F.col("id"), prints=tx.hex_fingerprints)
-    return guard.flag_leaks(docs, index, prints=tx.hex_fingerprints).where("leak = 'leak_state'").select("id", "source")
+    index = guard.build_index(items.union(planted), order=F.col("id"), hex_prints=True)
+    return guard.flag_leaks(docs, index, hex_prints=True).where("leak = 'leak_state'").select("id", "source")
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT doc_id, text FROM documents EXCEPT ALL SELECT doc_id, CASE WHEN doc_id = (SELECT max(doc_id) FROM documents) THEN text || ' ' ELSE text END FROM documents)) = 0 AS equal, count(*)::BIGINT AS n FROM documents")

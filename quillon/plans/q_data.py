@@ -43,11 +43,11 @@ def benchmark_as_eval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_of(spark: SparkSession, d: str) -> guard.GuardIndex:
-    return guard.build_index(benchmark_as_eval(spark, d), order=F.col("id"), prints=tx.hex_fingerprints)
+    return guard.build_index(benchmark_as_eval(spark, d), order=F.col("id"), hex_prints=True)
 
 
 def flagged(spark: SparkSession, d: str) -> DataFrame:
-    return guard.flag_leaks(documents_as_train(spark, d), index_of(spark, d), prints=tx.hex_fingerprints)
+    return guard.flag_leaks(documents_as_train(spark, d), index_of(spark, d), hex_prints=True)
 
 
 GUARD = (
@@ -73,11 +73,11 @@ def exact_dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH tr AS (SELECT doc_id AS id, source AS src, {NORM.format('text')} AS norm FROM documents), {PRINTS.format('tr')} SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_fps FROM documents d LEFT JOIN (SELECT id, count(*) AS n FROM grams_tr GROUP BY id) ON id = doc_id")
 def fingerprints_per_doc(spark: SparkSession, d: str) -> DataFrame:
-    return guard.fingerprinted(read(spark, d, "documents"), "text", tx.hex_fingerprints).select("doc_id", F.size("fps_").cast("long").alias("n_fps"))
+    return guard.fingerprinted(read(spark, d, "documents"), "text", True, doc_id=F.col("doc_id")).select("doc_id", F.size("fps_").cast("long").alias("n_fps"))
 
 
 def crc_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    return guard.fingerprinted(read(spark, d, "documents"), "text").select("doc_id", F.size("fps_").cast("long").alias("n_fps"))
+    return guard.fingerprinted(read(spark, d, "documents"), "text", doc_id=F.col("doc_id")).select("doc_id", F.size("fps_").cast("long").alias("n_fps"))
 
 
 QUERIES["crc_fingerprints"] = crc_fingerprints
@@ -116,18 +116,20 @@ def fp_document_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {GUARD}, reasons AS (SELECT *, CASE WHEN length(norm) > 12000 THEN 'state_too_long' ELSE leak END AS r1 FROM flagged), alive AS (SELECT id, row_number() OVER (PARTITION BY norm ORDER BY id) AS rn FROM reasons WHERE r1 IS NULL), full_ AS (SELECT r.src, coalesce(r1, CASE WHEN rn > 1 THEN 'duplicate' END) AS reason FROM reasons r LEFT JOIN alive USING (id)) SELECT src AS source, reason, count(*)::BIGINT AS n FROM full_ WHERE reason IS NOT NULL GROUP BY 1, 2")
 def drop_ledger(spark: SparkSession, d: str) -> DataFrame:
-    rows = flagged(spark, d).withColumn("norm", tx.norm_text(F.col("state"))).withColumn("reason", F.when(F.length("norm") > 12000, "state_too_long").otherwise(F.col("leak")))
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy(F.sha2("norm", 256), F.col("reason").isNull()).orderBy("id"))
-    rows = rows.withColumn("reason", F.coalesce("reason", F.when(nth > 1, "duplicate")))
-    return report.ledger(rows, ["source"], "reason")
+    rows = documents_as_train(spark, d)
+    judged = guard.print_hits(rows, index_of(spark, d), "id", group="group_id", hex_prints=True)
+    judged = judged.withColumn("reason", F.when(F.col("size") > 12000, "state_too_long").otherwise(guard.first_leak()))
+    first = judged.where("reason is null").groupBy("h").agg(F.min("id").alias("first"))
+    judged = judged.join(first, "h", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("id") > F.col("first"), "duplicate")))
+    return report.ledger(rows.select("id", "source").join(judged.select("id", "reason"), "id"), ["source"], "reason")
 
 
 @query(f"WITH {GUARD} SELECT lang, count(*)::BIGINT AS n FROM (SELECT lang FROM flagged WHERE leak IS NULL QUALIFY row_number() OVER (PARTITION BY norm ORDER BY id) = 1) GROUP BY lang")
 def leak_free_by_lang(spark: SparkSession, d: str) -> DataFrame:
-    clean = flagged(spark, d).where("leak is null")
-    return guard.keep_first(clean.select("id", "lang", tx.text_hash(F.col("state")).alias("h")), F.col("h"), F.col("id")).groupBy("lang").agg(F.count("*").alias("n"))
+    rows = documents_as_train(spark, d)
+    judged = guard.print_hits(rows, index_of(spark, d), "id", group="group_id", hex_prints=True)
+    first = judged.where(guard.first_leak().isNull()).groupBy("h").agg(F.min("id").alias("id"))
+    return rows.select("id", "lang").join(first, "id", "left_semi").groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT doc_id, text FROM documents EXCEPT ALL SELECT doc_id, text FROM (SELECT * FROM documents ORDER BY text))) = 0 AS equal, count(*)::BIGINT AS n FROM documents")

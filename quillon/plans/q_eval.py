@@ -258,10 +258,10 @@ def macro_mean_shared(spark: SparkSession, d: str) -> DataFrame:
 def overlap_by_dataset(spark: SparkSession, d: str) -> DataFrame:
     """Requests that share a state, or fingerprints without a cut for boilerplate, with an index of any source."""
     rows = documents_as_train(spark, d)
-    index = guard.build_index(benchmark_as_eval(spark, d), order=F.col("id"), prints=tx.hex_fingerprints)
-    hits = guard.print_hits(rows, index, "id", source=None, boilerplate=None, prints=tx.hex_fingerprints)
-    out = rows.withColumn("h", tx.text_hash(F.col("state"))).join(index.states.withColumn("e", F.lit(True)), "h", "left").join(hits, "id", "left")
-    exact, ngram = F.coalesce("e", F.lit(False)), F.coalesce(guard.is_leak(F.col("hits"), F.col("n_fps")), F.lit(False))
+    index = guard.build_index(benchmark_as_eval(spark, d), order=F.col("id"), hex_prints=True)
+    hits = guard.print_hits(rows, index, "id", source=None, boilerplate=None, hex_prints=True)
+    out = rows.select("id", "source").join(hits, "id")
+    exact, ngram = F.col("in_states"), F.coalesce(guard.is_leak(F.col("hits"), F.col("n_fps")), F.lit(False))
     return out.groupBy(F.col("source").alias("dataset")).agg(F.count("*").alias("requests"), F.count_if(exact).alias("exact"), F.count_if(ngram).alias("ngram"), F.count_if(exact | ngram).alias("either"))
 
 
