@@ -25,6 +25,16 @@ def diversity(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), share(F.size("options") == 2).alias("binary_share"), share(F.col("soft")).alias("soft_share"), F.avg(ar.entropy_bits(F.col("target"))).alias("entropy_bits"), F.avg(F.array_max("target")).alias("top_mass"), F.max(F.least(F.size("options"), F.lit(27))).cast("long").alias("most_options"))
 
 
+def diversity_shares(df: DataFrame, fields: list[str], largest: int = 10, key: str = "source") -> DataFrame:
+    """(field, value, n, share): the share of each value of each field, of each number of options up to 27, and of the ``largest`` sources, in one grouping-sets pass."""
+    rows = df.withColumn("options_", F.least(F.size("options"), F.lit(27)).cast("string"))
+    counts = counts_by(rows, [*fields, "options_", key]).withColumn("field", F.regexp_replace("field", "^options_$", "options"))
+    total = counts.where("field = 'all'").select(F.col("n").alias("all_"))
+    few = Window.partitionBy("field").orderBy(F.col("n").desc(), "value")
+    ranked = counts.where("field <> 'all'").withColumn("place", F.row_number().over(few)).where((F.col("field") != key) | (F.col("place") <= largest))
+    return ranked.join(F.broadcast(total), how="cross").select("field", "value", "n", (F.col("n") / F.col("all_")).alias("share"))
+
+
 def length_percentiles(df: DataFrame, text: str) -> DataFrame:
     p = F.percentile(F.length(text), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
     return df.agg(p.alias("p")).select(*(F.get("p", F.lit(i)).cast("long").alias(n) for i, n in enumerate(("p50", "p90", "p99"))))

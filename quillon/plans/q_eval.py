@@ -220,10 +220,27 @@ def derive_move(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {LABELLED} SELECT count(*)::BIGINT AS n, avg((len(options) = 2)::INT::DOUBLE) AS binary_share, avg((list_max(target) < 1 - 1e-6)::INT::DOUBLE) AS soft_share, 0.0::DOUBLE AS entropy_bits, avg(list_max(target)) AS top_mass, max(least(len(options), 27))::BIGINT AS most_options FROM labelled")
+#: Every third case's target is uncertain, every seventh's options are three.
+_UNSURE = LABELLED + """, unsure AS (SELECT * EXCLUDE (target, options), CASE WHEN case_id::BIGINT % 3 = 0 THEN list_transform(target, lambda t: 0.8 * t + 0.1) ELSE target END::DOUBLE[] AS target, CASE WHEN case_id::BIGINT % 7 = 0 THEN ['a', 'b', 'c'] ELSE options END AS options FROM labelled)"""
+
+
+def unsure(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("case_id").cast("long")
+    rows = labelled(spark, d).withColumn("target", F.when(i % 3 == 0, F.transform("target", lambda t: 0.8 * t + 0.1)).otherwise(F.col("target")))
+    return rows.withColumn("options", F.when(i % 7 == 0, F.array(F.lit("a"), F.lit("b"), F.lit("c"))).otherwise(F.col("options")))
+
+
+@query(f"WITH {_UNSURE} SELECT count(*)::BIGINT AS n, round(avg((len(options) = 2)::INT::DOUBLE), 6) AS binary_share, round(avg((list_max(target) < 1 - 1e-6)::INT::DOUBLE), 6) AS soft_share, round(avg(-list_sum(list_transform(target, lambda t: CASE WHEN t > 0 THEN t * log2(t) ELSE 0 END))), 6) AS entropy_bits, round(avg(list_max(target)), 6) AS top_mass, max(least(len(options), 27))::BIGINT AS most_options FROM unsure")
 def diversity_report(spark: SparkSession, d: str) -> DataFrame:
-    out = report.diversity(labelled(spark, d).withColumn("soft", ar.is_soft(F.col("target"))))
-    return out.withColumn("entropy_bits", F.round(F.abs("entropy_bits"), 6))
+    out = report.diversity(unsure(spark, d).withColumn("soft", ar.is_soft(F.col("target"))))
+    return r6(out, "binary_share", "soft_share", "entropy_bits", "top_mass")
+
+
+@query(f"""WITH {_UNSURE}, v AS (SELECT unnest([['dataset', dataset], ['language', language], ['kind', kind], ['options', least(len(options), 27)::VARCHAR], ['source', source]]) AS x FROM unsure),
+c AS (SELECT * FROM (SELECT x[1] AS field, x[2] AS value, count(*) AS n FROM v GROUP BY 1, 2) QUALIFY field <> 'source' OR row_number() OVER (PARTITION BY field ORDER BY n DESC, value) <= 10)
+SELECT field, value, n::BIGINT AS n, round(n / (SELECT count(*) FROM unsure), 6) AS share FROM c""")
+def diversity_shares(spark: SparkSession, d: str) -> DataFrame:
+    return r6(report.diversity_shares(unsure(spark, d), ["dataset", "language", "kind"]), "share")
 
 
 @query("WITH per AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source), t AS (SELECT sum(n) AS total FROM per) SELECT round(exp(-sum(n / total * ln(n / total))), 6) AS effective_sources, round(max(n) / any_value(total), 6) AS top1_share, round((SELECT sum(n) FROM (SELECT n FROM per ORDER BY n DESC LIMIT 10)) / any_value(total), 6) AS top10_share, count(*) FILTER (WHERE n >= 1000)::BIGINT AS sources_over_1000, count(*)::BIGINT AS sources FROM per, t")
