@@ -120,19 +120,21 @@ def mixture_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Documents whose source ends in an even character as candidates, the benchmark and the other documents as training."""
+    """Documents whose source ends in an even character as candidates, the benchmark and the other documents as training; one source is in both."""
     docs = documents_as_train(spark, d)
     even = F.ascii(F.right("source", F.lit(1))) % 2 == 0
     long = F.length("state") > 1500
     options = F.when(F.col("source") == "src4", F.array(F.lit("seen"), F.lit("both"))).when(F.col("source") == "src6", F.array(F.concat(F.lit("item "), F.col("id").cast("string")), F.lit("x"))).otherwise(F.array(F.concat("source", F.when(long, " long").otherwise(" short")), F.lit("other")))
     rows = docs.select(F.col("id").cast("string").alias("id"), F.lit("set").alias("dataset"), "source", F.lit("validation").alias("split"), F.when(F.col("source") == "src8", "cc-by-nc-4.0").otherwise("mit").alias("license"), F.lit("choice").alias("kind"), "state", F.lit("which?").alias("question"), options.alias("options"), F.array(F.lit(1.0), F.lit(0.0)).alias("target"), F.lit(None).cast("array<double>").alias("option_values"))
-    trained = rows.where(~even).select("source", "state", F.array(F.lit("Seen"), F.lit(" both ")).alias("options")).union(read(spark, d, "benchmark").select(F.lit("benchmark").alias("source"), F.col("text").alias("state"), F.array(F.lit("a"), F.lit("b")).alias("options")))
+    trained = rows.where(~even | (F.col("source") == "src2")).select("source", "state", F.array(F.lit("Seen"), F.lit(" both ")).alias("options")).union(read(spark, d, "benchmark").select(F.lit("benchmark").alias("source"), F.col("text").alias("state"), F.array(F.lit("a"), F.lit("b")).alias("options")))
     return rows.where(even), trained
 
 
+#: Rows of a source before the costly pass: under what most sources have.
+_PER_SOURCE = 24
 _EXTRA = (
-    f"docs AS (SELECT doc_id AS id, source AS src, text, {_NORM.format('text')} AS norm, ascii(right(source, 1)) % 2 = 0 AS even FROM documents), tr0 AS (SELECT norm FROM docs WHERE NOT even UNION SELECT {_NORM.format('text')} FROM benchmark), tr1 AS (SELECT row_number() OVER (ORDER BY norm) AS id, 'b' AS src, norm FROM tr0),"
-    "ca AS (SELECT * FROM docs WHERE even AND src <> 'src8' AND length(text) <= 2600),"
+    f"docs AS (SELECT doc_id AS id, source AS src, text, {_NORM.format('text')} AS norm, ascii(right(source, 1)) % 2 = 0 AS even FROM documents), tr0 AS (SELECT norm FROM docs WHERE NOT even OR src = 'src2' UNION SELECT {_NORM.format('text')} FROM benchmark), tr1 AS (SELECT row_number() OVER (ORDER BY norm) AS id, 'b' AS src, norm FROM tr0),"
+    f"ca AS (SELECT * FROM docs WHERE even AND src NOT IN ('src2', 'src8') AND length(text) <= 2600 QUALIFY row_number() OVER (PARTITION BY src ORDER BY {u_sql('id', 0)}, id::VARCHAR) <= {_PER_SOURCE}),"
     + PRINTS.format("tr1") + "," + PRINTS.format("ca") + """,
 fresh AS (SELECT * FROM ca WHERE norm NOT IN (SELECT norm FROM tr1)), own AS (SELECT g.id, g.fp, f.norm FROM grams_ca g JOIN fresh f USING (id)),
 rare AS (SELECT fp FROM own GROUP BY fp HAVING count(DISTINCT norm) <= 3), shared AS (SELECT fp FROM rare WHERE fp IN (SELECT fp FROM grams_tr1)),
@@ -147,7 +149,7 @@ sources AS (SELECT src AS source, n_rows, rep, seen, overlap, CASE WHEN n_rows <
 
 
 def _extra(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    s = extra_eval.Settings(min_eval=8, per_source=1 << 30, max_chars=2600, min_repeat=5, hex_prints=True)
+    s = extra_eval.Settings(min_eval=8, per_source=_PER_SOURCE, max_chars=2600, min_repeat=5, hex_prints=True)
     return extra_eval.build(*_candidates(spark, d), s)
 
 
@@ -162,7 +164,7 @@ def extra_eval_rows(spark: SparkSession, d: str) -> DataFrame:
     return _extra(spark, d)["rows"].select("id", "source")
 
 
-@query(f"WITH {_EXTRA} SELECT reason, count(*)::BIGINT AS n FROM (SELECT leak AS reason FROM leaks WHERE leak IS NOT NULL UNION ALL SELECT CASE WHEN src = 'src8' THEN 'licence:non_commercial' ELSE 'invalid_or_too_long' END FROM docs WHERE even AND (src = 'src8' OR length(text) > 2600)) GROUP BY reason")
+@query(f"WITH {_EXTRA} SELECT reason, count(*)::BIGINT AS n FROM (SELECT leak AS reason FROM leaks WHERE leak IS NOT NULL UNION ALL SELECT CASE src WHEN 'src8' THEN 'licence:non_commercial' WHEN 'src2' THEN 'source_in_training_mixture' ELSE 'invalid_or_too_long' END FROM docs WHERE even AND (src IN ('src2', 'src8') OR length(text) > 2600)) GROUP BY reason")
 def extra_eval_drops(spark: SparkSession, d: str) -> DataFrame:
     return _extra(spark, d)["drops"]
 
