@@ -73,12 +73,17 @@ def familiar(candidates: DataFrame, trained: DataFrame) -> DataFrame:
     return candidates.join(found, "name", "left")
 
 
-def audit_names(sources: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(source, reasons): policy prefixes (a short given list) whose core stands in the source's token or has it, and task families."""
-    p = prefixes.select("prefix", F.regexp_replace(tx.name_norm(F.col("prefix")), r"^(dfm\d+|dfm_?\d*)_?", "").alias("core")).where("length(core) >= 4")
+def _cores(prefixes: DataFrame, lead: str | None) -> DataFrame:
+    """(prefix, core): normal names without what the pattern lead matches at their start, of four characters at least."""
+    name = tx.name_norm(F.col("prefix"))
+    return prefixes.select("prefix", (F.regexp_replace(name, f"^(?:{lead})", "") if lead else name).alias("core")).where("length(core) >= 4")
+
+
+def audit_names(sources: DataFrame, prefixes: DataFrame, lead: str | None = None) -> DataFrame:
+    """(source, reasons): policy prefixes (a short given list) whose core stands in the source's token or has it, and task families by name; ``policy_overlap`` has the policy's further rules."""
     s = sources.select("source", tx.task_token(F.col("source")).alias("token"))
     hit = F.contains("token", "core") | ((F.length("token") >= 4) & F.contains("core", "token"))
-    named = s.join(F.broadcast(p), hit).select("source", F.concat(F.lit("name:"), "prefix").alias("reason"))
+    named = s.join(F.broadcast(_cores(prefixes, lead)), hit).select("source", F.concat(F.lit("name:"), "prefix").alias("reason"))
     tasks = F.filter(F.array(*map(F.lit, FAMILY_TASKS)), lambda t: (F.col("token") == t) | F.startswith(F.col("token"), F.concat(t, F.lit("_"))) | F.endswith(F.col("token"), F.concat(F.lit("_"), t)))
     families = s.select("source", F.explode(tasks).alias("t")).select("source", F.concat(F.lit("family:"), "t").alias("reason"))
     return named.union(families).groupBy("source").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
@@ -90,17 +95,24 @@ def derive(train: DataFrame, validation: DataFrame, heldout: DataFrame, sources:
     return train.where(~out), validation.where(~out), heldout.unionByName(validation.where(out), allowMissingColumns=True)
 
 
-def policy_overlap(sources: DataFrame, prefixes: list[str], collections: dict[str, list[str]] | None = None, families: list[str] | None = None, hub: str | None = None, hub_prefix: str | None = None) -> DataFrame:
+#: Prefixes are held against every source, by a broadcast of them: so many at most.
+MOST_PREFIXES = 5000
+
+
+def policy_overlap(sources: DataFrame, prefixes: list[str], collections: dict[str, list[str]] | None = None, families: list[str] | None = None, hub: str | None = None, hub_prefix: str | None = None, lead: str | None = None) -> DataFrame:
     """(source, reasons) of the sources (source, dataset) that a policy's prefixes cover.
 
-    name: a prefix's core in the source's token, or the other way round. collection: a prefix named for the source's
+    name: a prefix's core in the source's token, or the other way round; a core is a prefix's normal name without what the
+    pattern ``lead`` matches at its start, of four characters at least. collection: a prefix named for the source's
     dataset. family: for a source of a well-known task, the first two family prefixes of the policy. alias: a source
     without any of these whose collection or dataset is a path component of a source of the hub, a collection that
     repackages others. The policy's lists are configuration of a few hundred entries.
     """
     s = sources.select("source", "dataset", tx.task_token(F.col("source")).alias("token"))
+    if len(prefixes) > MOST_PREFIXES:
+        raise ValueError(f"a policy has {len(prefixes)} prefixes; each is held against every source, so {MOST_PREFIXES} are the most")
     cores = sources.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string")
-    cores = cores.select("prefix", F.regexp_replace(tx.name_norm(F.col("prefix")), r"^(dfm\d+|dfm_?\d*)_?", "").alias("core")).where("length(core) >= 4")
+    cores = _cores(cores, lead)
     hit = F.contains("token", "core") | ((F.length("token") >= 4) & F.contains("core", "token"))
     found = s.join(F.broadcast(cores), hit).select("source", F.concat(F.lit("name:"), "prefix").alias("reason"))
     given = [(c, p) for c, some in (collections or {}).items() for p in some if p in prefixes]

@@ -169,10 +169,10 @@ def extra_eval_drops(spark: SparkSession, d: str) -> DataFrame:
     return _extra(spark, d)["drops"]
 
 
-_POLICY = ["flan__", "dfm11_click_log", "web__view", "posttrain_signup_flow", "hub__", "lists__a"]
+_POLICY = ["flan__", "web7_click_log", "web__view", "posttrain_signup_flow", "hub__", "lists__a"]
 _AUDITED = f"""s AS (SELECT DISTINCT 'c/' || event_type AS source, 'c' AS dataset FROM events UNION SELECT 'hub/' || lower(r_name) || '/en', 'hub' FROM region UNION SELECT 'hub/sst_two', 'hub' UNION SELECT lower(r_name) || '/x' || r_regionkey, 'names' FROM region UNION SELECT 'lists/' || n_nationkey, 'lists' FROM nation),
 tok AS (SELECT *, trim(regexp_replace(lower(regexp_replace(source, '^[^/]*/', '')), '[^a-z0-9]+', '_', 'g'), '_') AS token FROM s),
-p AS (SELECT prefix, regexp_replace(trim(regexp_replace(lower(prefix), '[^a-z0-9]+', '_', 'g'), '_'), '^(dfm\\d+|dfm_?\\d*)_?', '') AS core FROM (SELECT unnest({_POLICY}) AS prefix)),
+p AS (SELECT prefix, regexp_replace(trim(regexp_replace(lower(prefix), '[^a-z0-9]+', '_', 'g'), '_'), '^web\\d*_', '') AS core FROM (SELECT unnest({_POLICY}) AS prefix)),
 r AS (SELECT source, 'name:' || prefix AS reason FROM tok JOIN p ON length(core) >= 4 AND (contains(token, core) OR (length(token) >= 4 AND contains(core, token))) UNION SELECT source, 'collection:lists__a' FROM s WHERE dataset = 'lists'
  UNION SELECT source, unnest(['family:flan__', 'family:hub__']) FROM tok WHERE EXISTS (SELECT 1 FROM (SELECT unnest({list(novelty.FAMILY_TASKS)}) AS t) WHERE token = t OR starts_with(token, t || '_') OR ends_with(token, '_' || t))),
 parts AS (SELECT DISTINCT trim(regexp_replace(lower(part), '[^a-z0-9]+', '_', 'g'), '_') AS part FROM (SELECT unnest(string_split(source, '/')[2:]) AS part FROM s WHERE dataset = 'hub')),
@@ -187,7 +187,7 @@ def _audited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = events.select(F.concat(F.lit("c/"), "event_type").alias("source"), F.lit("c").alias("dataset")).distinct()
     s = s.union(region.select(F.concat(F.lit("hub/"), name, F.lit("/en")), F.lit("hub"))).union(spark.createDataFrame([("hub/sst_two", "hub")], "source string, dataset string"))
     s = s.union(region.select(F.concat(name, F.lit("/x"), F.col("r_regionkey").cast("string")), F.lit("names"))).union(nation.select(F.concat(F.lit("lists/"), F.col("n_nationkey").cast("string")), F.lit("lists")))
-    return s, novelty.policy_overlap(s, _POLICY, {"lists": ["lists__a", "lists__b"], "other": ["web__view"]}, ["flan__", "absent__", "hub__", "web__view"], "hub", "hub__")
+    return s, novelty.policy_overlap(s, _POLICY, {"lists": ["lists__a", "lists__b"], "other": ["web__view"]}, ["flan__", "absent__", "hub__", "web__view"], "hub", "hub__", r"web\d*_")
 
 
 @query(f"WITH {_AUDITED} SELECT source, reasons FROM matches")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import variants
-from ..operators import converters, engine, score, steps
-from .relations import read
+from ..operators import converters, engine, evaluation, sampling, score, steps
+from .q_eval import fit_sql
+from .relations import EMBEDDED, embedded, read, u_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -118,3 +119,37 @@ def ema_by_type(spark: SparkSession, d: str) -> DataFrame:
     """The running average of each event type's values, by compositions of affine maps."""
     e = read(spark, d, "events").select("event_type", F.col("event_id").alias("step"), "value")
     return steps.ema(e, "event_type", "step", "value", 0.99).withColumn("ema", F.round("ema", 6))
+
+
+def _chain(spark: SparkSession, d: str) -> tuple[dict, DataFrame]:
+    """Two runs over embeddings as choices, one calibrated on half of the rows; labels are sources."""
+    rows = embedded(spark, d).select(F.col("id").cast("string").alias("id"), "kind", "logits", "target", F.concat(F.lit("s"), F.col("label").cast("string")).alias("source"), F.lit("und").alias("language"))
+    half = sampling.split_by(F.col("id"), 0.5, 3)
+    calib, rest = (rows.where(c).withColumn("split", F.lit("validation")) for c in (half, ~half))
+    fitted = evaluation.calibrate(calib)
+    lost = rest.withColumn("logits", F.when(F.col("id").cast("long") % 10 > 0, F.col("logits")))
+    return {"plain": evaluation.evaluate(rest), "calibrated": evaluation.evaluate(rest, fitted.temperatures), "lossy": evaluation.evaluate(lost)}, rows
+
+
+def _side(name: str, rows: str, t: str) -> str:
+    return f"""{name}_p AS (SELECT e.*, list_transform(logits, lambda x: exp((x - list_max(logits)) / {t})) AS ex FROM {rows} e), {name}_q AS (SELECT *, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM {name}_p),
+{name}_m AS (SELECT source, kind, list_max(p) AS conf, (target[list_position(p, list_max(p))] >= list_max(target) - 1e-9)::INT::DOUBLE AS ok, -ln(least(greatest(list_inner_product(p, target), 1e-12), 1.0)) AS nll, list_sum(list_transform(range(1, len(p) + 1), lambda i: (p[i] - target[i]) * (p[i] - target[i]))) AS brier, greatest(1, ceil(list_max(p) * 15)) AS bin FROM {name}_q),
+{name}_g AS (SELECT part, value, sum(n)::BIGINT AS n, sum(ok) / sum(n) AS acc, sum(nll) / sum(n) AS nll, sum(brier) / sum(n) AS brier, sum(conf) / sum(n) AS mean_conf, sum(abs(conf - ok)) / sum(n) AS ece FROM (
+  SELECT part, value, bin, count(*) AS n, sum(ok) AS ok, sum(nll) AS nll, sum(brier) AS brier, sum(conf) AS conf FROM (SELECT unnest([['all', 'all'], ['kind', kind], ['source', source]]) AS x, x[1] AS part, x[2] AS value, * FROM {name}_m) GROUP BY part, value, bin) GROUP BY part, value),
+{name}_r AS (SELECT part, value, n, acc, nll, brier, mean_conf, ece FROM {name}_g WHERE part <> 'source' OR value IN ('s1', 's4') UNION ALL
+  SELECT k, '', sum(n)::BIGINT, sum(n * acc) / sum(n), sum(n * nll) / sum(n), sum(n * brier) / sum(n), sum(n * mean_conf) / sum(n), NULL FROM (SELECT unnest(CASE WHEN value IN ('s1', 's4') THEN ['selected', CASE WHEN value = 's4' THEN 'seen' ELSE 'not_flagged' END] ELSE ['not_flagged'] END) AS k, * FROM {name}_g WHERE part = 'source') GROUP BY k)"""
+
+
+_COMPARED = f"""WITH {EMBEDDED}, everything AS (SELECT *, 's' || label AS source, {u_sql('id', 3)} < 0.5 AS calib FROM embedded), rest AS (SELECT * FROM everything WHERE NOT calib), fewer AS (SELECT * FROM rest WHERE id % 10 > 0),
+{fit_sql('(SELECT * FROM everything WHERE calib)')}, {_side('a', 'rest', '1.0::DOUBLE')}, warm AS (SELECT rest.*, t FROM rest JOIN range3 USING (kind)), {_side('b', 'warm', 'e.t')}, {_side('c', 'fewer', '1.0::DOUBLE')},
+u AS (SELECT 'plain' AS run, * FROM a_r UNION ALL SELECT 'calibrated', * FROM b_r UNION ALL SELECT 'lossy', * FROM c_r)"""
+
+
+@query(f"""{_COMPARED} SELECT u.part, u.value, u.run, u.n, round(u.acc, 6) AS acc, round(u.nll, 4) AS nll, round(u.brier, 4) AS brier, round(u.mean_conf, 4) AS mean_conf, round(u.ece, 4) AS ece, CASE WHEN u.run <> 'plain' THEN round(100 * (u.acc - a_r.acc), 4) END AS gain
+FROM u LEFT JOIN a_r ON a_r.part = u.part AND a_r.value = u.value""")
+def runs_compared(spark: SparkSession, d: str) -> DataFrame:
+    """Calibrate, evaluate, compare: three runs by group, over selected sources and by what an audit lists."""
+    runs, rows = _chain(spark, d)
+    names = rows.select("source").distinct()
+    out = evaluation.compare(runs, "plain", names.where("source in ('s1', 's4')"), names.where("source = 's4'"))
+    return out.select("part", "value", "run", "n", F.round("acc", 6).alias("acc"), *(F.round(c, 4).alias(c) for c in ("nll", "brier", "mean_conf", "ece", "gain")))

@@ -9,7 +9,7 @@ from ..functions import arrays as ar
 from ..functions import text as tx
 from ..operators import guard, metrics, novelty, render, report, sampling
 from .q_data import GUARD, QUERIES as _DATA, benchmark_as_eval, documents_as_train, flagged
-from .relations import LABELLED, MEASURED, ORDERED, PREDICTED, labelled, ordered, predicted, read, u_sql
+from .relations import EMBEDDED, LABELLED, MEASURED, ORDERED, PREDICTED, labelled, ordered, predicted, read, u_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,10 +92,23 @@ def temperature_grid(spark: SparkSession, d: str) -> DataFrame:
     return r6(metrics.temperature_grid(predicted(spark, d), grid=_GRID), "nll")
 
 
-@query()
+def fit_sql(rows: str = "embedded", rounds: int = 3) -> str:
+    """Common tables range{i} (kind, low, high, t): the best of 25 temperatures between low and high, and the next round's range around it."""
+    out = [f"range0 AS (SELECT DISTINCT kind, 0.05::DOUBLE AS low, 20.0::DOUBLE AS high, NULL::DOUBLE AS t FROM {rows})"]
+    for i in range(rounds):
+        out.append(f"""probe{i} AS (SELECT r.kind, r.low, r.high, r.low * pow(r.high / r.low, k / 24.0::DOUBLE) AS t FROM range{i} r, unnest(range(0, 25)) AS u(k)),
+exps{i} AS (SELECT p.*, e.target, list_transform(e.logits, lambda x: exp((x - list_max(e.logits)) / p.t)) AS ex FROM probe{i} p JOIN {rows} e USING (kind)),
+nll{i} AS (SELECT kind, low, high, t, avg(-ln(least(greatest(list_inner_product(ex, target) / list_sum(ex), 1e-12), 1.0))) AS nll FROM exps{i} GROUP BY ALL),
+best{i} AS (SELECT kind, any_value(low) AS low, any_value(high) AS high, arg_min(t, nll) AS t FROM nll{i} GROUP BY kind),
+range{i + 1} AS (SELECT kind, greatest(0.05, t / pow(high / low, 1 / 24.0::DOUBLE)) AS low, least(20.0, t * pow(high / low, 1 / 24.0::DOUBLE)) AS high, t FROM best{i})""")
+    return ",\n".join(out)
+
+
+@query(f"WITH {EMBEDDED}, {fit_sql()} SELECT kind, round(t, 6) AS temperature FROM range3 UNION ALL SELECT 'noul', 1.0::DOUBLE")
 def fitted_temperature(spark: SparkSession, d: str) -> DataFrame:
     fitted = metrics.fit_temperatures(predicted(spark, d).select("kind", "logits", "target"), ["choice", "noul"])
-    return spark.createDataFrame(sorted(fitted.items()), "kind string, temperature double")
+    return r6(spark.createDataFrame(sorted(fitted.items()), "kind string, temperature double"), "temperature")
+
 
 
 _REFERENCE = "round(avg((list_position(q, list_max(q)) = list_position(target, list_max(target)))::INT::DOUBLE), 6) AS acc, round(avg(list_sum(list_transform(range(1, 6), lambda i: (q[i] - target[i]) * (q[i] - target[i])))), 6) AS brier, round(avg(-ln(greatest(q[level + 1], 1e-12))), 6) AS kl, count(*)::BIGINT AS n"
@@ -195,16 +208,16 @@ def familiar_name_theta(spark: SparkSession, d: str) -> DataFrame:
     return novelty.familiar(cand, trained)
 
 
-_PREFIXES = ["flan__", "dfm11_click_log", "web__view", "posttrain_signup_flow"]
+_PREFIXES = ["flan__", "web7_click_log", "web__view", "posttrain_signup_flow"]
 
 
 @query(f"""WITH s AS (SELECT DISTINCT 'c/' || event_type AS source FROM events UNION SELECT 'c/sst_two' UNION SELECT 'plain'), tok AS (SELECT source, trim(regexp_replace(lower(CASE WHEN contains(source, '/') THEN regexp_replace(source, '^[^/]*/', '') ELSE source END), '[^a-z0-9]+', '_', 'g'), '_') AS token FROM s),
-p AS (SELECT prefix, regexp_replace(trim(regexp_replace(lower(prefix), '[^a-z0-9]+', '_', 'g'), '_'), '^(dfm\\d+|dfm_?\\d*)_?', '') AS core FROM (SELECT unnest({_PREFIXES}) AS prefix)),
+p AS (SELECT prefix, regexp_replace(trim(regexp_replace(lower(prefix), '[^a-z0-9]+', '_', 'g'), '_'), '^web\\d*_', '') AS core FROM (SELECT unnest({_PREFIXES}) AS prefix)),
 r AS (SELECT source, 'name:' || prefix AS reason FROM tok JOIN p ON length(core) >= 4 AND (contains(token, core) OR (length(token) >= 4 AND contains(core, token))) UNION SELECT source, 'family:' || t FROM tok, (SELECT unnest({list(novelty.FAMILY_TASKS)}) AS t) WHERE token = t OR starts_with(token, t || '_') OR ends_with(token, '_' || t))
 SELECT source, string_agg(reason, ',' ORDER BY reason) AS reasons FROM r GROUP BY source""")
 def name_overlap_audit(spark: SparkSession, d: str) -> DataFrame:
     sources = read(spark, d, "events").select(F.concat(F.lit("c/"), "event_type").alias("source")).distinct().union(spark.createDataFrame([("c/sst_two",), ("plain",)], "source string"))
-    out = novelty.audit_names(sources, spark.createDataFrame([(p,) for p in _PREFIXES], "prefix string"))
+    out = novelty.audit_names(sources, spark.createDataFrame([(p,) for p in _PREFIXES], "prefix string"), r"web\d*_")
     return out.select("source", F.array_join("reasons", ",").alias("reasons"))
 
 
