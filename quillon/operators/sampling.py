@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .ranks import ordinal
 
 
 def first_n(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
@@ -113,5 +114,5 @@ def length_batches(df: DataFrame, identity: str, size: Column, batch: int, seed:
     df = df.withColumn("r_", F.row_number().over(Window.partitionBy("chunk_").orderBy("size_", identity)) - 1)
     df = df.withColumn("batch_", F.floor(F.col("r_") / batch)).withColumn("place", (F.col("r_") % batch).cast("long"))
     heads = df.select("chunk_", "batch_").distinct().withColumn("h_", tx.uniform(F.concat_ws(":", "chunk_", "batch_"), seed + 1))
-    heads = heads.withColumn("batch_order", (F.row_number().over(Window.orderBy("h_", "chunk_", "batch_")) - 1).cast("long"))
+    heads = ordinal(heads, "batch_order", "h_", "chunk_", "batch_").withColumn("batch_order", (F.col("batch_order") - 1).cast("long"))
     return df.join(heads, ["chunk_", "batch_"]).where(F.col("batch_order") >= skip).drop("chunk_", "batch_", "size_", "r_", "h_")

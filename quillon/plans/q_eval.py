@@ -345,9 +345,14 @@ def negatives_offsets(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.size("options").cast("long").alias("k"), F.round("offset", 6).alias("offset"))
 
 
-@query()
+@query(f"""WITH {LABELLED}, l AS (SELECT id, length(trim(state)) AS st, length(trim(question)) AS q, 19 AS pre, 11 AS post FROM labelled), b AS (SELECT *, 256 - 8 - (pre + q + post) - 7 AS budget FROM l),
+c AS (SELECT *, CASE WHEN st <= budget THEN st ELSE greatest(budget - 5, 2) + 5 END AS cut FROM b), f AS (SELECT *, 8 + cut + pre + q + post AS front FROM c)
+SELECT id, 'ok' AS status, front + 7 AS n, front AS yes_start, front + 3 AS yes_end, front + 4 AS no_start, front + 6 AS no_end, 8 + cut + pre AS q_start, 8 + cut + pre + q AS q_end FROM f""")
 def rendered_spans(spark: SparkSession, d: str) -> DataFrame:
-    return render.render(labelled(spark, d), "clef", max_len=256).select("id", "status", F.size("input_ids").alias("n"), "spans", "qspan")
+    """Whole states in prompts of 256 ids at most, cut in the middle, and where the options and the question stand."""
+    out = render.render(labelled(spark, d), "clef", max_len=256)
+    at = lambda i, side: F.get("spans", F.lit(i))[side].cast("long")
+    return out.select("id", "status", F.size("input_ids").cast("long").alias("n"), at(0, "start").alias("yes_start"), at(0, "end").alias("yes_end"), at(1, "start").alias("no_start"), at(1, "end").alias("no_end"), F.col("qspan.start").cast("long").alias("q_start"), F.col("qspan.end").cast("long").alias("q_end"))
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n FROM events WHERE event_type NOT IN ('error') GROUP BY event_type")
