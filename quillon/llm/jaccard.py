@@ -7,7 +7,8 @@ segments; at a similarity of t two sets differ in at most D hashes, so
 
 * exact allocation: at least m - D segments are equal. In one order of all keys, from rare to frequent, the rarest key
   that both have is among the D + 1 rarest of either, so a set gives only those D + 1 of its m keys. Frequent keys
-  (segments that a large group shares, or empty ones) come last and mostly stay out;
+  (segments that a large group shares, or empty ones) come last and mostly stay out; of equally rare ones the segments
+  of most hashes come first, as unrelated texts share those of one hash by chance, the more often the more texts there are;
 * one-deletion allocation: with m = D / 2 + 1 segments one differs by a hash at most, so the segments' hashes and those
   of their one-deletion neighbourhoods meet.
 
@@ -30,6 +31,8 @@ Pairs of classes that share a key are verified without meeting all pairs of a la
 A sketch has for each of B hash buckets whether an odd number of hashes lies there; two sets differ in at least as many
 hashes as their sketches differ in bits, so a pair whose sketches differ in more than D bits isn't linked. All other
 pairs are compared exactly on whole sets, which travel once to each block of pairs; a large group is dealt over several.
+Sketches come from the pass that gives keys; whole sets (8 bytes a shingle) are made from one copy's text, and only of the
+classes of pairs that sketches leave and of large groups.
 
 Defined cases: a null text or one without words has no set, n_shingles 0 and links to nothing; fewer words than a
 shingle are one shingle together; repeated rows are one class; documents without an id are left out of components' names
@@ -151,10 +154,13 @@ class Sketch:
         return (self.at(bits) ^ other.at(bits)).bit_count()
 
 
+def segment_of(s: np.ndarray, segments: int) -> np.ndarray:
+    return (((s * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(35)) % np.uint64(segments)).astype(np.int64)
+
+
 def keys(s: np.ndarray, b: int, segments: int, deletions: bool) -> np.ndarray:
     """The keys of a set's segments in a scheme and, with deletions, of all they leave without one hash."""
-    at = ((s * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(35)) % np.uint64(segments)
-    at = at.astype(np.int64)
+    at = segment_of(s, segments)
     own = mixed(s ^ np.uint64(0x5851F42D4C957F2D))
     sums = np.zeros(segments, np.uint64)
     np.add.at(sums, at, own)
@@ -184,7 +190,8 @@ class Plan:
                 if len(self.frequent):
                     i = np.minimum(np.searchsorted(self.frequent, k), len(self.frequent) - 1)
                     seen = np.where(self.frequent[i] == k, self.counts[i], 0)
-                k = k[np.lexsort((k, seen))[: d + 1]]
+                hashes = np.bincount(segment_of(s, len(k)), minlength=len(k))  # equal for equal keys, so all sets have one order
+                k = k[np.lexsort((k, -hashes, seen))[: d + 1]]
             out.append(k)
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
@@ -196,10 +203,10 @@ def schema(**kinds: T.DataType) -> T.StructType:
 _LONG, _BYTES = T.LongType(), T.BinaryType()
 _TRIED = schema(b=T.IntegerType(), thin=T.BooleanType(), key=_LONG, cid=_LONG)
 _GIVEN = schema(bucket=_LONG, pairs=_BYTES, sizes=_BYTES, members=_BYTES)
-#: A class under a key (key, cid, size, n: how many classes have the key), or without a key a document (cid, size, doc_id, place).
-_FOUND = schema(key=_LONG, cid=_LONG, size=_LONG, n=_LONG, doc_id=_LONG, place=_LONG)
+#: A class under a key (key, cid, size, n: how many classes have the key), or without a key a document (cid, size, doc_id, place, and for one of its class in a batch the sketch).
+_FOUND = schema(key=_LONG, cid=_LONG, size=_LONG, n=_LONG, doc_id=_LONG, place=_LONG, sketch=_BYTES)
 _PACK = schema(shard=_LONG, pack=_BYTES)
-_SET = schema(cid=_LONG, sketch=_BYTES, hashes=_BYTES)
+_SET = schema(cid=_LONG, hashes=_BYTES)
 _LINK = schema(a=_LONG, b=_LONG)
 _NEAR = schema(bucket=_LONG, pack=_BYTES)
 _MET = schema(group=_LONG, a=_LONG, b=_LONG, size=_LONG)
@@ -269,6 +276,7 @@ def _given(shared, buckets: int, total: int, sample_rows: int):
         for b in batches:
             cids: list[int | None] = []
             shingles: list[int] = []
+            sketches: list[bytes | None] = []
             parts: dict[int, np.ndarray] = {}
             sizes = {}
             for k in range(0, b.num_rows, ROWS):
@@ -276,7 +284,9 @@ def _given(shared, buckets: int, total: int, sample_rows: int):
                     c = class_of(s) if len(s) else None
                     cids.append(c)
                     shingles.append(len(s))
-                    if c is not None and c not in parts:
+                    new = c is not None and c not in parts
+                    sketches.append(sketch(s) if new else None)
+                    if new:
                         parts[c], sizes[c] = plan.chosen(s), len(s)
             out = []
             if parts:
@@ -289,7 +299,7 @@ def _given(shared, buckets: int, total: int, sample_rows: int):
                     salt = np.where(plan.frequent[i] == pairs["a"], salts[i], np.uint64(1))
                     bucket = np.where(salt > 1, mixed(pairs["a"] ^ mixed(pairs["b"] % salt)) % np.uint64(buckets), bucket)
                 out = [(int(bucket[p[0]]), pairs[p].tobytes(), size[p].astype("<u4").tobytes(), None) for p in _parts(bucket)]
-            members = pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(shingles, pa.int64()), b.column(0), b.column(1)], names=["cid", "size", "doc_id", "place"])
+            members = pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(shingles, pa.int64()), b.column(0), b.column(1), pa.array(sketches, pa.binary())], names=["cid", "size", "doc_id", "place", "sketch"])
             if b.num_rows:
                 out.append((b.column(1)[0].as_py() % buckets, None, None, _stream(members)))
             release()
@@ -304,12 +314,12 @@ def _shared_keys(shared, total: int, sample_rows: int):
     def run(t: pa.Table) -> pa.Table:
         release()
         plan = shared.value
-        kinds = dict(zip(_FOUND.names, [pa.int64()] * len(_FOUND), strict=True))
+        kinds = dict(zip(_FOUND.names, [*[pa.int64()] * (len(_FOUND) - 1), pa.binary()], strict=True))
         out = [pa.table({k: pa.array([], v) for k, v in kinds.items()})]
         for raw in t["members"].drop_null():
             m = _streamed(raw)
             none = pa.nulls(m.num_rows, pa.int64())
-            out.append(pa.table({"key": none, "cid": m["cid"], "size": m["size"], "n": none, "doc_id": m["doc_id"], "place": m["place"]}))
+            out.append(pa.table({"key": none, "cid": m["cid"], "size": m["size"], "n": none, "doc_id": m["doc_id"], "place": m["place"], "sketch": m["sketch"]}))
         raw = t["pairs"].drop_null().to_pylist()
         if raw:
             pairs, size = np.concatenate([np.frombuffer(x, PAIR) for x in raw]), np.concatenate([np.frombuffer(x, "<u4") for x in t["sizes"].drop_null().to_pylist()])
@@ -325,7 +335,7 @@ def _shared_keys(shared, total: int, sample_rows: int):
                 n = np.where(plan.frequent[i] == a, np.maximum(2, plan.counts[i] * max(1, total // sample_rows)), n)  # its classes may lie in several ranges
             a, b, size, n = a[n > 1], b[n > 1], size[n > 1], n[n > 1]
             none = pa.nulls(len(a), pa.int64())
-            out.append(pa.table({"key": a.view(np.int64), "cid": b.astype(np.int64), "size": size.astype(np.int64), "n": n.astype(np.int64), "doc_id": none, "place": none}))
+            out.append(pa.table({"key": a.view(np.int64), "cid": b.astype(np.int64), "size": size.astype(np.int64), "n": n.astype(np.int64), "doc_id": none, "place": none, "sketch": pa.nulls(len(a), pa.binary())}))
         return pa.concat_tables(out)
 
     return run
@@ -353,9 +363,8 @@ def _wanted_sets(n: int):
                 t = t.filter(pa.compute.is_in(t["place"], places))
                 for s in sets_of(t["text"].cast(pa.binary()).to_pylist(), n):
                     if len(s) and (c := class_of(s)) in want:
-                        out[c] = sketch(s), s.tobytes()
-        sketches, sets = zip(*out.values(), strict=True) if out else ((), ())
-        return pa.table({"cid": pa.array(list(out), pa.int64()), "sketch": pa.array(sketches, pa.binary()), "hashes": pa.array(sets, pa.binary())})
+                        out[c] = s.tobytes()
+        return pa.table({"cid": pa.array(list(out), pa.int64()), "hashes": pa.array(list(out.values()), pa.binary())})
 
     return run
 
@@ -425,17 +434,24 @@ def _dealt(pairs: DataFrame, blocks: int) -> DataFrame:
     return dealt.withColumn("block", F.pmod(F.xxhash64("group", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))), F.lit(blocks)).cast("long")).drop("salts")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, measure: Measure, blocks: int, sifted: bool = False) -> DataFrame:
-    """Those of the distinct pairs (group, a, b, size of b) that are linked. sifted: sketches have been looked at."""
-    if not sifted:
-        dealt = written(_dealt(pairs, blocks), "jaccard-pairs")
-        asked = dealt.select(F.col("block").alias("at"), F.col("a").alias("cid")).union(dealt.select("block", "b")).distinct()
-        pairs = written(dealt.groupBy("block").cogroup(asked.join(sizes, "cid").groupBy("at")).applyInArrow(_sift(measure), _MET), "jaccard-sifted")
-        dropped(dealt)
+def _asked(dealt: DataFrame) -> DataFrame:
+    """The classes of each block's pairs."""
+    return dealt.select(F.col("block").alias("at"), F.col("a").alias("cid")).union(dealt.select("block", "b")).distinct()
+
+
+def _sifted(pairs: DataFrame, sketches: DataFrame, measure: Measure, blocks: int) -> DataFrame:
+    """Those of the distinct pairs (group, a, b, size of b) that sketches don't rule out."""
+    dealt = written(_dealt(pairs, blocks), "jaccard-pairs")
+    found = written(dealt.groupBy("block").cogroup(_asked(dealt).join(sketches, "cid").groupBy("at")).applyInArrow(_sift(measure), _MET), "jaccard-sifted")
+    dropped(dealt)
+    return found
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, measure: Measure, blocks: int) -> DataFrame:
+    """Those of the distinct pairs (group, a, b, size of b) that are linked."""
     dealt = written(_dealt(pairs, blocks).select("block", "a", "b"), "jaccard-pairs")
-    asked = dealt.select(F.col("block").alias("at"), F.col("a").alias("cid")).union(dealt.select("block", "b")).distinct()
-    links = written(dealt.groupBy("block").cogroup(asked.join(sets, "cid").select("at", "cid", "hashes").groupBy("at")).applyInArrow(_compare(measure), _LINK), "jaccard-links")
-    dropped(dealt, *([] if sifted else [pairs]))
+    links = written(dealt.groupBy("block").cogroup(_asked(dealt).join(sets, "cid").select("at", "cid", "hashes").groupBy("at")).applyInArrow(_compare(measure), _LINK), "jaccard-links")
+    dropped(dealt)
     return links
 
 
@@ -530,8 +546,7 @@ def _met_in_differences(pairs: DataFrame, sets: DataFrame, measure: Measure, blo
     dealt = _dealt(pairs, blocks).withColumn("hint", F.lit(False))
     asked_hints = dealt.select("group", "block").distinct().join(hinted, "group")
     every = written(dealt.select("block", "a", "b", "component", "hint").union(asked_hints.select("block", F.col("group"), "b", F.lit(0).cast("long"), F.lit(True))), "jaccard-pairs")
-    asked = every.select(F.col("block").alias("at"), F.col("a").alias("cid")).union(every.select("block", "b")).distinct()
-    near = written(every.groupBy("block").cogroup(asked.join(sets, "cid").select("at", "cid", "hashes").groupBy("at")).applyInArrow(_near(measure, blocks), _NEAR), "jaccard-near")
+    near = written(every.groupBy("block").cogroup(_asked(every).join(sets, "cid").select("at", "cid", "hashes").groupBy("at")).applyInArrow(_near(measure, blocks), _NEAR), "jaccard-near")
     links = near.where("bucket < 0").select("pack").mapInArrow(_links, _LINK)
     met = written(near.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet(measure), _MET), "jaccard-met")
     links = written(links, "jaccard-links")
@@ -562,15 +577,17 @@ def _classed(rows: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, s
     found = written(given.groupBy("bucket").applyInArrow(_shared_keys(shared, total, sample_rows), _FOUND), "jaccard-keys")
     entries, members = found.where("key is not null").select("key", "cid", "size", "n"), found.where("key is null").select("doc_id", "place", "cid", "size")
 
-    # The sets of classes with candidates, from one copy of each: that of the least place.
+    # Whole sets, which are large, are made from one copy of each class, that of the least place, where sketches don't do.
     copies = members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.count("*").alias("n_copies"), F.max("size").alias("size"))
     at = F.pmod(F.col("place"), F.lit(shards)).cast("long").alias("shard")
-    wanted = entries.select("cid").distinct().join(copies, "cid").select("cid", "place", at)
-    sets = placed.where("text is not null").select(at, "place", "text").mapInArrow(_pack, _PACK).groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_wanted_sets(shingle), _SET)
-    sets = written(sets, "jaccard-sets")
 
-    # Sketches with sizes, which are small beside the sets.
-    sketches = written(sets.join(copies.select("cid", "size"), "cid").select("cid", "size", "sketch"), "jaccard-sketches")
+    def sets_of_classes(cids: DataFrame) -> DataFrame:
+        wanted = cids.distinct().join(copies, "cid").select("cid", "place", at)
+        packs = placed.where("text is not null").select(at, "place", "text").mapInArrow(_pack, _PACK)
+        return written(packs.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_wanted_sets(shingle), _SET), "jaccard-sets")
+
+    sketches = found.where("sketch is not null").select("cid", "size", "sketch").join(entries.select("cid").distinct(), "cid", "left_semi")
+    sketches = written(sketches.dropDuplicates(["cid"]), "jaccard-sketches")
 
     # 1: each class with the most connected class of a key, that of the most keys.
     degree = entries.groupBy("cid").agg(F.sum("n").alias("degree"))
@@ -578,7 +595,10 @@ def _classed(rows: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, s
     pivoted = written(entries.join(pivots, "key").select("key", "cid", "size", "pivot"), "jaccard-pivots")
     tried = pivoted.where("cid <> pivot").groupBy("cid", "pivot").agg(F.count("*").alias("keys"), F.max("size").alias("size"))
     tried = tried.groupBy("cid").agg(F.max_by(F.struct("pivot", "size"), F.struct("keys", "pivot")).alias("m"))
-    first = _compared(tried.select(F.col("m.pivot").alias("group"), F.col("m.pivot").alias("a"), F.col("cid").alias("b"), F.col("m.size").alias("size")), sets, sketches, measure, shards)
+    pairs = _sifted(tried.select(F.col("m.pivot").alias("group"), F.col("m.pivot").alias("a"), F.col("cid").alias("b"), F.col("m.size").alias("size")), sketches, measure, shards)
+    sets = sets_of_classes(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")))
+    first = _compared(pairs, sets, measure, shards)
+    dropped(pairs, sets)
     joined = components(first)
 
     # 2 and 3: what lies in different components under one key, by pivot.
@@ -591,9 +611,10 @@ def _classed(rows: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, s
     few, many = groups.join(large, "group", "left_anti"), groups.join(large, "group").where("group <> b")
     near = few.join(sketches.select(F.col("cid").alias("b"), "sketch"), "b").withColumn("block", F.pmod(F.xxhash64("group"), F.lit(shards)))
     near = written(near.groupBy("block").applyInArrow(_sift_all(measure), _MET), "jaccard-sifted")
+    sets = sets_of_classes(near.select(F.col("a").alias("cid")).union(near.select("b")).union(many.select("b")).union(many.select("group")))
     second, met = _met_in_differences(many.withColumn("a", F.col("group")), sets, measure, shards, hints)
     pairs = near.union(met).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("group").alias("group"), F.max("size").alias("size"))
-    third = _compared(pairs.select("group", "a", "b", "size"), sets, sketches, measure, shards, sifted=True)
+    third = _compared(pairs.select("group", "a", "b", "size"), sets, measure, shards)
     dropped(groups, near, met, sets, sketches)
     final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second).union(third))
     dropped(first, second, third, joined)
