@@ -18,7 +18,7 @@ class Settings:
     """The defaults of a build."""
 
     min_eval: int = 150
-    per_source: int = 400
+    per_source: int | None = 400
     max_chars: int = 12_000
     max_options: int = 26
     min_repeat: int = 20
@@ -54,11 +54,13 @@ def scores(kept: DataFrame, trained: DataFrame, min_repeat: int) -> DataFrame:
 def build(candidates: DataFrame, trained: DataFrame, s: Settings | None = None) -> dict[str, DataFrame]:
     """rows (of the chosen sources), sources (each with its scores, why it is rejected, and the trained source it resembles) and drops (reason, n).
 
-    Sources are cut to ``per_source`` rows by hash before the costly leak filter.
+    Sources are cut to ``per_source`` rows by hash before the costly leak filter; with None, all rows go through it.
     """
     s = s or Settings()
     rows = screened(candidates, trained, s)
-    pool = sampling.bottom_k(rows.where("reason is null").drop("reason"), "source", "id", s.per_source, s.seed)
+    pool = rows.where("reason is null").drop("reason")
+    if s.per_source is not None:
+        pool = sampling.bottom_k(pool, "source", "id", s.per_source, s.seed)
     filtered = guard.leak_filter(pool, trained, hex_prints=s.hex_prints).persist()
     kept = filtered.where("leak is null").drop("leak")
     per = scores(kept, trained, s.min_repeat)
