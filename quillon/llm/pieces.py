@@ -236,13 +236,18 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
 def _ids(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shared.value)
-        for batch in batches:
-            for k in range(0, max(1, batch.num_rows), ROWS):
-                b = batch.slice(k, ROWS)
-                raw = [encode(t.as_py()) for t in b.column(at)]
-                ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
-                ids = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], names=[*b.schema.names, "piece_ids"])
+        try:
+            for batch in batches:
+                for k in range(0, max(1, batch.num_rows), ROWS):
+                    b = batch.slice(k, ROWS)
+                    raw = [encode(t.as_py()) for t in b.column(at)]
+                    ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
+                    ids = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], names=[*b.schema.names, "piece_ids"])
+                release()
+        finally:  # the worker goes on to other stages' tasks, which need the memory
+            encode = None
+            _memos.clear()
             release()
 
     return run
