@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, need, release, written
+from .common import WORD, dropped, need, release, written
 from .components import components
 from .wordhash import BASES, Words, mixed, rolled
 
@@ -561,13 +561,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1]))], names=_LINK.names)
 
 
-def _place() -> Column:
+def _place(doc_id: str | Column = "doc_id", text: str | Column = "text") -> Column:
     """A document's place: a hash of its id and text."""
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
+    return F.xxhash64(doc_id, text)
 
 
-def _classed(rows: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, sample_rows: int = 16384, small: int = 512, hints: int = 256) -> tuple[DataFrame, DataFrame]:
-    """The members (doc_id, place, cid, size), a row for each of rows (doc_id, text), and the classes: cid, component (their least cid), component_id and n_copies."""
+def _classed(rows: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, sample_rows: int = 16384, small: int = 512, hints: int = 256) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The members (doc_id, place, cid, size), a row for each of rows (doc_id, text), the classes: cid, component (their least cid), component_id and n_copies, and the written tables that both read."""
     measure = Measure(shingle, num, den)
     total, size = rows.agg(F.count("text"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = max(1, -(-size // SHARD_BYTES))
@@ -621,12 +621,12 @@ def _classed(rows: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, s
 
     named = copies.join(final.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return members, named.join(least, "component").select("cid", "component", "component_id", "n_copies")
+    return members, named.join(least, "component").select("cid", "component", "component_id", "n_copies"), [found, final]
 
 
 def join(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, sample_rows: int = 16384, **options) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the least id reachable by links) and n_copies (rows with its set)."""
-    members, classes = _classed(need(docs, doc_id=T.LongType(), text=T.StringType()), shingle, num, den, sample_rows, **options)
+    members, classes, _ = _classed(need(docs, doc_id=T.LongType(), text=T.StringType()), shingle, num, den, sample_rows, **options)
     return members.join(classes.drop("component"), "cid", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
@@ -638,14 +638,29 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     empty and very long texts, repeated rows and empty tables are as in ``join``; further columns of any name are kept.
     """
     rows = need(docs, doc_id=T.LongType(), text=T.StringType())
-    members, classes = _classed(rows, **options)
+    members, classes, made = _classed(rows, **options)
     placed = members.join(classes.select("cid", "component"), "cid", "left").select("doc_id", "place", "component").distinct()
     least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    found = placed.join(least, "component", "left").where("component is null or doc_id <=> least").select("place", "component")
-    # The rows lie in a column of their own, so that their columns may have any names.
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("place", _place())
-    met = held.join(found, "place")
-    apart = "doc_id is null and component is null"
-    once = Window.partitionBy("doc_id", "component").orderBy("text")
-    one = met.where(f"not ({apart})").withColumn("row", F.row_number().over(once)).where("row = 1")
-    return one.select("held").union(met.where(apart).select("held")).select("held.*")
+    found = placed.join(least, "component", "left").where("doc_id is not null and component is null or component is not null and doc_id <=> least")
+    found = written(found.select("doc_id", "component", "place"), "jaccard-found")
+    of = found.groupBy("doc_id", "component").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    kept = written(of.where("low = high").select(F.col("low").alias("place")).union(_first_by_text(rows, found, of.where("low < high"))), "jaccard-kept")
+    dropped(found, *made)
+
+    # Only here do whole rows move, once: by place they are met and told apart. They lie in a column of their own, so that their columns may have any names.
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    apart = doc_id.isNull() & ~F.coalesce(text.rlike(WORD), F.lit(False))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"), apart.alias("apart"), _place(doc_id, text).alias("place"))
+    once = Window.partitionBy("place").orderBy("place")
+    one = held.where("not apart").select("held", "place").join(kept, "place").withColumn("row", F.row_number().over(once)).where("row = 1")
+    return one.select("held").union(held.where("apart").select("held")).select("held.*")
+
+
+def _first_by_text(rows: DataFrame, found: DataFrame, several: DataFrame) -> DataFrame:
+    """The place of the first text of each (doc_id, component) that has several places; texts are read only if there are any."""
+    if several.isEmpty():
+        return several.select(F.col("low").alias("place"))
+    same = several.select(F.col("doc_id").alias("id"), F.col("component").alias("of"))
+    asked = found.join(same, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("component").eqNullSafe(F.col("of"))).select("id", "of", "place")
+    met = rows.select(_place().alias("place"), "text").join(asked, "place")
+    return met.groupBy("id", "of").agg(F.min(F.struct("text", "place")).alias("first")).select("first.place")
